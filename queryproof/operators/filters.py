@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from queryproof.operators.joins import exists_in
+
 # Lists longer than this are joined as a table instead of being written into the plan.
 MAX_LITERAL_LIST = 1000
 
@@ -48,8 +50,7 @@ def member_filter(df: DataFrame, column: str, values: Sequence[Any] | DataFrame)
     below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
     if isinstance(values, DataFrame):
-        ids = values.select(F.col(values.columns[0]).alias("_id")).distinct()
-        return df.join(ids, F.col(column) == F.col("_id"), "left_semi")
+        return exists_in(df, column, values, values.columns[0])
     if len(values) > MAX_LITERAL_LIST:
         raise ValueError("pass long id lists as a table")
     return df.filter(F.col(column).isin(list(values)))

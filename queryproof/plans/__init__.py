@@ -5,6 +5,8 @@ from importlib import import_module
 NAMES = (
     "filters",
     "joins",
+    "aggregates",
+    "windows",
 )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from queryproof.operators import audits, filters
 from queryproof.operators.equivalence import changed_cells, compare_bags
+from queryproof.operators.joins import exists_in
 from queryproof.plans.registry import CUSTOMER, ORDERS, bag_sql, pair, query
 
 CUSTOMER_COLUMNS = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
@@ -210,7 +211,7 @@ SELECT n_null_keys, b.n AS n_before, a.n AS n_after,
 )
 def pf_redundant_not_null_audit(t):
     o = t.orders.select("o_orderkey", F.nullif(F.col("o_custkey"), F.lit(7)).alias("k"))
-    after = o.join(t.customer, F.col("k") == F.col("c_custkey"), "left_semi")
+    after = exists_in(o, "k", t.customer, "c_custkey")
     before = after.filter(F.col("k").isNotNull())
     compared = compare_bags(before, after).select(
         F.lit(None).cast("bigint").alias("n_null_keys"), "n_before", "n_after", "fp_before", "fp_after"

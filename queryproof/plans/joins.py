@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from queryproof.operators import audits
 from queryproof.operators.equivalence import compare_bags
+from queryproof.operators.joins import exists_in, not_exists_in, outer_join
 from queryproof.operators.lookup import enrich
 from queryproof.plans.registry import CUSTOMER, bag_sql, pair, query
 
@@ -46,7 +47,7 @@ SELECT c_custkey, c_name, o_orderkey, o_custkey FROM c {kind} JOIN o ON c_custke
 
 def _join_kind(t, how):
     customers, orders = _filtered_sides(t)
-    return customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), how)
+    return outer_join(customers, "c_custkey", orders, "o_custkey", how)
 
 
 @query("jn_left", _SIDES.format(kind="LEFT"))
@@ -104,7 +105,10 @@ def jn_left_to_inner_audit(t):
     urgent = t.orders.filter(F.col("o_orderpriority") == "1-URGENT")
 
     def rows(how, predicate):
-        joined = t.customer.join(urgent, ON_CUSTOMER, how)
+        if how == "left":
+            joined = outer_join(t.customer, "c_custkey", urgent, "o_custkey", how)
+        else:
+            joined = t.customer.join(urgent, ON_CUSTOMER)
         kept = joined if predicate is None else joined.filter(predicate)
         return kept.select("c_custkey", "o_orderkey", "o_orderstatus")
 
@@ -213,7 +217,7 @@ def jn_consolidation_report(t):
 )
 def jn_exists_semi(t):
     urgent = t.orders.filter(F.col("o_orderpriority") == "1-URGENT")
-    return t.customer.join(urgent, ON_CUSTOMER, "left_semi").select("c_custkey", "c_name")
+    return exists_in(t.customer, "c_custkey", urgent, "o_custkey").select("c_custkey", "c_name")
 
 
 @query(
@@ -223,7 +227,7 @@ def jn_exists_semi(t):
 )
 def jn_not_exists_anti(t):
     urgent = t.orders.filter(F.col("o_orderpriority") == "1-URGENT")
-    return t.customer.join(urgent, ON_CUSTOMER, "left_anti").select("c_custkey", "c_name")
+    return not_exists_in(t.customer, "c_custkey", urgent, "o_custkey").select("c_custkey", "c_name")
 
 
 @pair(
@@ -235,7 +239,7 @@ def jn_not_exists_anti(t):
 )
 def jn_exists_to_in_pair(t):
     open_orders = t.orders.filter(F.col("o_orderstatus") == "O")
-    before = t.customer.join(open_orders, ON_CUSTOMER, "left_semi")
+    before = exists_in(t.customer, "c_custkey", open_orders, "o_custkey")
     after = t.spark.sql(
         "SELECT * FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'O')",
         customer=t.customer,
@@ -264,7 +268,7 @@ def jn_not_in_null_audit(t):
 
     def audit(label, inner):
         facts = inner.select(F.col("k").isNull().cast("int").alias("inner_null"), F.lit(0).alias("kept")).unionAll(
-            t.customer.join(inner, F.col("c_custkey") == F.col("k"), "left_anti").select(F.lit(0), F.lit(1))
+            not_exists_in(t.customer, "c_custkey", inner, "k").select(F.lit(0), F.lit(1))
         )
         counted = facts.agg(F.sum("inner_null").alias("n_inner_null"), F.sum("kept").alias("n_not_exists"))
         return counted.select(
@@ -307,8 +311,7 @@ def jn_exists_to_join_audit(t):
     CUSTOMER,
 )
 def jn_exists_self_pair(t):
-    ids = t.customer.select(F.col("c_custkey").alias("id"))
-    return t.customer.join(ids, F.col("c_custkey") == F.col("id"), "left_semi"), t.customer
+    return exists_in(t.customer, "c_custkey", t.customer, "c_custkey"), t.customer
 
 
 @query(
