@@ -7,6 +7,8 @@ NAMES = (
     "joins",
     "aggregates",
     "windows",
+    "limits",
+    "sets",
 )
 
 
