@@ -150,3 +150,87 @@ NEXT_STEP = CodeMap(
         "READY": "expand_generalization_coverage",
     }
 )
+
+
+def blocker_family(delivery: Column, code: Column, gate: Column) -> Column:
+    """READY, SECURITY, SEMANTIC or TEMPLATE_UNSUPPORTED, tested in that order."""
+    return first_match(
+        [
+            (delivery == "READY_TO_APPLY", "READY"),
+            (code.isin("VALIDATE_SECURITY_DOLLAR_SUBSTITUTION"), "SECURITY"),
+            ((gate == "FAIL") | code.isin(*SEMANTIC_BLOCKERS), "SEMANTIC"),
+        ],
+        "TEMPLATE_UNSUPPORTED",
+    )
+
+
+# Blocker codes that mean the rewrite is not proven equivalent.
+SEMANTIC_BLOCKERS = (
+    "SEMANTIC_GATE_FAIL",
+    "VALIDATE_EQUIVALENCE_MISMATCH",
+    "VALIDATE_SEMANTIC_ERROR",
+    "VALIDATE_SEMANTIC_CONFIDENCE_LOW",
+    "PATCH_SEMANTIC_EQUIVALENCE_NOT_PASS",
+    "PATCH_SEMANTIC_CONFIDENCE_LOW",
+)
+
+# Codes that are out of scope for good, and codes that wait for a later capability.
+FROZEN_CODES = (
+    "NO_SAFE_BASELINE_MULTI_FRAGMENT_INCLUDE",
+    "NO_SAFE_BASELINE_SPECULATIVE_LIMIT_ONLY",
+    "NO_SAFE_BASELINE_GROUP_BY",
+    "NO_PATCHABLE_CANDIDATE_CANONICAL_NOOP_HINT",
+    "NO_PATCHABLE_CANDIDATE_LOW_VALUE_ONLY",
+)
+DEFERRED_CODES = ("NO_SAFE_BASELINE_COLLECTION_GUARDED_PREDICATE",)
+
+# The action shown for a boundary category.
+BOUNDARY_ACTION = CodeMap(
+    {
+        "SUPPORTED": "apply_patch",
+        "PROVIDER_LIMITED": "consider_provider_investment",
+        "DEFERRED_CAPABILITY": "wait_for_future_capability",
+        "SEMANTIC_BOUNDARY": "review_candidate",
+        "VALIDATE_SECURITY_BOUNDARY": "review_candidate",
+        "FROZEN_NON_GOAL": "do_not_retry_current_scope",
+        "OTHER": "review_candidate",
+    }
+)
+
+
+def boundary_category(code: Column, decision: Column, provider_limited: Column) -> Column:
+    """User-facing category of a blocker code; ``provider_limited`` marks keys known to be so."""
+    code, decision = F.upper(F.trim(code)), F.upper(F.trim(decision))
+    return first_match(
+        [
+            (decision.isin("AUTO_PATCHABLE", "READY_TO_APPLY"), "SUPPORTED"),
+            (provider_limited & (code == "NO_PATCHABLE_CANDIDATE_LOW_VALUE_ONLY"), "PROVIDER_LIMITED"),
+            (code.isin(*DEFERRED_CODES), "DEFERRED_CAPABILITY"),
+            (code.startswith("SEMANTIC_"), "SEMANTIC_BOUNDARY"),
+            (code.startswith("VALIDATE_"), "VALIDATE_SECURITY_BOUNDARY"),
+            (code.startswith("NO_PATCHABLE_CANDIDATE_UNSUPPORTED_") | code.isin(*FROZEN_CODES), "FROZEN_NON_GOAL"),
+        ],
+        "OTHER",
+    )
+
+
+# Points a fact adds to the patchability of a candidate, on top of 60.
+PATCHABILITY_DELTAS = {
+    "RULE_SOURCE_CONSERVATIVE": 15,
+    "PROJECTION_REWRITE_PATCHABLE": 15,
+    "AGGREGATION_WRAPPER_FLATTEN_PATCHABLE": 20,
+    "ORDERING_REWRITE_PATCHABLE": 5,
+    "PLACEHOLDER_PRESERVED": 10,
+    "JOIN_HEAVY_PATCH_SURFACE": -10,
+    "AGGREGATION_SPECULATIVE_PENALTY": -25,
+    "GENERIC_PLACEHOLDER_PENALTY": -20,
+}
+
+
+def patchability(facts: Mapping[str, Column]) -> dict[str, Column]:
+    """Score clamped to 0..100 and tier of a candidate from its facts."""
+    total = F.lit(60)
+    for name, fact in facts.items():
+        total = total + F.when(fact, PATCHABILITY_DELTAS[name]).otherwise(0)
+    score = F.greatest(F.lit(0), F.least(F.lit(100), total))
+    return {"score": score, "tier": first_match([(score >= 80, "HIGH"), (score >= 60, "MEDIUM")], "LOW")}

@@ -184,12 +184,18 @@ def override_applies(
 
 
 def override_rule(
-    family: Column, gate: Column, row_count: Column, checks: dict[str, Column], key_set: Column, sample: Column
+    family: Column,
+    gate: Column,
+    row_count: Column,
+    checks: dict[str, Column],
+    key_set: Column,
+    sample: Column,
+    known: tuple[OverrideRule, ...] = OVERRIDE_RULES,
 ) -> Column:
     """Name of the rule that lifts the pair, NULL when none does. ``family`` names the rewrite."""
     rules = [
         ((family == r.name) & override_applies(r, gate, row_count, checks, key_set, sample), r.name)
-        for r in OVERRIDE_RULES
+        for r in known
     ]
     return first_match(rules, F.lit(None).cast("string"))
 

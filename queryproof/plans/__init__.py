@@ -9,6 +9,7 @@ NAMES = (
     "windows",
     "limits",
     "sets",
+    "textjobs",
     "equivalence",
 )
 

@@ -474,9 +474,8 @@ def eq_proof_with_confidence(t):
     checks = {name: F.lit("PASS") for name in verdicts.CHECKS} | {"projection": F.lit("UNCERTAIN")}
     rc, fp = F.col("count_status"), F.col("fingerprint_status")
     gate = verdicts.gate_status(rc, checks, fp)
-    rule = verdicts.override_rule(
-        F.lit("SEMANTIC_KNOWN_EQUIVALENCE_COUNT_STAR_ONE"), gate, rc, checks, fp, fp
-    )
+    count_forms = verdicts.OVERRIDE_RULES[0]
+    rule = verdicts.override_rule(F.lit(count_forms.name), gate, rc, checks, fp, fp, (count_forms,))
     status = F.when(rule.isNotNull(), "PASS").otherwise(gate)
     conflicted = F.size(verdicts.hard_conflicts(rc, checks, fp)) > 0
     return c.select(
