@@ -11,6 +11,7 @@ NAMES = (
     "sets",
     "textjobs",
     "equivalence",
+    "funnel",
 )
 
 
