@@ -12,6 +12,7 @@ NAMES = (
     "textjobs",
     "equivalence",
     "funnel",
+    "reporting",
 )
 
 
