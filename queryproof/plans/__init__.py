@@ -13,6 +13,8 @@ NAMES = (
     "equivalence",
     "funnel",
     "reporting",
+    "streams",
+    "io",
 )
 
 
