@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queryproof.functions.canon import row_hash
+from queryproof.functions.canon import row_hash, row_text
 from queryproof.operators.ranking import ranked_rows
 
 
@@ -139,12 +139,24 @@ def compare_sample(
 
 
 def diff_rows(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows whose multiplicity differs, with ``n_before`` and ``n_after``."""
+    """Rows whose multiplicity differs, with ``n_before`` and ``n_after``.
+
+    Digests are counted first: a digest that occurs equally often on both sides is dropped before
+    any full row is shuffled. Only the rows behind the remaining digests are then grouped by all
+    their columns. Both inputs are read twice; what travels is 16 bytes per row plus the differences.
+    """
     names = before.columns
-    left = before.select(*names, F.lit(1).alias("_b"), F.lit(0).alias("_a"))
-    right = after.select(*names, F.lit(0).alias("_b"), F.lit(1).alias("_a"))
+
+    def side(df: DataFrame, in_before: int) -> DataFrame:
+        digest = F.unhex(F.md5(row_text(df)))
+        return df.select(*names, digest.alias("_d"), F.lit(in_before).alias("_b"), F.lit(1 - in_before).alias("_a"))
+
+    rows = side(before, 1).unionByName(side(after, 0))
+    uneven = (
+        rows.groupBy("_d").agg(F.sum("_b").alias("_nb"), F.sum("_a").alias("_na")).filter("_nb <> _na").select("_d")
+    )
     return (
-        left.unionByName(right)
+        rows.join(uneven, "_d", "left_semi")
         .groupBy(*names)
         .agg(F.sum("_b").alias("n_before"), F.sum("_a").alias("n_after"))
         .filter(F.col("n_before") != F.col("n_after"))
@@ -174,6 +186,22 @@ def changed_cells(before: DataFrame, after: DataFrame, key: Sequence[str]) -> Da
     return left.join(right, list(key)).select(*key, F.inline(cells))
 
 
+def compare_ordered_bags(
+    before: DataFrame,
+    before_order: Sequence[tuple[str, str]],
+    after: DataFrame,
+    after_order: Sequence[tuple[str, str]],
+    bucket: str,
+) -> DataFrame:
+    """Ordered equality from fingerprints alone: each row is hashed with its position.
+
+    Cheaper than ``compare_ordered``, which also counts the differing positions.
+    """
+    left = ranked_rows(before, [], before_order, bucket, "pos")
+    right = ranked_rows(after, [], after_order, bucket, "pos")
+    return compare_bags(left, right)
+
+
 def compare_ordered(
     before: DataFrame,
     before_order: Sequence[tuple[str, str]],

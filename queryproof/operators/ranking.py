@@ -62,20 +62,24 @@ def ranked_rows(
     inside (key, bucket); bucket counts, a far smaller table, give each bucket its start.
     """
     direction = order[0][1]
-    start_order = F.col(bucket).desc_nulls_last() if direction == "desc" else F.col(bucket).asc_nulls_last()
-    counts = df.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy(start_order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col(bucket).alias("_bucket"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
+    start_order = F.col("_bucket").desc_nulls_last() if direction == "desc" else F.col("_bucket").asc_nulls_last()
+    # One struct column groups, numbers and joins, so rows are shuffled once; structs compare NULLs as equal.
+    group = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(bucket).alias("b"))
+    grouped = df.withColumn("_group", group)
+    counts = grouped.groupBy("_group").agg(F.count("*").alias("_n"))
+    counts = counts.select(
+        "_group", "_n", F.col("_group.b").alias("_bucket"), *[F.col(f"_group.k{i}") for i in range(len(keys))]
     )
-    local = Window.partitionBy(*keys, bucket).orderBy(*order_columns(order))
-    numbered = df.withColumn("_local", F.row_number().over(local))
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    on.append(F.col(bucket).eqNullSafe(F.col("_bucket")))
+    earlier = (
+        Window.partitionBy(*[f"k{i}" for i in range(len(keys))])
+        .orderBy(start_order)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = counts.select("_group", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    local = Window.partitionBy("_group").orderBy(*order_columns(order))
+    numbered = grouped.withColumn("_local", F.row_number().over(local))
     return (
-        numbered.join(starts, on)
+        numbered.join(starts, "_group")
         .withColumn(rank_col, (F.col("_start") + F.col("_local")).cast("bigint"))
-        .drop("_local", "_start", "_bucket", *[f"_k_{k}" for k in keys])
+        .drop("_group", "_local", "_start")
     )

@@ -10,7 +10,9 @@ from queryproof.operators.joins import exists_in, not_exists_in, outer_join
 from queryproof.operators.lookup import enrich
 from queryproof.plans.registry import CUSTOMER, bag_sql, pair, query
 
-ON_CUSTOMER = F.col("o_custkey") == F.col("c_custkey")
+
+def on_customer():
+    return F.col("o_custkey") == F.col("c_custkey")
 
 
 @query(
@@ -24,7 +26,7 @@ ORDER BY o.o_orderkey DESC LIMIT 50 OFFSET 10""",
 def jn_inner_equi(t):
     keyword = F.col("c_name").ilike("%0001%") | F.col("c_mktsegment").ilike("%build%")
     return (
-        t.orders.join(t.customer, ON_CUSTOMER)
+        t.orders.join(t.customer, on_customer())
         .filter((F.col("o_orderstatus") == "O") & keyword)
         .select("o_orderkey", "o_custkey", "o_orderstatus", "c_name", "c_mktsegment")
         .orderBy(F.desc("o_orderkey"))
@@ -78,7 +80,7 @@ def jn_cross(t):
         orders=t.orders,
         customer=t.customer,
     )
-    after = t.orders.join(t.customer, ON_CUSTOMER).select("o_orderkey", "c_nationkey")
+    after = t.orders.join(t.customer, on_customer()).select("o_orderkey", "c_nationkey")
     return before, after
 
 
@@ -108,7 +110,7 @@ def jn_left_to_inner_audit(t):
         if how == "left":
             joined = outer_join(t.customer, "c_custkey", urgent, "o_custkey", how)
         else:
-            joined = t.customer.join(urgent, ON_CUSTOMER)
+            joined = t.customer.join(urgent, on_customer())
         kept = joined if predicate is None else joined.filter(predicate)
         return kept.select("c_custkey", "o_orderkey", "o_orderstatus")
 
@@ -170,8 +172,8 @@ _TRIPLE = (
 def jn_reorder_pair(t):
     on_nation = F.col("c_nationkey") == F.col("n_nationkey")
     cols = ["o_orderkey", "c_custkey", "n_name"]
-    before = t.orders.join(t.customer, ON_CUSTOMER).join(t.nation, on_nation).select(cols)
-    after = t.nation.join(t.customer, on_nation).join(t.orders, ON_CUSTOMER).select(cols)
+    before = t.orders.join(t.customer, on_customer()).join(t.nation, on_nation).select(cols)
+    after = t.nation.join(t.customer, on_nation).join(t.orders, on_customer()).select(cols)
     return before, after
 
 
@@ -194,10 +196,17 @@ def jn_consolidation_report(t):
         counts = df.groupBy(F.col(key).alias("hub_key")).agg(F.count("*").alias("n"))
         return counts.select(F.lit(label).alias("side"), "hub_key", "n")
 
+    per_customer = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
+    orders = (
+        per_customer.join(t.customer, on_customer())
+        .groupBy(F.col("c_nationkey").alias("hub_key"))
+        .agg(F.sum("n_orders").alias("n"))
+        .select(F.lit("orders").alias("side"), "hub_key", "n")
+    )
     edges = (
         side("customer", t.customer, "c_nationkey")
         .unionByName(side("supplier", t.supplier, "s_nationkey"))
-        .unionByName(side("orders", t.orders.join(t.customer, ON_CUSTOMER), "c_nationkey"))
+        .unionByName(orders)
     )
     return (
         edges.groupBy("hub_key")

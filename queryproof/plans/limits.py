@@ -6,22 +6,25 @@ from pyspark.sql import functions as F
 
 from queryproof.operators import audits, filters
 from queryproof.operators.counting import top_codes
-from queryproof.operators.equivalence import compare_ordered
+from queryproof.operators.equivalence import compare_ordered, compare_ordered_bags
 from queryproof.operators.ordering import non_constant_order
 from queryproof.plans.filters import CUSTOMER_COLUMNS, ORDER_COLUMNS
-from queryproof.plans.registry import CUSTOMER, ORDERS, pair, query
+from queryproof.plans.registry import CUSTOMER, ORDERS, bag_sql, pair, query
 
-RECENT = [F.desc("o_orderdate"), F.asc("o_orderkey")]
 RECENT_SQL = "ORDER BY o_orderdate DESC, o_orderkey"
 
 
+def recent():
+    return [F.desc("o_orderdate"), F.asc("o_orderkey")]
+
+
 @query(
     "sl_order_limit_offset",
     f"SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders {RECENT_SQL} LIMIT 100 OFFSET 20",
 )
 def sl_order_limit_offset(t):
     return t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate").orderBy(
-        *RECENT
+        *recent()
     ).offset(20).limit(100).drop("o_orderdate")
 
 
@@ -73,6 +76,27 @@ def sl_order_sensitive_compare(t):
     )
 
 
+_SEQUENCE = "SELECT o_orderkey, o_orderdate, o_orderstatus, row_number() OVER (ORDER BY o_orderdate, o_orderkey {d}) AS pos FROM orders"
+_SEQUENCE_SPEC = "o_orderkey:v o_orderdate:v o_orderstatus:s pos:v"
+
+
+@query(
+    "sl_order_fingerprint",
+    f"""
+WITH b AS ({bag_sql(_SEQUENCE.format(d=""), _SEQUENCE_SPEC)}), a AS ({bag_sql(_SEQUENCE.format(d="DESC"), _SEQUENCE_SPEC)})
+SELECT b.n AS n_before, a.n AS n_after, b.fp AS fp_before, a.fp AS fp_after,
+  CASE WHEN b.fp = a.fp THEN 'MATCH' ELSE 'MISMATCH' END AS ordered_status FROM a, b""",
+)
+def sl_order_fingerprint(t):
+    o = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus")
+    up = [("o_orderdate", "asc"), ("o_orderkey", "asc")]
+    down = [("o_orderdate", "asc"), ("o_orderkey", "desc")]
+    c = compare_ordered_bags(o, up, o, down, "o_orderdate")
+    return c.select(
+        "n_before", "n_after", "fp_before", "fp_after", F.col("fingerprint_status").alias("ordered_status")
+    )
+
+
 @pair(
     "sl_subquery_wrapper_page_pair",
     f"SELECT {ORDER_COLUMNS} FROM (SELECT {ORDER_COLUMNS} FROM orders) s {RECENT_SQL} LIMIT 50",
@@ -82,7 +106,7 @@ def sl_order_sensitive_compare(t):
 def sl_subquery_wrapper_page_pair(t):
     inner = t.orders.select(*t.orders.columns).alias("s")
     wrapped = inner.select(*[F.col(f"s.{c}") for c in t.orders.columns])
-    return wrapped.orderBy(*RECENT).limit(50), t.orders.orderBy(*RECENT).limit(50)
+    return wrapped.orderBy(*recent()).limit(50), t.orders.orderBy(*recent()).limit(50)
 
 
 @pair(
@@ -112,7 +136,7 @@ def sl_cte_inline_pair(t):
         orders=t.orders,
     )
     inline = t.orders.filter("o_orderdate >= TIMESTAMP_NTZ '1998-01-01 00:00:00'")
-    return before, inline.orderBy(*RECENT).limit(20)
+    return before, inline.orderBy(*recent()).limit(20)
 
 
 @query(

@@ -25,7 +25,7 @@ def _null():
     return F.lit(None).cast("string")
 
 
-def variants(t):
+def variants(t, *extra):
     """Line items as variants: mostly passing, with some of every kind of disagreement."""
     qty, tax, disc = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
     status = first_match([(qty == 50, "FAIL"), (qty == 49, "NEED_MORE_PARAMS")], "PASS")
@@ -42,6 +42,7 @@ def variants(t):
         (F.col("l_orderkey") % 17 != 0).alias("supported"),
         F.when((status != "PASS") & (tax > 0.03), F.concat(F.lit("VALIDATE_"), "l_linestatus")).alias("status_reason"),
         F.when(tax > 0.03, F.concat(F.lit("SEMANTIC_"), "l_returnflag")).alias("gate_reason"),
+        *extra,
     )
 
 
@@ -154,9 +155,7 @@ SELECT o_orderkey, status, gate_status, confidence, patch_applicable, before_cos
 )
 def rp_sql_rows(t):
     """One wide row per statement: latest acceptance row, patch row of its group, reasons."""
-    accepted = variants(t).join(
-        t.lineitem.select("l_orderkey", *POSITION, "l_tax", "l_extendedprice", "l_returnflag"), ["l_orderkey", *POSITION]
-    )
+    accepted = variants(t, "l_tax", "l_extendedprice", "l_returnflag")
     latest = [(p, "desc") for p in POSITION]
     rows = enrich(
         t.orders.select("o_orderkey", "o_custkey"), accepted, "o_orderkey", "l_orderkey", latest,
