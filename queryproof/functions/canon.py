@@ -13,16 +13,21 @@ from pyspark.sql import types as T
 NULL_MARK = "N"
 
 
+def scalar_text(col: Column, dtype: T.DataType) -> Column:
+    """Text of a value that is neither a string nor nested; NULL for NULL."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return (col + F.lit(0.0).cast(dtype)).cast("string")
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(col)
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col).cast("string")
+    return col.cast("string")
+
+
 def value_text(col: Column, dtype: T.DataType) -> Column:
     """Canonical text of one value; never NULL."""
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
         text = F.concat(F.lit("S"), F.length(col).cast("string"), F.lit(":"), col)
-    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        text = F.concat(F.lit("V"), (col + F.lit(0.0).cast(dtype)).cast("string"))
-    elif isinstance(dtype, T.BinaryType):
-        text = F.concat(F.lit("V"), F.hex(col))
-    elif isinstance(dtype, T.TimestampType):
-        text = F.concat(F.lit("V"), F.unix_micros(col).cast("string"))
     elif isinstance(dtype, T.ArrayType):
         items = F.transform(col, lambda v: value_text(v, dtype.elementType))
         text = F.concat(F.lit("["), F.array_join(items, "|"), F.lit("]"))
@@ -38,21 +43,56 @@ def value_text(col: Column, dtype: T.DataType) -> Column:
         parts = [value_text(col[f.name], f.dataType) for f in dtype.fields]
         text = F.concat(F.lit("("), F.concat_ws("|", *parts), F.lit(")"))
     else:
-        text = F.concat(F.lit("V"), col.cast("string"))
+        text = F.concat(F.lit("V"), scalar_text(col, dtype))
     return F.when(col.isNull(), F.lit(NULL_MARK)).otherwise(text)
 
 
 def row_text(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Canonical text of a whole row, columns in the given order."""
-    names = columns or df.columns
-    return F.concat_ws("|", *[value_text(F.col(f"`{n}`"), df.schema[n].dataType) for n in names])
+    """Canonical text of a whole row, columns in the given order.
+
+    Plain columns go straight into one concatenation, which builds the text in a single buffer.
+    """
+    parts: list[Column] = []
+    for i, name in enumerate(columns or df.columns):
+        dtype, col = df.schema[name].dataType, F.col(f"`{name}`")
+        sep = "|" if i else ""
+        missing = F.when(col.isNull(), sep + NULL_MARK)
+        empty = F.lit("")
+        if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
+            length = F.concat(F.length(col).cast("string"), F.lit(":"))
+            parts += [missing.otherwise(sep + "S"), F.coalesce(length, empty), F.coalesce(col, empty)]
+        elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
+            parts += [F.lit(sep), value_text(col, dtype)]
+        else:
+            parts += [missing.otherwise(sep + "V"), F.coalesce(scalar_text(col, dtype), empty)]
+    return F.concat(*parts)
+
 
+def row_hash(df: DataFrame, columns: list[str] | None = None, algorithm: str = "native") -> Column:
+    """Row hash as BIGINT.
 
-def row_hash(df: DataFrame, columns: list[str] | None = None, algorithm: str = "md5") -> Column:
-    """Row hash as BIGINT: 60 bits of md5 (any engine can recompute it) or xxhash64 (faster)."""
-    text = row_text(df, columns)
-    if algorithm == "xxhash64":
-        return F.xxhash64(text)
+    ``md5``: 60 bits of the MD5 of the canonical text; any SQL engine can recompute it.
+    ``native``: xxhash64 over the typed columns and their NULL pattern, several times faster.
+    """
+    if algorithm == "native":
+        return _native_hash(df, columns or df.columns)
     if algorithm != "md5":
         raise ValueError(f"unknown row hash algorithm: {algorithm}")
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(row_text(df, columns)), 1, 15), 16, 10).cast("bigint")
+
+
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of two native hashes, for grouping equal rows without moving them."""
+    second = _native_hash(df, df.columns, salt=1)
+    return F.struct(_native_hash(df, df.columns).alias("a"), second.alias("b"))
+
+
+def _native_hash(df: DataFrame, names: list[str], salt: int = 0) -> Column:
+    """xxhash64 skips NULLs, so their pattern is hashed as well; nested values go in as text."""
+    values, nulls = [], []
+    for name in names:
+        dtype, col = df.schema[name].dataType, F.col(f"`{name}`")
+        nested = isinstance(dtype, (T.ArrayType, T.MapType, T.StructType))
+        values.append(value_text(col, dtype) if nested else col)
+        nulls.append(F.when(col.isNull(), "1").otherwise("0"))
+    return F.xxhash64(F.lit(salt), *values, F.concat(*nulls))

@@ -6,7 +6,7 @@ scan inside whole-stage code generation.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -155,19 +155,18 @@ CONJUNCT_REMOVED = "SEMANTIC_PREDICATE_CONJUNCT_REMOVED"
 
 
 def override_applies(
-    rule: OverrideRule, gate: Column, row_count: Column, checks: dict[str, Column], key_set: Column, sample: Column
+    rule: OverrideRule, gate: Column, row_count: Column, checks: dict[str, Column], fingerprint: Column, sample: Column
 ) -> Column:
-    fingerprint = fingerprint_status(key_set, sample)
-    exact = (row_count == "MATCH") & (fingerprint_strength(fingerprint) == "EXACT")
-    ordered = (row_count == "MATCH") & (sample == "MATCH")
+    exact = (row_count == "MATCH") & (fingerprint == "MATCH")
+    ordered = (row_count == "MATCH") & (sample == "MATCH") & (fingerprint != "MISMATCH")
     untaken = row_count.isin(*NO_EVIDENCE)
     evidence = {
         "exact": exact,
         "ordered": ordered,
         "absent": untaken & fingerprint.isin(*NO_EVIDENCE),
-        "structure": untaken,
+        "structure": untaken & (fingerprint != "MISMATCH"),
     }[rule.evidence]
-    out = gate.isin(*rule.lifts) & evidence & (fingerprint != "MISMATCH")
+    out = gate.isin(*rule.lifts) & evidence
     for name, col in checks.items():
         if name not in rule.targets:
             out = out & (col == "PASS")
@@ -184,18 +183,18 @@ def override_applies(
 
 
 def override_rule(
-    family: Column,
-    gate: Column,
-    row_count: Column,
-    checks: dict[str, Column],
-    key_set: Column,
-    sample: Column,
-    known: tuple[OverrideRule, ...] = OVERRIDE_RULES,
+    family: Column, gate: Column, row_count: Column, checks: dict[str, Column], fingerprint: Column, sample: Column
 ) -> Column:
-    """Name of the rule that lifts the pair, NULL when none does. ``family`` names the rewrite."""
+    """Name of the rule that lifts the pair, NULL when none does. ``family`` names the rewrite.
+
+    Rules with the same conditions share one test, which keeps the generated code small.
+    """
+    groups: dict[OverrideRule, list[str]] = {}
+    for rule in OVERRIDE_RULES:
+        groups.setdefault(replace(rule, name=""), []).append(rule.name)
     rules = [
-        ((family == r.name) & override_applies(r, gate, row_count, checks, key_set, sample), r.name)
-        for r in known
+        (family.isin(*names) & override_applies(shared, gate, row_count, checks, fingerprint, sample), family)
+        for shared, names in groups.items()
     ]
     return first_match(rules, F.lit(None).cast("string"))
 

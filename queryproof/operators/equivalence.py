@@ -12,39 +12,43 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queryproof.functions.canon import row_hash, row_text
+from queryproof.functions.canon import row_digest, row_hash
 from queryproof.operators.ranking import ranked_rows
 
 
-def _hash_sum(h: Column) -> Column:
-    return F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+# Row hashes are summed in three slices of at most 24 bits, so that plain BIGINT sums hold
+# trillions of rows; the slices are put together once per result row.
+_SLICES = ((40, None), (20, 0xFFFFF), (0, 0xFFFFF))
 
 
-def _fingerprint_text(n: Column, s: Column, x: Column) -> Column:
-    return F.concat_ws(":", n.cast("string"), s.cast("string"), x.cast("string"))
+def _bag_aggregates(h: Column, suffix: str) -> list[Column]:
+    out = [F.count(h).alias(f"n_{suffix}"), F.coalesce(F.bit_xor(h), F.lit(0).cast("bigint")).alias(f"x_{suffix}")]
+    for shift, mask in _SLICES:
+        part = F.shiftright(h, shift) if shift else h
+        if mask is not None:
+            part = part.bitwiseAND(F.lit(mask).cast("bigint"))
+        out.append(F.coalesce(F.sum(part), F.lit(0).cast("bigint")).alias(f"s{shift}_{suffix}"))
+    return out
 
 
-def _bag_aggregates(h: Column, suffix: str) -> list[Column]:
-    return [
-        F.count(h).alias(f"n_{suffix}"),
-        _hash_sum(h).alias(f"s_{suffix}"),
-        F.coalesce(F.bit_xor(h), F.lit(0).cast("bigint")).alias(f"x_{suffix}"),
-    ]
+def _fingerprint(suffix: str) -> Column:
+    """``count:sum:xor`` of a side as text."""
+    total = sum(
+        (F.col(f"s{shift}_{suffix}").cast("decimal(20,0)") * F.lit(2**shift).cast("decimal(13,0)") for shift, _ in _SLICES),
+        F.lit(0).cast("decimal(1,0)"),
+    )
+    return F.concat_ws(":", *[c.cast("string") for c in (F.col(f"n_{suffix}"), total, F.col(f"x_{suffix}"))])
 
 
-def bag_fingerprint(df: DataFrame, keys: Sequence[str] = (), algorithm: str = "md5") -> DataFrame:
+def bag_fingerprint(df: DataFrame, keys: Sequence[str] = (), algorithm: str = "native") -> DataFrame:
     """``(keys..., n_rows, fingerprint)``; one row for the whole table when there are no keys."""
     hashed = df.select(*keys, row_hash(df, algorithm=algorithm).alias("h"))
     agg = hashed.groupBy(*keys).agg(*_bag_aggregates(F.col("h"), "rows"))
-    return agg.select(
-        *keys,
-        "n_rows",
-        _fingerprint_text(F.col("n_rows"), F.col("s_rows"), F.col("x_rows")).alias("fingerprint"),
-    )
+    return agg.select(*keys, "n_rows", _fingerprint("rows").alias("fingerprint"))
 
 
 def tagged_hashes(
-    before: DataFrame, after: DataFrame, keys: Sequence[str] = (), algorithm: str = "md5"
+    before: DataFrame, after: DataFrame, keys: Sequence[str] = (), algorithm: str = "native"
 ) -> DataFrame:
     """Union of both sides reduced to ``(keys..., h_before, h_after)`` with one side NULL."""
     if len(before.columns) != len(after.columns):
@@ -60,7 +64,7 @@ def tagged_hashes(
 
 
 def compare_bags(
-    before: DataFrame, after: DataFrame, keys: Sequence[str] = (), algorithm: str = "md5"
+    before: DataFrame, after: DataFrame, keys: Sequence[str] = (), algorithm: str = "native"
 ) -> DataFrame:
     """One row per key (or one in all): counts, fingerprints and their status.
 
@@ -73,25 +77,25 @@ def compare_bags(
         .agg(*_bag_aggregates(F.col("h_before"), "before"), *_bag_aggregates(F.col("h_after"), "after"))
     )
     same_count = F.col("n_before") == F.col("n_after")
-    fp_before = _fingerprint_text(F.col("n_before"), F.col("s_before"), F.col("x_before"))
-    fp_after = _fingerprint_text(F.col("n_after"), F.col("s_after"), F.col("x_after"))
-    return agg.select(
-        *keys,
-        "n_before",
-        "n_after",
-        fp_before.alias("fp_before"),
-        fp_after.alias("fp_after"),
+    printed = agg.select(
+        *keys, "n_before", "n_after", _fingerprint("before").alias("fp_before"), _fingerprint("after").alias("fp_after")
+    )
+    return printed.select(
+        "*",
         F.when(same_count, "MATCH").otherwise("MISMATCH").alias("count_status"),
         F.when(~same_count, "SKIPPED")
-        .when(fp_before == fp_after, "MATCH")
+        .when(F.col("fp_before") == F.col("fp_after"), "MATCH")
         .otherwise("MISMATCH")
         .alias("fingerprint_status"),
         ((F.col("n_before") == 0) & (F.col("n_after") == 0)).alias("vacuous"),
     )
 
 
-def pair_report(pair_id: str, before: DataFrame, after: DataFrame, algorithm: str = "md5") -> DataFrame:
-    """The one-row proof of a rewrite pair."""
+def pair_report(pair_id: str, before: DataFrame, after: DataFrame, algorithm: str = "native") -> DataFrame:
+    """The one-row proof of a rewrite pair.
+
+    The default hash is Spark's own; ``md5`` gives fingerprints that any SQL engine can recompute.
+    """
     return compare_bags(before, after, algorithm=algorithm).select(
         F.lit(pair_id).alias("pair_id"),
         "n_before",
@@ -104,7 +108,7 @@ def pair_report(pair_id: str, before: DataFrame, after: DataFrame, algorithm: st
 
 
 def compare_batch(
-    pairs: Sequence[tuple[str, DataFrame, DataFrame]], algorithm: str = "md5"
+    pairs: Sequence[tuple[str, DataFrame, DataFrame]], algorithm: str = "native"
 ) -> DataFrame:
     """Reports for many pairs, one row each, in a single job."""
     return reduce(DataFrame.unionByName, [pair_report(p, b, a, algorithm) for p, b, a in pairs])
@@ -124,18 +128,19 @@ def row_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def key_sample(df: DataFrame, keys: Sequence[str], modulus: int, keep: int) -> DataFrame:
+def key_sample(
+    df: DataFrame, keys: Sequence[str], modulus: int, keep: int, algorithm: str = "native"
+) -> DataFrame:
     """Rows whose key hash falls into ``keep`` of ``modulus`` classes: the same keys on every side."""
-    return df.filter(F.pmod(row_hash(df, list(keys)), F.lit(modulus)) < keep)
+    return df.filter(F.pmod(row_hash(df, list(keys), algorithm), F.lit(modulus)) < keep)
 
 
 def compare_sample(
-    before: DataFrame, after: DataFrame, keys: Sequence[str], modulus: int, keep: int
+    before: DataFrame, after: DataFrame, keys: Sequence[str], modulus: int, keep: int, algorithm: str = "native"
 ) -> DataFrame:
     """Bag comparison of the same deterministic key sample on both sides."""
-    return compare_bags(
-        key_sample(before, keys, modulus, keep), key_sample(after, keys, modulus, keep)
-    )
+    sides = [key_sample(df, keys, modulus, keep, algorithm) for df in (before, after)]
+    return compare_bags(*sides, algorithm=algorithm)
 
 
 def diff_rows(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -148,8 +153,7 @@ def diff_rows(before: DataFrame, after: DataFrame) -> DataFrame:
     names = before.columns
 
     def side(df: DataFrame, in_before: int) -> DataFrame:
-        digest = F.unhex(F.md5(row_text(df)))
-        return df.select(*names, digest.alias("_d"), F.lit(in_before).alias("_b"), F.lit(1 - in_before).alias("_a"))
+        return df.select(*names, row_digest(df).alias("_d"), F.lit(in_before).alias("_b"), F.lit(1 - in_before).alias("_a"))
 
     rows = side(before, 1).unionByName(side(after, 0))
     uneven = (
@@ -192,6 +196,7 @@ def compare_ordered_bags(
     after: DataFrame,
     after_order: Sequence[tuple[str, str]],
     bucket: str,
+    algorithm: str = "native",
 ) -> DataFrame:
     """Ordered equality from fingerprints alone: each row is hashed with its position.
 
@@ -199,7 +204,7 @@ def compare_ordered_bags(
     """
     left = ranked_rows(before, [], before_order, bucket, "pos")
     right = ranked_rows(after, [], after_order, bucket, "pos")
-    return compare_bags(left, right)
+    return compare_bags(left, right, algorithm=algorithm)
 
 
 def compare_ordered(

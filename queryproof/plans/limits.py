@@ -91,7 +91,7 @@ def sl_order_fingerprint(t):
     o = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus")
     up = [("o_orderdate", "asc"), ("o_orderkey", "asc")]
     down = [("o_orderdate", "asc"), ("o_orderkey", "desc")]
-    c = compare_ordered_bags(o, up, o, down, "o_orderdate")
+    c = compare_ordered_bags(o, up, o, down, "o_orderdate", algorithm="md5")
     return c.select(
         "n_before", "n_after", "fp_before", "fp_after", F.col("fingerprint_status").alias("ordered_status")
     )

@@ -84,7 +84,7 @@ def pair(name: str, before: str, after: str, spec: str, after_spec: str | None =
     def wrap(fn: Callable[[Tables], tuple[DataFrame, DataFrame]]):
         PAIRS[name] = fn
         PAIR_SQL[name] = pair_sql(name, before, after, spec, after_spec)
-        query(name, PAIR_SQL[name])(lambda t: pair_report(name, *fn(t)))
+        query(name, PAIR_SQL[name])(lambda t: pair_report(name, *fn(t), algorithm="md5"))
         return fn
 
     return wrap

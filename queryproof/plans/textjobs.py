@@ -131,8 +131,7 @@ def tx_link_refs(t):
     "FROM s GROUP BY ALL",
 )
 def tx_shape_family(t):
-    shape = st.shape_family(st.statement_features(F.col("sql")), F.col("sql"))
-    return counted(corpus.statements(t.orders).withColumn("shape", shape), "template_no", "shape")
+    return counted(st.with_shape(corpus.statements(t.orders), "sql"), "template_no", "shape")
 
 
 @query(
