@@ -148,9 +148,8 @@ FROM p GROUP BY ALL""",
 )
 def tx_aggregation_profile(t):
     """The rewrite under test drops every DISTINCT, which is always a review case."""
-    sql = F.col("sql")
-    rewritten = F.regexp_replace(sql, "(?i)distinct ", "")
-    profiled = corpus.statements(t.orders).withColumns(st.aggregation_profile(sql, rewritten))
+    rewritten = F.regexp_replace("sql", "(?i)distinct ", "")
+    profiled = st.with_aggregation_profile(corpus.statements(t.orders), "sql", rewritten)
     return counted(
         profiled, "template_no", "aggregation_shape", "distinct_present", "constraint_family", "capability_tier"
     )
@@ -332,8 +331,8 @@ def tx_syntax_lint(t):
     tail = reason("o_orderkey", [b[0] for b in BROKEN])
     head = F.when(F.col("o_orderstatus") == "P", "GIVE ME ").otherwise("SELECT ")
     sql = F.concat(head, F.col("o_orderkey").cast("string"), F.lit(" FROM users"), tail)
-    o = t.orders.withColumn("problem", F.coalesce(st.syntax_problem(sql), F.lit("")))
-    return counted(o, "problem")
+    judged = st.with_syntax_problem(t.orders.select(sql.alias("sql")), "sql")
+    return counted(judged.fillna("", ["problem"]), "problem")
 
 
 NOTES = [
@@ -528,10 +527,8 @@ def cd_low_value_rules(t):
     c = t.orders.select(
         number.alias("candidate_no"), column(0).alias("original"), column(1).alias("rewritten"), column(2).alias("strategy")
     )
-    category = st.low_value_category(
-        F.col("original"), F.col("rewritten"), F.col("strategy"), st.statement_features(F.col("original"))
-    )
-    return counted(c.withColumn("category", F.coalesce(category, F.lit(""))), "candidate_no", "category")
+    judged = st.with_low_value_category(c, "original", "rewritten", "strategy")
+    return counted(judged.fillna("", ["category"]), "candidate_no", "category")
 
 
 @query(
