@@ -11,7 +11,7 @@ from queryproof.plans.corpus import list_sql
 from queryproof.plans.registry import query
 from queryproof.plans.textjobs import NOTES, patchability_flags, reason_of_turn, reason_sql
 
-POSITION = ["l_linenumber", "l_partkey", "l_suppkey"]
+POSITION = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
 def candidates(t):
@@ -31,7 +31,7 @@ def candidates(t):
 
 
 CANDIDATES_SQL = """
-c AS (SELECT *, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS candidate_id, l_returnflag = 'N' AS semantic_match,
+c AS (SELECT *, concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS candidate_id, l_returnflag = 'N' AS semantic_match,
   (l_linestatus = 'O')::INT AS effective_change, l_linenumber % 3 * 6 AS canonical,
   CASE WHEN l_tax > 0.01 AND l_discount > 0.05 THEN 1 ELSE 0 END AS improved,
   CASE WHEN l_tax > 0.02 THEN l_extendedprice ELSE 'Infinity'::DOUBLE END AS after_cost,
@@ -43,7 +43,7 @@ c AS (SELECT *, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS candidate_
   FROM lineitem)"""
 RANK_SQL = (
     "effective_change DESC, patchability DESC, canonical DESC, improved DESC, after_cost, "
-    "l_linenumber, l_partkey, l_suppkey"
+    "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 )
 TIER_SQL = "CASE WHEN patchability >= 80 THEN 'HIGH' WHEN patchability >= 60 THEN 'MEDIUM' ELSE 'LOW' END"
 
@@ -67,7 +67,7 @@ def cd_select_best(t):
     "cd_select_best_first5",
     f"""
 WITH {CANDIDATES_SQL},
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS p
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p
   FROM c) WHERE p <= 5), {_best_sql('f')} SELECT * FROM best""",
 )
 def cd_select_best_first5(t):
@@ -90,7 +90,7 @@ def cd_runner_up(t):
     f"""
 WITH {CANDIDATES_SQL},
 m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {RANK_SQL}) AS quality,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM c WHERE semantic_match),
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM c WHERE semantic_match),
 b AS (SELECT l_orderkey, pos AS best_pos FROM m WHERE quality = 1),
 x AS (SELECT m.l_orderkey, candidate_id, row_number() OVER (PARTITION BY m.l_orderkey
   ORDER BY pos > best_pos, CASE WHEN pos < best_pos THEN quality ELSE pos END) AS rn

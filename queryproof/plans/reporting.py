@@ -18,7 +18,7 @@ from queryproof.operators.lookup import enrich
 from queryproof.plans.registry import query
 from queryproof.plans.textjobs import CODES, counted, reason, reason_sql
 
-POSITION = ["l_linenumber", "l_partkey", "l_suppkey"]
+POSITION = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
 def _null():
@@ -61,8 +61,8 @@ g AS (SELECT l_orderkey, count(*) AS n_variants, count(*) FILTER (status = 'PASS
   count(*) FILTER (gate = 'PASS') AS n_gate_pass, count(*) FILTER (gate = 'BLOCKED') AS n_gate_blocked,
   count(*) FILTER (gate = 'UNCERTAIN') AS n_gate_uncertain, count(candidate) AS nc, count(DISTINCT family) AS nf,
   count(DISTINCT surface) AS ns, count(DISTINCT ops) AS no, min(family) AS f, min(surface) AS s, min(ops) AS o,
-  first(status_reason ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (status_reason IS NOT NULL) AS sr,
-  first(gate_reason ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (gate <> 'PASS' AND gate_reason IS NOT NULL) AS gr
+  first(status_reason ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) FILTER (status_reason IS NOT NULL) AS sr,
+  first(gate_reason ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) FILTER (gate <> 'PASS' AND gate_reason IS NOT NULL) AS gr
   FROM v GROUP BY l_orderkey),
 r AS (SELECT *, CASE WHEN l_orderkey % 17 = 0 THEN 'SHAPE_FAMILY_NOT_TARGET'
   WHEN n_pass < n_variants THEN coalesce(sr, 'VALIDATE_STATUS_NOT_PASS')
@@ -107,11 +107,11 @@ def rp_ops_fingerprint(t):
 @query(
     "rp_first_conflict",
     """
-WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity > 40 THEN 'FAIL' ELSE 'PASS' END AS gate,
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_quantity > 40 THEN 'FAIL' ELSE 'PASS' END AS gate,
   CASE WHEN l_tax > 0.07 THEN 'HARD_CONFLICT_X' WHEN l_returnflag = 'N' THEN 'SEMANTIC_PREDICATE_CHANGED'
        WHEN l_linestatus = 'F' AND l_discount > 0.02 THEN 'SEMANTIC_ORDERING_CHANGED'
        WHEN l_linenumber = 4 THEN 'SEMANTIC_ROW_COUNT_UNVERIFIED' END AS reason FROM lineitem),
-x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY reason IS NULL, l_linenumber, l_partkey, l_suppkey) AS rn
+x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY reason IS NULL, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn
   FROM r WHERE gate <> 'PASS')
 SELECT l_orderkey, coalesce(reason, 'SEMANTIC_GATE_NOT_PASS') AS conflict FROM x WHERE rn = 1""",
 )
@@ -140,7 +140,7 @@ def rp_first_conflict(t):
     f"""
 WITH {VARIANTS_SQL},
 a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC,
-  l_suppkey DESC) AS rn FROM v) WHERE rn = 1),
+  l_suppkey DESC, l_extendedprice DESC) AS rn FROM v) WHERE rn = 1),
 w AS (SELECT o_orderkey, coalesce(status, 'PENDING') AS status, coalesce(gate, 'UNKNOWN') AS gate_status,
   CASE WHEN l_tax IS NULL THEN 'UNKNOWN' WHEN l_tax > 0.05 THEN 'HIGH' WHEN l_tax > 0.02 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
   coalesce(c_mktsegment = 'BUILDING', false) AS patch_applicable, l_extendedprice AS before_cost, status_reason,
@@ -155,7 +155,7 @@ SELECT o_orderkey, status, gate_status, confidence, patch_applicable, before_cos
 )
 def rp_sql_rows(t):
     """One wide row per statement: latest acceptance row, patch row of its group, reasons."""
-    accepted = variants(t, "l_tax", "l_extendedprice", "l_returnflag")
+    accepted = variants(t, "l_tax", "l_returnflag")
     latest = [(p, "desc") for p in POSITION]
     rows = enrich(
         t.orders.select("o_orderkey", "o_custkey"), accepted, "o_orderkey", "l_orderkey", latest,
@@ -647,9 +647,9 @@ def rp_unresolved_refs(t):
 @query(
     "rp_clear_winner",
     """
-WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity > 40 THEN 'PASS' ELSE 'FAIL' END AS status FROM lineitem),
+WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_quantity > 40 THEN 'PASS' ELSE 'FAIL' END AS status FROM lineitem),
 n AS (SELECT *, count(*) FILTER (status = 'PASS') OVER (PARTITION BY l_orderkey) AS n_pass FROM v)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n_pass,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, n_pass,
   CASE WHEN NOT (n_pass = 1 AND status = 'PASS') THEN 'PATCH_CONFLICT_NO_CLEAR_WINNER' END AS gate_code FROM n""",
 )
 def rp_clear_winner(t):
