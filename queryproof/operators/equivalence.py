@@ -71,10 +71,12 @@ def compare_bags(
     Both sides go through one aggregation. A side that is missing for a key counts zero rows.
     ``vacuous`` marks comparisons where both sides are empty and the match says nothing.
     """
-    agg = (
-        tagged_hashes(before, after, keys, algorithm)
-        .groupBy(*keys)
-        .agg(*_bag_aggregates(F.col("h_before"), "before"), *_bag_aggregates(F.col("h_after"), "after"))
+    return _judged(tagged_hashes(before, after, keys, algorithm), keys)
+
+
+def _judged(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    agg = tagged.groupBy(*keys).agg(
+        *_bag_aggregates(F.col("h_before"), "before"), *_bag_aggregates(F.col("h_after"), "after")
     )
     same_count = F.col("n_before") == F.col("n_after")
     printed = agg.select(
@@ -96,8 +98,12 @@ def pair_report(pair_id: str, before: DataFrame, after: DataFrame, algorithm: st
 
     The default hash is Spark's own; ``md5`` gives fingerprints that any SQL engine can recompute.
     """
-    return compare_bags(before, after, algorithm=algorithm).select(
-        F.lit(pair_id).alias("pair_id"),
+    return _report(compare_bags(before, after, algorithm=algorithm).select(F.lit(pair_id).alias("pair_id"), "*"))
+
+
+def _report(compared: DataFrame) -> DataFrame:
+    return compared.select(
+        "pair_id",
         "n_before",
         "n_after",
         "fp_before",
@@ -107,11 +113,20 @@ def pair_report(pair_id: str, before: DataFrame, after: DataFrame, algorithm: st
     )
 
 
-def compare_batch(
-    pairs: Sequence[tuple[str, DataFrame, DataFrame]], algorithm: str = "native"
-) -> DataFrame:
-    """Reports for many pairs, one row each, in a single job."""
-    return reduce(DataFrame.unionByName, [pair_report(p, b, a, algorithm) for p, b, a in pairs])
+def compare_batch(pairs: Sequence[tuple[str, DataFrame, DataFrame]], algorithm: str = "native") -> DataFrame:
+    """Reports for many pairs, one row each.
+
+    All hashes meet in one aggregation by pair: one shuffle of partial rows for the whole batch. A
+    row without hashes stands for each pair, so that pairs which are empty on both sides show up.
+    """
+
+    def tagged(pair_id: str, before: DataFrame, after: DataFrame) -> DataFrame:
+        none = F.lit(None).cast("bigint")
+        marker = before.sparkSession.range(1).select(none.alias("h_before"), none.alias("h_after"))
+        hashes = tagged_hashes(before, after, algorithm=algorithm).unionByName(marker)
+        return hashes.select(F.lit(pair_id).alias("pair_id"), "h_before", "h_after")
+
+    return _report(_judged(reduce(DataFrame.unionByName, [tagged(*p) for p in pairs]), ["pair_id"]))
 
 
 def row_counts(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ TYPES_SQL = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'i
     + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in METADATA_TABLES)
     + f""")
 SELECT c.table_name, r.n_rows, CAST(ordinal_position AS INTEGER) AS position, column_name, {TYPES_SQL} AS data_type, true AS nullable,
-  0 AS n_null FROM information_schema.columns c JOIN r ON r.table_name = c.table_name""",
+  CAST(0 AS BIGINT) AS n_null FROM information_schema.columns c JOIN r ON r.table_name = c.table_name""",
 )
 def io_table_metadata(t):
     return reduce(DataFrame.unionByName, [catalog.table_metadata(n, t.read(n)) for n in METADATA_TABLES])

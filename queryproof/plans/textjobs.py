@@ -29,7 +29,7 @@ def counted(df, *names):
 )
 def tx_normalize(t):
     clean = normalize(F.col("text"))
-    return t.documents.select("doc_id", F.md5(clean).alias("digest"), F.length(clean).alias("n_chars"))
+    return t.documents.select("doc_id", F.md5(clean).alias("digest"), F.length(clean).cast("bigint").alias("n_chars"))
 
 
 @query(

@@ -156,6 +156,13 @@ def test_vacuous_matches_are_marked(t):
     assert eq.pair_report("x", none, none).collect()[0]["vacuous"]
 
 
+def test_batch_reports_every_pair(t):
+    o, none = t.orders, t.orders.filter("o_orderkey < 0")
+    pairs = [("same", o, o), ("fewer", o, o.filter("o_orderkey > 3")), ("empty", none, none.select(*o.columns)), ("one", none, o.limit(1))]
+    got = {r["pair_id"]: (r["status"], r["vacuous"]) for r in eq.compare_batch(pairs).collect()}
+    assert got == {"same": ("MATCH", False), "fewer": ("MISMATCH", False), "empty": ("MATCH", True), "one": ("MISMATCH", False)}
+
+
 def test_samples_pick_the_same_keys(t):
     left = eq.key_sample(t.lineitem, ["l_orderkey"], 10, 3)
     right = eq.key_sample(t.lineitem.repartition(9).withColumn("l_tax", F.lit(1.0)), ["l_orderkey"], 10, 3)
