@@ -2,97 +2,106 @@
 
 Two rows have the same canonical text exactly when they are equal value by value: strings carry
 their length, NULL has its own mark, maps are sorted by key and ``-0.0`` equals ``0.0``.
+
+Expressions are written as SQL text: one parse per row expression instead of many small calls from
+Python to the JVM, which matters when hundreds of query pairs are compared in one job.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NULL_MARK = "N"
+STRINGS = (T.StringType, T.CharType, T.VarcharType)
+NESTED = (T.ArrayType, T.MapType, T.StructType)
+
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def scalar_text(col: Column, dtype: T.DataType) -> Column:
+
+def scalar_text_sql(x: str, dtype: T.DataType) -> str:
     """Text of a value that is neither a string nor nested; NULL for NULL."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return (col + F.lit(0.0).cast(dtype)).cast("string")
+        return f"CAST({x} + CAST(0 AS {dtype.simpleString()}) AS STRING)"
     if isinstance(dtype, T.BinaryType):
-        return F.hex(col)
+        return f"hex({x})"
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(col).cast("string")
-    return col.cast("string")
+        return f"CAST(unix_micros({x}) AS STRING)"
+    return f"CAST({x} AS STRING)"
 
 
-def value_text(col: Column, dtype: T.DataType) -> Column:
+def value_text_sql(x: str, dtype: T.DataType, depth: int = 0) -> str:
     """Canonical text of one value; never NULL."""
-    if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
-        text = F.concat(F.lit("S"), F.length(col).cast("string"), F.lit(":"), col)
+    v = f"v{depth}"
+    if isinstance(dtype, STRINGS):
+        text = f"concat('S', CAST(length({x}) AS STRING), ':', {x})"
     elif isinstance(dtype, T.ArrayType):
-        items = F.transform(col, lambda v: value_text(v, dtype.elementType))
-        text = F.concat(F.lit("["), F.array_join(items, "|"), F.lit("]"))
+        item = value_text_sql(v, dtype.elementType, depth + 1)
+        text = f"concat('[', array_join(transform({x}, {v} -> {item}), '|'), ']')"
     elif isinstance(dtype, T.MapType):
-        entries = F.transform(
-            F.map_entries(col),
-            lambda e: F.concat(
-                value_text(e["key"], dtype.keyType), F.lit("="), value_text(e["value"], dtype.valueType)
-            ),
-        )
-        text = F.concat(F.lit("{"), F.array_join(F.array_sort(entries), "|"), F.lit("}"))
+        key = value_text_sql(f"{v}.key", dtype.keyType, depth + 1)
+        value = value_text_sql(f"{v}.value", dtype.valueType, depth + 1)
+        entries = f"transform(map_entries({x}), {v} -> concat({key}, '=', {value}))"
+        text = f"concat('{{', array_join(array_sort({entries}), '|'), '}}')"
     elif isinstance(dtype, T.StructType):
-        parts = [value_text(col[f.name], f.dataType) for f in dtype.fields]
-        text = F.concat(F.lit("("), F.concat_ws("|", *parts), F.lit(")"))
+        fields = [value_text_sql(f"{x}.{quoted(f.name)}", f.dataType, depth + 1) for f in dtype.fields]
+        text = f"concat('(', concat_ws('|', {', '.join(fields)}), ')')"
     else:
-        text = F.concat(F.lit("V"), scalar_text(col, dtype))
-    return F.when(col.isNull(), F.lit(NULL_MARK)).otherwise(text)
+        text = f"concat('V', {scalar_text_sql(x, dtype)})"
+    return f"CASE WHEN {x} IS NULL THEN 'N' ELSE {text} END"
+
+
+def row_text_sql(schema: T.StructType, columns: Sequence[str] | None = None) -> str:
+    """Canonical text of a whole row as one concatenation, which builds it in a single buffer."""
+    types = {f.name: f.dataType for f in schema.fields}
+    parts = []
+    for i, name in enumerate(columns or schema.names):
+        x, dtype, sep = quoted(name), types[name], "|" if i else ""
+        if isinstance(dtype, NESTED):
+            parts += [f"'{sep}'", value_text_sql(x, dtype)]
+            continue
+        kind = "S" if isinstance(dtype, STRINGS) else "V"
+        parts.append(f"CASE WHEN {x} IS NULL THEN '{sep}N' ELSE '{sep}{kind}' END")
+        if kind == "S":
+            parts += [f"coalesce(concat(CAST(length({x}) AS STRING), ':'), '')", f"coalesce({x}, '')"]
+        else:
+            parts.append(f"coalesce({scalar_text_sql(x, dtype)}, '')")
+    return f"concat({', '.join(parts)})"
+
 
+def native_hash_sql(schema: T.StructType, columns: Sequence[str], salt: int = 0) -> str:
+    """xxhash64 skips NULLs, so their pattern is hashed as well; nested values go in as text."""
+    types = {f.name: f.dataType for f in schema.fields}
+    values = [value_text_sql(quoted(n), types[n]) if isinstance(types[n], NESTED) else quoted(n) for n in columns]
+    nulls = [f"CASE WHEN {quoted(n)} IS NULL THEN '1' ELSE '0' END" for n in columns]
+    return f"xxhash64({salt}, {', '.join(values)}, concat({', '.join(nulls)}))"
 
-def row_text(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Canonical text of a whole row, columns in the given order.
 
-    Plain columns go straight into one concatenation, which builds the text in a single buffer.
-    """
-    parts: list[Column] = []
-    for i, name in enumerate(columns or df.columns):
-        dtype, col = df.schema[name].dataType, F.col(f"`{name}`")
-        sep = "|" if i else ""
-        missing = F.when(col.isNull(), sep + NULL_MARK)
-        empty = F.lit("")
-        if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
-            length = F.concat(F.length(col).cast("string"), F.lit(":"))
-            parts += [missing.otherwise(sep + "S"), F.coalesce(length, empty), F.coalesce(col, empty)]
-        elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
-            parts += [F.lit(sep), value_text(col, dtype)]
-        else:
-            parts += [missing.otherwise(sep + "V"), F.coalesce(scalar_text(col, dtype), empty)]
-    return F.concat(*parts)
+def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """Canonical text of a row, columns in the given order."""
+    return F.expr(row_text_sql(df.schema, columns))
 
 
-def row_hash(df: DataFrame, columns: list[str] | None = None, algorithm: str = "native") -> Column:
+def row_hash(df: DataFrame, columns: Sequence[str] | None = None, algorithm: str = "native") -> Column:
     """Row hash as BIGINT.
 
     ``md5``: 60 bits of the MD5 of the canonical text; any SQL engine can recompute it.
     ``native``: xxhash64 over the typed columns and their NULL pattern, several times faster.
     """
+    schema = df.schema
     if algorithm == "native":
-        return _native_hash(df, columns or df.columns)
+        return F.expr(native_hash_sql(schema, columns or schema.names))
     if algorithm != "md5":
         raise ValueError(f"unknown row hash algorithm: {algorithm}")
-    return F.conv(F.substring(F.md5(row_text(df, columns)), 1, 15), 16, 10).cast("bigint")
+    return F.expr(f"CAST(conv(substring(md5({row_text_sql(schema, columns)}), 1, 15), 16, 10) AS BIGINT)")
 
 
 def row_digest(df: DataFrame) -> Column:
     """128 bits of two native hashes, for grouping equal rows without moving them."""
-    second = _native_hash(df, df.columns, salt=1)
-    return F.struct(_native_hash(df, df.columns).alias("a"), second.alias("b"))
-
-
-def _native_hash(df: DataFrame, names: list[str], salt: int = 0) -> Column:
-    """xxhash64 skips NULLs, so their pattern is hashed as well; nested values go in as text."""
-    values, nulls = [], []
-    for name in names:
-        dtype, col = df.schema[name].dataType, F.col(f"`{name}`")
-        nested = isinstance(dtype, (T.ArrayType, T.MapType, T.StructType))
-        values.append(value_text(col, dtype) if nested else col)
-        nulls.append(F.when(col.isNull(), "1").otherwise("0"))
-    return F.xxhash64(F.lit(salt), *values, F.concat(*nulls))
+    schema = df.schema
+    first, second = (native_hash_sql(schema, schema.names, salt) for salt in (0, 1))
+    return F.expr(f"named_struct('a', {first}, 'b', {second})")

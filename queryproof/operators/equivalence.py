@@ -21,29 +21,28 @@ from queryproof.operators.ranking import ranked_rows
 _SLICES = ((40, None), (20, 0xFFFFF), (0, 0xFFFFF))
 
 
-def _bag_aggregates(h: Column, suffix: str) -> list[Column]:
-    out = [F.count(h).alias(f"n_{suffix}"), F.coalesce(F.bit_xor(h), F.lit(0).cast("bigint")).alias(f"x_{suffix}")]
+def _bag_aggregates(h: str, suffix: str) -> list[Column]:
+    out = [f"count({h}) AS n_{suffix}", f"coalesce(bit_xor({h}), 0L) AS x_{suffix}"]
     for shift, mask in _SLICES:
-        part = F.shiftright(h, shift) if shift else h
+        part = f"shiftright({h}, {shift})" if shift else h
         if mask is not None:
-            part = part.bitwiseAND(F.lit(mask).cast("bigint"))
-        out.append(F.coalesce(F.sum(part), F.lit(0).cast("bigint")).alias(f"s{shift}_{suffix}"))
-    return out
+            part = f"({part} & {mask}L)"
+        out.append(f"coalesce(sum({part}), 0L) AS s{shift}_{suffix}")
+    return [F.expr(e) for e in out]
 
 
 def _fingerprint(suffix: str) -> Column:
     """``count:sum:xor`` of a side as text."""
-    total = sum(
-        (F.col(f"s{shift}_{suffix}").cast("decimal(20,0)") * F.lit(2**shift).cast("decimal(13,0)") for shift, _ in _SLICES),
-        F.lit(0).cast("decimal(1,0)"),
-    )
-    return F.concat_ws(":", *[c.cast("string") for c in (F.col(f"n_{suffix}"), total, F.col(f"x_{suffix}"))])
+    slices = [
+        f"CAST(s{shift}_{suffix} AS DECIMAL(20, 0)) * CAST({2**shift} AS DECIMAL(13, 0))" for shift, _ in _SLICES
+    ]
+    return F.expr(f"concat_ws(':', n_{suffix}, {' + '.join(slices)}, x_{suffix})")
 
 
 def bag_fingerprint(df: DataFrame, keys: Sequence[str] = (), algorithm: str = "native") -> DataFrame:
     """``(keys..., n_rows, fingerprint)``; one row for the whole table when there are no keys."""
     hashed = df.select(*keys, row_hash(df, algorithm=algorithm).alias("h"))
-    agg = hashed.groupBy(*keys).agg(*_bag_aggregates(F.col("h"), "rows"))
+    agg = hashed.groupBy(*keys).agg(*_bag_aggregates("h", "rows"))
     return agg.select(*keys, "n_rows", _fingerprint("rows").alias("fingerprint"))
 
 
@@ -76,7 +75,7 @@ def compare_bags(
 
 def _judged(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     agg = tagged.groupBy(*keys).agg(
-        *_bag_aggregates(F.col("h_before"), "before"), *_bag_aggregates(F.col("h_after"), "after")
+        *_bag_aggregates("h_before", "before"), *_bag_aggregates("h_after", "after")
     )
     same_count = F.col("n_before") == F.col("n_after")
     printed = agg.select(
