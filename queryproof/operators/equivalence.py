@@ -157,28 +157,29 @@ def compare_sample(
     return compare_bags(*sides, algorithm=algorithm)
 
 
-def diff_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+def diff_rows(before: DataFrame, after: DataFrame, path: str | None = None) -> DataFrame:
     """Rows whose multiplicity differs, with ``n_before`` and ``n_after``.
 
-    Digests are counted first: a digest that occurs equally often on both sides is dropped before
-    any full row is shuffled. Only the rows behind the remaining digests are then grouped by all
-    their columns. Both inputs are read twice; what travels is 16 bytes per row plus the differences.
+    Without a path this is one aggregation over all columns, which shuffles every row. With a
+    ``path`` in shared storage, 128-bit digests are counted first and the uneven ones are written
+    there; rows are then looked up by digest before they are grouped. The written table has a known
+    size, so Spark broadcasts it when it is below its threshold (no full row is shuffled but the
+    differing ones) and shuffles when it is not. Both inputs are then read twice.
     """
     names = before.columns
 
     def side(df: DataFrame, in_before: int) -> DataFrame:
-        return df.select(*names, row_digest(df).alias("_d"), F.lit(in_before).alias("_b"), F.lit(1 - in_before).alias("_a"))
+        digest = row_digest(df)
+        return df.select(*names, digest["a"].alias("_d1"), digest["b"].alias("_d2"), F.lit(in_before).alias("_b"))
 
     rows = side(before, 1).unionByName(side(after, 0))
-    uneven = (
-        rows.groupBy("_d").agg(F.sum("_b").alias("_nb"), F.sum("_a").alias("_na")).filter("_nb <> _na").select("_d")
-    )
-    return (
-        rows.join(uneven, "_d", "left_semi")
-        .groupBy(*names)
-        .agg(F.sum("_b").alias("n_before"), F.sum("_a").alias("n_after"))
-        .filter(F.col("n_before") != F.col("n_after"))
-    )
+    n_before, n_after = F.sum("_b"), F.sum(1 - F.col("_b"))
+    if path is not None:
+        uneven = rows.groupBy("_d1", "_d2").agg(n_before.alias("_nb"), n_after.alias("_na")).filter("_nb <> _na")
+        uneven.select("_d1", "_d2").write.mode("overwrite").parquet(path)
+        rows = rows.join(before.sparkSession.read.parquet(path), ["_d1", "_d2"], "left_semi")
+    counted = rows.groupBy(*names).agg(n_before.alias("n_before"), n_after.alias("n_after"))
+    return counted.filter(F.col("n_before") != F.col("n_after"))
 
 
 def changed_cells(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:

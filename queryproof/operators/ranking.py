@@ -59,7 +59,8 @@ def ranked_rows(
     """``row_number()`` over each key for every row, without bringing a key into one task.
 
     ``bucket`` must be the leading order column or a monotone function of it. Rows are numbered
-    inside (key, bucket); bucket counts, a far smaller table, give each bucket its start.
+    inside (key, bucket); bucket counts, a far smaller table, give each bucket its start. A bucket of
+    one key is the unit of work: for very hot keys choose a finer bucket.
     """
     direction = order[0][1]
     start_order = F.col("_bucket").desc_nulls_last() if direction == "desc" else F.col("_bucket").asc_nulls_last()

@@ -126,7 +126,8 @@ FROM u GROUP BY ALL HAVING sum(b) <> sum(a)""",
 )
 def eq_diff_rows(t):
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice"]
-    return eq.diff_rows(t.lineitem.select(*cols), perturbed_lineitem(t).select(*cols))
+    before, after = t.lineitem.select(*cols), perturbed_lineitem(t).select(*cols)
+    return eq.diff_rows(before, after, t.scratch("eq_diff_rows"))
 
 
 def _grouped_bag_sql(rows):

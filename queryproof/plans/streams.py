@@ -13,9 +13,8 @@ from queryproof.streaming import eventlog as log
 def _log(t, label):
     """The events as a log in shared scratch space: ``(stream, folder)``."""
     folder = t.scratch(label)
-    events = t.events
-    write_jsonl(events.repartition(4, "event_id"), f"{folder}/log")
-    return log.read_event_log(t.spark, f"{folder}/log", events.schema, files_per_batch=2), folder
+    write_jsonl(t.events, f"{folder}/log")
+    return log.read_event_log(t.spark, f"{folder}/log", t.events.schema), folder
 
 
 @query("st_event_log", "SELECT event_id, user_id, event_type, value, props, CAST(ts AS VARCHAR) AS ts FROM events")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from queryproof.functions.canon import row_text
 from queryproof.operators import equivalence as eq
 from queryproof.plans.registry import PAIRS, load_all
+from queryproof.session import scratch_path
 
 ALGORITHMS = ["native", "md5"]
 load_all()
@@ -113,9 +114,10 @@ def test_bags_match_exactly_when_equal(spark, left, right):
     same = sorted(map(repr, left)) == sorted(map(repr, right))
     for algorithm in ALGORITHMS:
         assert (eq.pair_report("x", a, b, algorithm).collect()[0]["status"] == "MATCH") == same
-    differing = {(r["s"], r["n"]): (r["n_before"], r["n_after"]) for r in eq.diff_rows(a, b).collect()}
     want = {r: (left.count(r), right.count(r)) for r in set(left) | set(right) if left.count(r) != right.count(r)}
-    assert differing == want
+    for path in (None, scratch_path(spark, "diff")):
+        differing = {(r["s"], r["n"]): (r["n_before"], r["n_after"]) for r in eq.diff_rows(a, b, path).collect()}
+        assert differing == want
 
 
 def test_grouped_comparison_and_ledger(spark):
