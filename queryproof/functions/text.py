@@ -32,8 +32,3 @@ def without_comments(text: Column) -> Column:
 def normalize(text: Column) -> Column:
     """Comments removed, white space collapsed, lower case."""
     return F.lower(collapse(without_comments(F.coalesce(text, F.lit("")))))
-
-
-def occurrences(text: Column, pattern: str) -> Column:
-    """Number of matches of a pattern."""
-    return F.regexp_count(text, F.lit(pattern))

@@ -213,7 +213,7 @@ def pf_redundant_not_null_audit(t):
     o = t.orders.select("o_orderkey", F.nullif(F.col("o_custkey"), F.lit(7)).alias("k"))
     after = exists_in(o, "k", t.customer, "c_custkey")
     before = after.filter(F.col("k").isNotNull())
-    null_keys = o.agg(F.count_if(F.col("k").isNull())).scalar()
+    null_keys = audits.null_count(o, F.col("k")).select("n_null").scalar()
     same = F.col("fp_before") == F.col("fp_after")
     return compare_bags(before, after).select(
         null_keys.alias("n_null_keys"), "n_before", "n_after", F.when(same, "MATCH").otherwise("MISMATCH").alias("status")
