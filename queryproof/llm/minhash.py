@@ -248,18 +248,20 @@ def near_duplicates(
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text"))
     signs = written(signature_table(slim, n, bands, rows, weighting), "dart-signatures")
     known = signs.filter("id IS NOT NULL")
-    nodes = known.groupBy("copy").agg(F.min("id").alias("node"))
+    # what is grouped is written before it is joined: only then can a hot key be split
+    nodes = written(known.groupBy("copy").agg(F.min("id").alias("node")), "dart-nodes")
     members = written(
         known.select("id", "copy").join(nodes, "copy").groupBy("id").agg(F.min("node").alias("node")), "dart-members"
     )
     keyed = known.join(nodes.select(F.col("node").alias("id"), "copy"), ["id", "copy"], "left_semi")
     keyed = keyed.select(F.col("id").alias("node"), F.explode("keys").alias("bucket"))
-    size = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    size = written(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "dart-sizes")
     shared = written(keyed.join(size, "bucket").select("bucket", "node", "n"), "dart-buckets")
     fame = shared.groupBy("node").agg(F.sum("n").alias("fame"))
     known_fame = shared.join(fame, "node")
     centre = known_fame.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("node")).alias("least"))).alias("c"))
-    stars = shared.join(centre.select("bucket", (-F.col("c.least")).alias("b")), "bucket")
+    centre = written(centre.select("bucket", (-F.col("c.least")).alias("b")), "dart-centres")
+    stars = shared.join(centre, "bucket")
     stars = written(stars.filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "dart-stars")
     candidates = slim.join(fame.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     items = written(shingle_table(candidates, n, weighting), "dart-items")
@@ -269,10 +271,11 @@ def near_duplicates(
     # what buckets with several classes still hide
     classed = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed_up = classed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    rest = written(classed.join(mixed_up.select("bucket"), "bucket", "left_semi"), "dart-rest")
+    mixed_up = written(mixed_up.select("bucket"), "dart-mixed")
+    rest = written(classed.join(mixed_up, "bucket", "left_semi"), "dart-rest")
     inside = items.join(rest.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     each = inside.select("id", F.size("items").alias("size"), F.explode("items").alias("item"))
-    common = each.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1").select("item")
+    common = written(each.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1").select("item"), "dart-common")
     counts = each.join(common, "item", "left_semi").groupBy(F.col("id").alias("node"), "size").agg(F.count("*").alias("may"))
     counts = written(counts.filter(F.col("may") * 1000 >= F.col("size") * per_mille), "dart-counts")
     open_ = written(rest.join(counts, "node"), "dart-open")

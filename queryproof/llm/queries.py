@@ -8,8 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queryproof.llm import minhash, mixing, pseudonyms, sharding, toxicity, trie_bpe
+from queryproof.llm import kdtree, media, minhash, mixing, pseudonyms, sharding, spans, toxicity, trie_bpe, warc
 from queryproof.llm.common import read_table
+from queryproof.session import scratch_path
 
 #: Stands in for a secret that an owner would keep; pseudonyms are linked as long as it stays the same.
 PSEUDONYM_KEY = b"queryproof example key"
@@ -26,6 +27,10 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.drop_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pseudonyms.pseudonymize_column(docs, PSEUDONYM_KEY)
@@ -37,6 +42,15 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+def op6_wave_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = media.store_as_wave(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return media.media_features(docs)
+
+
 def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return trie_bpe.digest_column(docs, word_vocabulary())
@@ -55,16 +69,57 @@ def op9_difference_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index = warc.archived(pages, scratch_path(spark, "warc"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_dart_minhash,
+        op2_sentence_spans,
         op3_feistel_pseudonyms,
         op4_mix_sources,
+        op5_kdtree_top_k,
+        op6_wave_media,
         op7_trie_bpe,
         op8_factorization_toxicity,
         op9_difference_shards,
+        op10_warc_index,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_kdtree_top_k": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+    WHERE q.vec_id % 50 = 0
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score
+    FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_warc_index": """
+WITH p AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), f AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id
+    FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f""",
+}
