@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryproof.llm.common import ranked, scalar, text_or_empty, totals_before, written
+from queryproof.llm.common import ranked, scalar, text_or_empty, totals_before, unused, written
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,18 +77,20 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus, with the columns of ``docs``.
 
     A document comes once for every whole time it is taken; a part is a further row with its first
-    words, joined by blanks, in ``text``, and with ``n_chars``, where there is one, set anew. Ids must
-    be unique: rows that share an id with another row, or have none, are left out of the mix.
+    words, joined by blanks, in ``text``, and with ``n_chars``, where there is one, set anew. Rows
+    without an id are left out; ids must be unique, as the plan is joined by them.
     """
-    plan = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken")
-    rows = docs.join(plan, docs.doc_id == F.col("_id"))
-    part = F.pmod("taken", F.col("size"))
-    times = F.floor(F.col("taken") / F.col("size")).cast("int") + F.when(part > 0, 1).otherwise(0)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1), times)).alias("_time"))
-    cut = F.col("_time") * F.col("size") > F.col("taken")
+    own, size, taken, time = unused(docs, "mix_id", "mix_size", "mix_taken", "mix_time")
+    plan = mix(docs, **options).filter("taken > 0")
+    plan = plan.select(F.col("doc_id").alias(own), F.col("size").alias(size), F.col("taken").alias(taken))
+    rows = docs.join(plan, F.col("doc_id") == F.col(own))
+    part = F.pmod(taken, size)
+    times = F.floor(F.col(taken) / F.col(size)).cast("int") + F.when(part > 0, 1).otherwise(0)
+    rows = rows.withColumn(time, F.explode(F.sequence(F.lit(1), times)))
+    cut = F.col(time) * F.col(size) > F.col(taken)
     words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), part.cast("int"))
     rows = rows.withColumn("text", F.when(cut, F.array_join(words, " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         chars = F.when(cut, F.length("text")).otherwise(F.col("n_chars"))
         rows = rows.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

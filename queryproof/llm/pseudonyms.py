@@ -149,10 +149,10 @@ def swap_date(text: str, key: bytes, back: bool) -> str | None:
     if n is None:
         return None
     padded = all(len(x) > 1 for x in text.split(mark))
-    while True:
+    while True:  # what is written in another way than it is read back as is no result
         n = permute(n, DAYS, "date", key, back)
         day = dt.date.fromordinal(FIRST_DAY + n)
-        if not month_first or day.day > 12:
+        if (day.day > 12 or not month_first) and (padded or min(day.day, day.month) < 10):
             break
     parts = [day.year, day.month, day.day] if mark == "-" else [day.day, day.month, day.year]
     if month_first:

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryproof.llm.common import map_batches, ship, with_fields, written
+from queryproof.llm.common import map_batches, ship, unused, with_fields, written
 
 ship(__name__)
 
@@ -99,16 +99,17 @@ def drop_repeats(
     repeated = written(repeated.filter("first_id < last_id").drop("last_id"), "span-repeats")
     later = found.join(repeated, ["h1", "h2"]).filter("id > first_id")
     cover = later.groupBy("id").agg(F.collect_set(F.struct("i", "j")).alias("_cover"))
-    cover = written(cover.withColumnRenamed("id", "_id"), "span-covers")
-    rows = docs.join(cover, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    own, spans_ = unused(docs, "span_id", "span_cover")
+    cover = written(cover.select(F.col("id").alias(own), F.col("_cover").alias(spans_)), "span-covers")
+    rows = docs.join(cover, F.col(id_col) == F.col(own), "left").drop(own)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         bodies, counts, gone = [], [], []
         covers = batch.column(len(names)).to_pylist()
-        for body, spans_ in zip(batch.column(names.index(text)).to_pylist(), covers, strict=True):
+        for body, later_ in zip(batch.column(names.index(text)).to_pylist(), covers, strict=True):
             parts = sentences(body or "")
             covered = own_repeats(runs(parts, several, least, enough))[1]
-            for span in spans_ or ():
+            for span in later_ or ():
                 covered.update(range(span["i"], span["j"] + 1))
             kept = "".join([body[s:e] for k, (s, e, _, _) in enumerate(parts) if k not in covered]) if covered else body
             bodies.append(kept)

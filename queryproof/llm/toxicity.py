@@ -94,10 +94,10 @@ def train(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, most: int, fa
             touched, back = np.unique(term, return_inverse=True)
             grad_w = np.bincount(back, error[row], len(touched)) + 1e-3 * model.weight[touched]
             v = model.factor[term]
-            sums = np.stack([np.bincount(row, v[:, f], len(batch)) for f in range(factors)], 1)
-            each = error[row, None] * (sums[row] - v)
-            grad_v = np.stack([np.bincount(back, each[:, f], len(touched)) for f in range(factors)], 1)
-            grad_v += 1e-3 * model.factor[touched]
+            grad_v = 1e-3 * model.factor[touched]
+            for f in range(factors):
+                sums = np.bincount(row, v[:, f], len(batch))
+                grad_v[:, f] += np.bincount(back, error[row] * (sums[row] - v[:, f]), len(touched))
             grad_b = error.sum()
             sum_b += grad_b**2
             sum_w[touched] += grad_w**2

@@ -230,7 +230,7 @@ class Codec:
             text = unicodedata.normalize("NFC", text)
         # letter by letter where a rule for the end of words would apply
         text = text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
-        return SPACE.split(text) if ODD.search(text) else text.split()
+        return [p for p in SPACE.split(text) if p] if ODD.search(text) else text.split()
 
     def split(self, text: str) -> list[str]:
         if "<|" not in text or not self.v.special_split:
