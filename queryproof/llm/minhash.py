@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryproof.llm.common import map_batches, ship, worker_memo, written
+from queryproof.llm.common import map_batches, ship, unused, worker_memo, written
 from queryproof.llm.components import components
 
 ship(__name__)
@@ -217,6 +217,17 @@ def verified(pairs: DataFrame, items: DataFrame, per_mille: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(similar).select("a", "b")
 
 
+def open_pairs(rows: DataFrame, key: str, per_mille: int) -> DataFrame:
+    """Members ``(key, node, root, size, most)`` of different classes that share a key and could be similar
+    enough if at most ``most`` of their items can be shared."""
+    a, b = rows.alias("a"), rows.alias("b")
+    most = F.least("a.most", "b.most")
+    could = most * 1000 >= (F.col("a.size") + F.col("b.size") - most) * per_mille
+    near = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & could
+    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & near)
+    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -224,6 +235,7 @@ def near_duplicates(
     bands: int = 32,
     rows: int = 5,
     weighting: str = "set",
+    rare: int = 8,
     id_col: str = "doc_id",
 ) -> DataFrame:
     """Classes of near-duplicate documents: ``id_col, class_id, class_size, links``, one row per input row.
@@ -239,9 +251,10 @@ def near_duplicates(
     (1 - 0.8**5)**32, about 0.000003, one at 0.9 practically never. What is proposed is verified exactly.
     In a bucket of equal band keys members are not paired with each other at once: each is held against
     one centre, the member that shares most buckets with others (texts near an unedited original). Classes
-    follow. Then buckets that still hold several classes are completed: there every two members of
-    different classes are held against each other, except for those that exact counts rule out: shingles
-    that no other such member has can't be shared, which leaves edited texts too few. So no link between
+    follow. Then buckets that still hold several classes are completed, with pairs between classes only,
+    in two ways. Members that share a shingle which at most ``rare`` members have are paired by it. All
+    others can share no more than their more frequent shingles, so they are paired by bucket if both have
+    enough of those to be similar; edited texts have not. Both bounds are exact counts: no link between
     classes is lost, no pair inside a class is made, and nothing is capped.
     """
     per_mille = round(threshold * 1000)
@@ -273,18 +286,19 @@ def near_duplicates(
     mixed_up = classed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
     mixed_up = written(mixed_up.select("bucket"), "dart-mixed")
     rest = written(classed.join(mixed_up, "bucket", "left_semi"), "dart-rest")
-    inside = items.join(rest.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    each = inside.select("id", F.size("items").alias("size"), F.explode("items").alias("item"))
-    common = written(each.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1").select("item"), "dart-common")
-    counts = each.join(common, "item", "left_semi").groupBy(F.col("id").alias("node"), "size").agg(F.count("*").alias("may"))
+    places = written(rest.select(F.col("node").alias("id"), "root").distinct(), "dart-places")
+    each = items.join(places, "id").select("id", "root", F.size("items").alias("size"), F.explode("items").alias("item"))
+    common = written(each.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1"), "dart-common")
+    each = written(each.join(common, "item"), "dart-each")
+    counts = each.groupBy(F.col("id").alias("node"), "size").agg(
+        F.count("*").alias("may"), F.count_if(F.col("n") > rare).alias("core")
+    )
     counts = written(counts.filter(F.col("may") * 1000 >= F.col("size") * per_mille), "dart-counts")
-    open_ = written(rest.join(counts, "node"), "dart-open")
-    a, b = open_.alias("a"), open_.alias("b")
-    most = F.least("a.may", "b.may")
-    could = most * 1000 >= (F.col("a.size") + F.col("b.size") - most) * per_mille
-    near = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & could
-    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & near)
-    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    by_core = counts.filter(F.col("core") * 1000 >= F.col("size") * per_mille).drop("may")
+    by_core = written(rest.join(by_core.withColumnRenamed("core", "most"), "node"), "dart-core")
+    by_rare = each.filter(F.col("n") <= rare).select(F.col("id").alias("node"), "root", "item")
+    by_rare = written(by_rare.join(counts.withColumnRenamed("may", "most").drop("core"), "node"), "dart-rare")
+    pairs = open_pairs(by_core, "bucket", per_mille).union(open_pairs(by_rare, "item", per_mille)).distinct()
     more = written(verified(pairs.join(stars, ["a", "b"], "left_anti"), items, per_mille), "dart-more")
     all_links = links.union(more)
     if more.limit(1).count():
@@ -293,7 +307,8 @@ def near_duplicates(
     degree = ends.groupBy("node").agg(F.count("*").alias("links"))
     placed = members.join(roots.join(degree, "node", "left"), "node", "left")
     placed = placed.select("id", F.coalesce("root", "node").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    sizes = placed.groupBy("class_id").agg(F.count("*").alias("class_size"))
+    placed = written(placed, "dart-placed")
+    sizes = written(placed.groupBy("class_id").agg(F.count("*").alias("class_size")), "dart-classes")
     placed = placed.join(sizes, "class_id")
     out = slim.select("id").join(placed, "id", "left")
     return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("links", F.lit(0)).alias("links"))
@@ -304,6 +319,7 @@ def first_of_class(docs: DataFrame, **options) -> DataFrame:
 
     Rows with a null id stay. Of rows that share an id one stays.
     """
-    classes = near_duplicates(docs, **options).filter("class_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(classes, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    (own,) = unused(docs, "kept_id")
+    classes = near_duplicates(docs, **options).filter("class_id = doc_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(classes, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
     return kept.union(docs.filter("doc_id IS NULL"))
