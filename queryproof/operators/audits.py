@@ -56,9 +56,12 @@ def join_fanout(outer: DataFrame, outer_key: str, inner: DataFrame, inner_key: s
 
 
 def join_elimination(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
-    """May a joined table be dropped? LEFT needs a unique right key, INNER also no orphans."""
+    """May a joined table be dropped? LEFT needs a unique right key, INNER also no orphans.
+
+    NULL keys match nothing: on the right they don't count, on the left they are orphans.
+    """
     lk = key_counts(left, left_key, "_n_left")
-    rk = key_counts(right, right_key, "_n_right")
+    rk = key_counts(right.filter(F.col(right_key).isNotNull()), right_key, "_n_right")
     return (
         lk.join(rk, "_key", "full")
         .agg(

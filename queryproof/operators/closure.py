@@ -1,56 +1,63 @@
-"""Transitive closure of references between fragments, level by level."""
+"""Transitive closure of references between fragments."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 16
 
-
-def reference_closure(roots: DataFrame, edges: DataFrame, path: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def reference_closure(roots: DataFrame, edges: DataFrame, path: str) -> DataFrame:
     """``(root, n_refs, max_level, degraded)`` for every root.
 
     ``roots`` holds ``root``; ``edges`` holds ``(fragment, ref)``, where a fragment without references
-    has one row with a NULL ``ref``. References of a root are level 0. A reference that is itself a
-    fragment is followed, down to ``max_depth``; a root is degraded when a fragment is met there,
-    which every cycle leads to.
+    has one row with a NULL ``ref``. References of a root are level 0, and ``max_level`` is the level of
+    the one that takes most steps. A root is degraded if its references run into a cycle.
 
-    Each level is written below ``path`` and read back, so no plan grows with the depth, a lost
-    executor costs one level, and only distinct (root, ref) pairs travel. The driver sees nothing
-    but whether a level is empty.
+    Each round follows the references found last and keeps those that are new to their root, until there
+    are none: as many rounds as the longest chain, however long, and a cycle is walked once. Rounds are
+    written below ``path`` and read back, so no plan grows with the depth and a lost executor costs one
+    round. The driver sees nothing but whether a round is empty.
     """
     spark = edges.sparkSession
     links = edges.filter(F.col("ref").isNotNull()).select("fragment", "ref").distinct()
-    known = edges.select(F.col("fragment").alias("known")).distinct()
+    schema = roots.select("root", F.col("root").alias("at")).schema.add("level", "integer")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    reached = roots.select("root", F.col("root").alias("at"), F.lit(0).alias("level")).limit(0)
     frontier = roots.select("root", F.col("root").alias("at"))
-    depth = 0
-    while depth <= max_depth:
-        level = (
-            frontier.join(links, F.col("at") == F.col("fragment")).select("root", F.col("ref").alias("at")).distinct()
-        )
-        target = f"{path}/level={depth}"
-        level.write.mode("overwrite").parquet(target)
-        frontier = spark.read.schema(level.schema).parquet(target)
+    level = 0
+    while True:
+        step = frontier.join(links, F.col("at") == F.col("fragment")).select("root", F.col("ref").alias("at")).distinct()
+        step = step.join(reached, ["root", "at"], "left_anti").withColumn("level", F.lit(level))
+        frontier = kept(step, f"reached/round={level:06d}")
         if frontier.isEmpty():
             break
-        depth += 1
-    schema = "root bigint, at bigint, level int"
-    reached = spark.read.schema(schema).option("basePath", path).parquet(path)
-    pairs = reached.groupBy("root", "at").agg(F.max("level").alias("level"), F.min("level").alias("first_level"))
-    deepest = pairs.filter(F.col("level") == max_depth)
-    cut = (
-        deepest.join(known, F.col("at") == F.col("known"), "left_semi").select("root").distinct()
-        .select(F.col("root").alias("cut_root"))
-    )
-    counted = pairs.groupBy("root").agg(F.count("*").alias("n_refs"), F.max("first_level").alias("max_level"))
+        reached = spark.read.schema(schema).parquet(f"{path}/reached")
+        level += 1
+    endless = running_in_circles(links, kept).select(F.col("fragment").alias("_endless"))
+    counted = reached.groupBy("root").agg(F.count("*").alias("n_refs"), F.max("level").alias("max_level"))
     return (
         roots.join(counted, "root", "left")
-        .join(cut, F.col("root") == F.col("cut_root"), "left")
+        .join(endless, F.col("root") == F.col("_endless"), "left")
         .select(
             "root",
             F.coalesce("n_refs", F.lit(0)).alias("n_refs"),
             F.col("max_level").cast("int").alias("max_level"),
-            F.col("cut_root").isNotNull().alias("degraded"),
+            F.col("_endless").isNotNull().alias("degraded"),
         )
     )
+
+
+def running_in_circles(links: DataFrame, kept) -> DataFrame:
+    """``(fragment)`` of those that lead into a cycle: what is left after taking away, again and again,
+    the links to where no link starts."""
+    links = kept(links, "links/round=0")
+    count, before, no = links.count(), -1, 1
+    while count and count != before:
+        starts = links.select(F.col("fragment").alias("ref")).distinct()
+        links = kept(links.join(starts, "ref", "left_semi").select("fragment", "ref"), f"links/round={no}")
+        before, count, no = count, links.count(), no + 1
+    return links.select("fragment").distinct()

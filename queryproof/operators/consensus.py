@@ -22,25 +22,28 @@ def consensus(variants: DataFrame, key: str, position: list[str]) -> DataFrame:
     Input columns: ``status``, ``gate``, ``family``, ``surface``, ``ops``, ``candidate``,
     ``supported`` (shape), ``status_reason`` and ``gate_reason``; reasons count in row order.
     """
+    # NULL or blank is a value that nobody gave: a partial status, an uncertain gate, no family at all
     order = F.struct(*position)
-    passed = F.col("status") == "PASS"
-    failed = F.col("status").isin("FAIL", "FAILED")
-    gate_open = F.col("gate") == "PASS"
+    status, gate = (F.coalesce(F.col(c), F.lit("")) for c in ("status", "gate"))
+    given = {c: F.when(F.trim(F.col(c)) != "", F.col(c)) for c in ("family", "surface", "ops")}
+    passed = status == "PASS"
+    failed = status.isin("FAIL", "FAILED")
+    gate_open = gate == "PASS"
     aggregates = [
         F.count("*").alias("n_variants"),
         F.count_if(passed).alias("n_pass"),
         F.count_if(failed).alias("n_fail"),
         F.count_if(~passed & ~failed).alias("n_partial"),
         F.count_if(gate_open).alias("n_gate_pass"),
-        F.count_if(F.col("gate") == "BLOCKED").alias("n_gate_blocked"),
-        F.count_if(~F.col("gate").isin("PASS", "BLOCKED")).alias("n_gate_uncertain"),
-        F.bool_and("supported").alias("_supported"),
+        F.count_if(gate == "BLOCKED").alias("n_gate_blocked"),
+        F.count_if(~gate.isin("PASS", "BLOCKED")).alias("n_gate_uncertain"),
+        F.bool_and(F.coalesce("supported", F.lit(False))).alias("_supported"),
         F.count("candidate").alias("_n_candidates"),
         F.min_by("status_reason", F.when(F.col("status_reason").isNotNull(), order)).alias("_status_reason"),
         F.min_by("gate_reason", F.when(~gate_open & F.col("gate_reason").isNotNull(), order)).alias("_gate_reason"),
     ]
     for name in ("family", "surface", "ops"):
-        aggregates += [F.min(name).alias(f"_min_{name}"), F.max(name).alias(f"_max_{name}")]
+        aggregates += [F.min(given[name]).alias(f"_min_{name}"), F.max(given[name]).alias(f"_max_{name}")]
     g = variants.groupBy(key).agg(*aggregates)
     no_family = F.col("_min_family").isNull()
     reason = first_match(
@@ -104,7 +107,7 @@ def conflict_of_row(hard_conflicts: Column, checks: list[tuple[Column, Column]],
 
 def first_conflict(rows: DataFrame, key: str, position: list[str]) -> DataFrame:
     """First reason among the rows of a key whose ``gate`` is not PASS; input column ``reason``."""
-    blocked = rows.filter(F.col("gate") != "PASS")
+    blocked = rows.filter(F.coalesce("gate", F.lit("")) != "PASS")
     order = F.when(F.col("reason").isNotNull(), F.struct(*position))
     return blocked.groupBy(key).agg(
         F.coalesce(F.min_by("reason", order), F.lit("SEMANTIC_GATE_NOT_PASS")).alias("conflict")
@@ -117,8 +120,8 @@ def clear_winners(rows: DataFrame, statement: str, variant: str) -> DataFrame:
     counts = rows.groupBy(F.col(statement).alias("_statement")).agg(
         F.count_if(passed).alias("n_pass"), F.min(F.when(passed, F.col(variant))).alias("_winner")
     )
-    joined = rows.join(counts, F.col(statement) == F.col("_statement"))
-    clear = (F.col("n_pass") == 1) & (F.col("_winner") == F.col(variant))
+    joined = rows.join(counts, F.col(statement).eqNullSafe(F.col("_statement")))
+    clear = (F.col("n_pass") == 1) & F.col("_winner").eqNullSafe(F.col(variant)) & F.coalesce(passed, F.lit(False))
     return joined.select(
         *rows.columns,
         "n_pass",

@@ -11,11 +11,59 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from queryproof.functions.canon import row_digest, row_hash
+from queryproof.functions.canon import STRINGS, row_digest, row_hash
 from queryproof.operators.ranking import ranked_rows
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The narrowest type that holds the values of both types, None where they can't be compared."""
+    if a == b:
+        return a
+    if isinstance(a, STRINGS) and isinstance(b, STRINGS):
+        return T.StringType()
+    if isinstance(a, _WHOLE) and isinstance(b, _WHOLE):
+        return max(a, b, key=lambda t: _DIGITS[type(t)])
+    numbers = (*_WHOLE, T.DecimalType, T.FloatType, T.DoubleType)
+    if isinstance(a, numbers) and isinstance(b, numbers):
+        if isinstance(a, (T.FloatType, T.DoubleType)) or isinstance(b, (T.FloatType, T.DoubleType)):
+            return T.DoubleType()
+        wide = [t if isinstance(t, T.DecimalType) else T.DecimalType(_DIGITS[type(t)], 0) for t in (a, b)]
+        scale = max(t.scale for t in wide)
+        digits = max(t.precision - t.scale for t in wide) + scale
+        return T.DecimalType(digits, scale) if digits <= 38 else None
+    if isinstance(a, T.NullType) or isinstance(b, T.NullType):
+        return b if isinstance(a, T.NullType) else a
+    if {type(a), type(b)} == {T.DateType, T.TimestampNTZType}:
+        return T.TimestampNTZType()
+    return None
+
+
+def aligned(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with common column types, position by position, so that equal values hash alike.
+
+    Types that hold no common values are an error, found before any data is read.
+    """
+    if len(before.columns) != len(after.columns):
+        raise ValueError(f"column counts differ: {before.columns} / {after.columns}")
+    types = [common_type(b.dataType, a.dataType) for b, a in zip(before.schema.fields, after.schema.fields, strict=True)]
+    if None in types:
+        raise ValueError(f"column types can't be compared: {'; '.join(schema_differences(before, after))}")
+
+    def cast(df: DataFrame) -> DataFrame:
+        fields = df.schema.fields
+        if all(f.dataType == t for f, t in zip(fields, types, strict=True)):
+            return df
+        return df.select(*(F.col(f"`{f.name}`").cast(t).alias(f.name) for f, t in zip(fields, types, strict=True)))
+
+    return cast(before), cast(after)
+
+
 # Row hashes are summed in three slices of at most 24 bits, so that plain BIGINT sums hold
 # trillions of rows; the slices are put together once per result row.
 _SLICES = ((40, None), (20, 0xFFFFF), (0, 0xFFFFF))
@@ -50,8 +98,7 @@ def tagged_hashes(
     before: DataFrame, after: DataFrame, keys: Sequence[str] = (), algorithm: str = "native"
 ) -> DataFrame:
     """Union of both sides reduced to ``(keys..., h_before, h_after)`` with one side NULL."""
-    if len(before.columns) != len(after.columns):
-        raise ValueError(f"column counts differ: {before.columns} / {after.columns}")
+    before, after = aligned(before, after)
     missing = F.lit(None).cast("bigint")
     left = before.select(
         *keys, row_hash(before, algorithm=algorithm).alias("h_before"), missing.alias("h_after")
@@ -153,6 +200,7 @@ def compare_sample(
     before: DataFrame, after: DataFrame, keys: Sequence[str], modulus: int, keep: int, algorithm: str = "native"
 ) -> DataFrame:
     """Bag comparison of the same deterministic key sample on both sides."""
+    before, after = aligned(before, after)
     sides = [key_sample(df, keys, modulus, keep, algorithm) for df in (before, after)]
     return compare_bags(*sides, algorithm=algorithm)
 
@@ -166,6 +214,7 @@ def diff_rows(before: DataFrame, after: DataFrame, path: str | None = None) -> D
     size, so Spark broadcasts it when it is below its threshold (no full row is shuffled but the
     differing ones) and shuffles when it is not. Both inputs are then read twice.
     """
+    before, after = aligned(before, after)
     names = before.columns
 
     def side(df: DataFrame, in_before: int) -> DataFrame:
@@ -183,26 +232,36 @@ def diff_rows(before: DataFrame, after: DataFrame, path: str | None = None) -> D
 
 
 def changed_cells(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``(key..., column, old_value, new_value)`` for every cell that changed, rows matched by key."""
+    """``(key..., change, column_name, old_value, new_value)`` for every cell that differs.
+
+    Rows are matched by key, NULL keys with each other. A row that one side lacks gives one row with
+    the change INSERTED or DELETED and no column; a key that a side holds more than once gives one row
+    with the change DUPLICATE_KEY instead of cells that could not be told apart.
+    """
+    before, after = aligned(before, after)
     others = [c for c in before.columns if c not in key]
-    left = before.select(*key, *[F.col(c).cast("string").alias(f"old_{c}") for c in others])
-    right = after.select(*key, *[F.col(c).cast("string").alias(f"new_{c}") for c in others])
-    cells = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    ~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")),
-                    F.struct(
-                        F.lit(c).alias("column_name"),
-                        F.col(f"old_{c}").alias("old_value"),
-                        F.col(f"new_{c}").alias("new_value"),
-                    ),
-                )
-                for c in others
-            ]
-        )
-    )
-    return left.join(right, list(key)).select(*key, F.inline(cells))
+
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        values = F.struct(*(F.col(c).cast("string").alias(c) for c in others)) if others else F.struct(F.lit(1).alias("_"))
+        keyed = df.select(F.struct(*key).alias("_key"), values.alias("_row"))
+        return keyed.groupBy("_key").agg(F.count("*").alias(f"_n_{prefix}"), F.first("_row").alias(f"_{prefix}"))
+
+    joined = side(before, "old").join(side(after, "new"), "_key", "full")
+
+    def cell(change: str, condition: Column, name: str | None = None) -> Column:
+        column, old, new = (F.lit(name), F.col(f"_old.`{name}`"), F.col(f"_new.`{name}`")) if name else [F.lit(None)] * 3
+        fields = (column, "column_name"), (old, "old_value"), (new, "new_value")
+        return F.when(condition, F.struct(F.lit(change).alias("change"), *(c.cast("string").alias(n) for c, n in fields)))
+
+    double = (F.coalesce("_n_old", F.lit(0)) > 1) | (F.coalesce("_n_new", F.lit(0)) > 1)
+    both = F.col("_n_old").isNotNull() & F.col("_n_new").isNotNull() & ~double
+    cells = [
+        cell("DUPLICATE_KEY", double),
+        cell("INSERTED", F.col("_n_old").isNull() & ~double),
+        cell("DELETED", F.col("_n_new").isNull() & ~double),
+        *(cell("CHANGED", both & ~F.col(f"_old.`{c}`").eqNullSafe(F.col(f"_new.`{c}`")), c) for c in others),
+    ]
+    return joined.select(*(F.col(f"_key.{k}").alias(k) for k in key), F.inline(F.array_compact(F.array(*cells))))
 
 
 def compare_ordered_bags(
@@ -210,15 +269,15 @@ def compare_ordered_bags(
     before_order: Sequence[tuple[str, str]],
     after: DataFrame,
     after_order: Sequence[tuple[str, str]],
-    bucket: str,
     algorithm: str = "native",
 ) -> DataFrame:
     """Ordered equality from fingerprints alone: each row is hashed with its position.
 
     Cheaper than ``compare_ordered``, which also counts the differing positions.
     """
-    left = ranked_rows(before, [], before_order, bucket, "pos")
-    right = ranked_rows(after, [], after_order, bucket, "pos")
+    before, after = aligned(before, after)
+    left = ranked_rows(before, [], before_order, "pos")
+    right = ranked_rows(after, [], after_order, "pos")
     return compare_bags(left, right, algorithm=algorithm)
 
 
@@ -227,15 +286,15 @@ def compare_ordered(
     before_order: Sequence[tuple[str, str]],
     after: DataFrame,
     after_order: Sequence[tuple[str, str]],
-    bucket: str,
 ) -> DataFrame:
     """Position-by-position comparison of two ordered results, one row.
 
-    ``bucket`` names the leading order column of both sides; positions are numbered per bucket
-    value and shifted by the counts of earlier buckets, so no task ever holds the whole result.
+    Rows are numbered in ranges of the order, each shifted by the counts of earlier ranges, so no task
+    ever holds the whole result.
     """
-    left = ranked_rows(before, [], before_order, bucket, "pos")
-    right = ranked_rows(after, [], after_order, bucket, "pos")
+    before, after = aligned(before, after)
+    left = ranked_rows(before, [], before_order, "pos")
+    right = ranked_rows(after, [], after_order, "pos")
     lh = left.select("pos", row_hash(before).alias("h_before"))
     rh = right.select("pos", row_hash(after).alias("h_after"))
     joined = lh.join(rh, "pos", "full")

@@ -7,22 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryproof.operators.ranking import Order, top_per_key
-
-
-def feedback_patterns(
-    issues: DataFrame, pattern: Sequence[str], key: str, order: Order, samples: int
-) -> DataFrame:
-    """Frequency of each pattern with its first sample keys (a bounded list, pruned before the shuffle)."""
-    counts = issues.groupBy(*pattern).agg(F.count("*").alias("frequency"))
-    narrow = issues.select(*pattern, key, *[n for n, _ in order])
-    first = top_per_key(narrow, pattern, order, samples)
-    listed = first.groupBy(*pattern).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("rn", key))), lambda s: s[key].cast("string")), ","
-        ).alias("sample_keys")
+
+def feedback_patterns(issues: DataFrame, pattern: Sequence[str], key: str, order: Sequence[str]) -> DataFrame:
+    """Frequency of each pattern and the key of its first record in the given order.
+
+    One aggregation, so NULL in a pattern column is a value like others.
+    """
+    return issues.groupBy(*pattern).agg(
+        F.count("*").alias("frequency"), F.min_by(key, F.struct(*order)).alias("first_key")
     )
-    return counts.join(listed, list(pattern))
 
 
 def feedback_summary(records: DataFrame, issue: str, status: str) -> DataFrame:

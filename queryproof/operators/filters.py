@@ -11,18 +11,30 @@ from pyspark.sql import functions as F
 
 from queryproof.operators.joins import exists_in
 
-# Lists longer than this are joined as a table instead of being written into the plan.
-MAX_LITERAL_LIST = 1000
-
 
 def is_given(value: Any) -> bool:
     """A parameter takes part when it is neither NULL nor an empty string."""
     return value is not None and value != ""
 
 
+def holds(value: Any, test: str, literal: Any) -> bool:
+    """A test of a parameter against a literal: ``==`` or ``!=``. Numbers compare as numbers."""
+    if isinstance(value, (int, float)) and isinstance(literal, str):
+        try:
+            literal = float(literal)
+        except ValueError:
+            literal = str(literal)
+    if test not in ("==", "!="):
+        raise ValueError(f"unknown test: {test}")
+    return (value == literal) == (test == "==")
+
+
 def optional_filter(df: DataFrame, predicates: Sequence[tuple[Any, Column]]) -> DataFrame:
-    """Apply each predicate whose parameter is given."""
-    return reduce(lambda d, p: d.filter(p[1]) if is_given(p[0]) else d, predicates, df)
+    """Apply each predicate whose parameter is given, or whose test, a truth value, holds.
+
+    Tests such as ``holds(kind, "==", "A") and is_given(name)`` are plain Python on parameters.
+    """
+    return reduce(lambda d, p: d.filter(p[1]) if p[0] is not False and is_given(p[0]) else d, predicates, df)
 
 
 def choose_filter(
@@ -44,15 +56,13 @@ def branch_of(branches: Sequence[tuple[str, Column]], otherwise: str = "otherwis
 
 
 def member_filter(df: DataFrame, column: str, values: Sequence[Any] | DataFrame) -> DataFrame:
-    """Keep rows whose column is in the collection, given as a short list or as a one-column table.
+    """Keep rows whose column is in the collection, given as a list or as a one-column table.
 
     A table of ids is joined with a semi join; Spark broadcasts it only if its measured size is
     below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
     if isinstance(values, DataFrame):
         return exists_in(df, column, values, values.columns[0])
-    if len(values) > MAX_LITERAL_LIST:
-        raise ValueError("pass long id lists as a table")
     return df.filter(F.col(column).isin(list(values)))
 
 

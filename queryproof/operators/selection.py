@@ -33,16 +33,11 @@ def _earlier_is_better(position: Sequence[str]) -> list[Column]:
     return [-F.col(p) for p in position]
 
 
-def select_best(
-    candidates: DataFrame, key: str, position: Sequence[str], first_n: int | None = None
-) -> DataFrame:
+def select_best(candidates: DataFrame, key: str, position: Sequence[str]) -> DataFrame:
     """The selected candidate of each key: best matching one, else best of all; earlier wins ties.
 
-    All candidates take part. ``first_n`` restricts a key to its first candidates by position, for
-    users who want that rule; the restriction is pruned in the map tasks.
+    All candidates take part.
     """
-    if first_n is not None:
-        candidates = top_per_key(candidates, [key], [(p, "asc") for p in position], first_n, "_n").drop("_n")
     rank = _rank_values() + _earlier_is_better(position)
     payload = ["candidate_id", "patchability", "tier"]
     picked = candidates.groupBy(key).agg(

@@ -6,6 +6,8 @@ derived from its keys and amounts, so that every combination of evidence occurs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from queryproof.functions import verdicts
@@ -505,3 +507,41 @@ def eq_proof_with_confidence(t):
         status.alias("status"),
         verdicts.confidence(status, rc, verdicts.fingerprint_strength(fp), conflicted).alias("confidence"),
     )
+
+
+@query(
+    "eq_type_widths",
+    """
+SELECT unnest(['md5 changed', 'md5 equal', 'native changed', 'native equal']) AS compared,
+  unnest(['MISMATCH', 'MATCH', 'MISMATCH', 'MATCH']) AS status, (SELECT count(*) FROM lineitem) AS n_before,
+  (SELECT count(*) FROM lineitem) AS n_after""",
+)
+def eq_type_widths(t):
+    """Equal values of unequal widths match and changed ones don't, under both hashes.
+
+    Whole numbers of three widths, decimals of two, and a float against a double.
+    """
+
+    def narrow(extra):
+        return t.lineitem.select(
+            F.col("l_linenumber").cast("int"),
+            F.col("l_orderkey").cast("int"),
+            F.col("l_quantity").cast("decimal(12,2)"),
+            (F.col("l_linenumber") + extra).cast("smallint").alias("l_small"),
+            F.col("l_linenumber").cast("float").alias("l_real"),
+        )
+
+    wide = t.lineitem.select(
+        F.col("l_linenumber").cast("bigint"),
+        F.col("l_orderkey").cast("decimal(20,0)"),
+        F.col("l_quantity").cast("decimal(20,4)"),
+        F.col("l_linenumber").cast("bigint").alias("l_small"),
+        F.col("l_linenumber").cast("double").alias("l_real"),
+    )
+    rows = [
+        eq.pair_report(f"{algorithm} {name}", narrow(extra), wide, algorithm=algorithm)
+        for algorithm in ("md5", "native")
+        for name, extra in (("equal", 0), ("changed", F.when(F.col("l_orderkey") % 1000 == 1, 1).otherwise(0)))
+    ]
+    every = reduce(lambda a, b: a.unionByName(b), rows)
+    return every.select(F.col("pair_id").alias("compared"), "status", "n_before", "n_after")

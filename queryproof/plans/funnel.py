@@ -63,18 +63,6 @@ def cd_select_best(t):
     return selection.select_best(candidates(t), "l_orderkey", POSITION)
 
 
-@query(
-    "cd_select_best_first5",
-    f"""
-WITH {CANDIDATES_SQL},
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p
-  FROM c) WHERE p <= 5), {_best_sql('f')} SELECT * FROM best""",
-)
-def cd_select_best_first5(t):
-    """The same with the rule that only the first five candidates of a statement are looked at."""
-    return selection.select_best(candidates(t), "l_orderkey", POSITION, first_n=5)
-
-
 @query(
     "cd_runner_up",
     f"""
@@ -171,13 +159,19 @@ def cd_readiness(t):
 
 
 _FEEDBACK_SQL = f"""
-f AS (SELECT conv_id, turn, role, {reason_sql('(conv_id + turn)', NOTES)} AS note FROM conversations),
-i AS (SELECT *, CASE WHEN contains(lower(note), 'slow') OR contains(lower(note), 'index') THEN 'performance'
-  WHEN contains(lower(note), 'sql injection') THEN 'security' WHEN contains(lower(note), 'logic') THEN 'semantic' END AS issue FROM f)"""
+f AS (SELECT conv_id, turn, role, concat(text, ' ', {reason_sql('(conv_id + turn)', NOTES)}) AS note FROM conversations),
+i AS (SELECT *, CASE
+  WHEN contains(lower(note), 'performance') OR contains(lower(note), 'slow') OR contains(lower(note), 'full scan')
+    OR contains(lower(note), 'index') THEN 'performance'
+  WHEN contains(lower(note), 'sql injection') OR contains(lower(note), 'security') OR contains(lower(note), 'unsafe')
+    THEN 'security'
+  WHEN contains(lower(note), 'semantic') OR contains(lower(note), 'equivalent') OR contains(lower(note), 'logic')
+    THEN 'semantic' END AS issue FROM f)"""
 
 
 def _feedback(t):
-    note = reason_of_turn()
+    """The whole text of every turn, closed by one of a few notes that carry an issue."""
+    note = F.concat(F.col("text"), F.lit(" "), reason_of_turn())
     return t.conversations.select(
         F.concat_ws(":", "conv_id", "turn").alias("sql_key"),
         "conv_id",
@@ -191,15 +185,15 @@ def _feedback(t):
 @query(
     "cd_feedback_patterns",
     f"""
-WITH {_FEEDBACK_SQL},
-p AS (SELECT issue, substr(note, 1, 50) AS description, concat(conv_id, ':', turn) AS k, row_number() OVER
-  (PARTITION BY issue, substr(note, 1, 50) ORDER BY conv_id, turn) AS rn FROM i WHERE issue IS NOT NULL)
-SELECT issue, description, count(*) AS frequency, string_agg(k, ',' ORDER BY rn) FILTER (rn <= 5) AS sample_keys
-FROM p GROUP BY ALL""",
+WITH {_FEEDBACK_SQL}
+SELECT issue, md5(note) AS description, count(*) AS frequency,
+  arg_min(concat(conv_id, ':', turn), conv_id * 1000000 + turn) AS first_key
+FROM i WHERE issue IS NOT NULL GROUP BY ALL""",
 )
 def cd_feedback_patterns(t):
-    issues = _feedback(t).filter(F.col("issue").isNotNull()).withColumn("description", F.substring("note", 1, 50))
-    return feedback_patterns(issues, ["issue", "description"], "sql_key", [("conv_id", "asc"), ("turn", "asc")], 5)
+    """Patterns are whole texts, known by their digest."""
+    issues = _feedback(t).filter(F.col("issue").isNotNull()).withColumn("description", F.md5("note"))
+    return feedback_patterns(issues, ["issue", "description"], "sql_key", ["conv_id", "turn"])
 
 
 @query(

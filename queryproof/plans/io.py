@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from queryproof.operators.closure import reference_closure
+from queryproof.operators.joins import not_exists_in
 from queryproof.plans import corpus
 from queryproof.plans.registry import query
 from queryproof.sources import catalog, contracts, jsonl, markup
@@ -61,6 +63,65 @@ def io_xml_statements(t):
     )
 
 
+_MAPPER = """<mapper namespace="m{k}">
+<sql id="Tail"> ORDER BY id </sql>
+<sql id="Fields">id, <include refid="Extra"/> name</sql>
+<select id="all">SELECT <include refid="Fields" /> FROM parts{k} <include refid="Tail"></include></select>
+<update id="one">UPDATE parts{k} SET name = #{{name}} WHERE id = {k}</update>
+<select id="far">SELECT <include refid="m{far}.Fields"/> FROM parts</select>
+</mapper>
+"""
+
+
+def _mapper_edges(t):
+    """Mapper files of three statements and two fragments per part, one fragment missing everywhere."""
+    path = t.scratch("io_mapper_files")
+    pieces = []
+    for i, piece in enumerate(_MAPPER.replace("{{", "{").replace("}}", "}").split("{k}")):
+        pieces += [F.col("p_partkey").cast("string")] if i else []
+        for j, text in enumerate(piece.split("{far}")):
+            pieces += [(F.col("p_partkey") + 1).cast("string")] if j else []
+            pieces.append(F.lit(text))
+    t.part.select(F.concat(*pieces)).write.text(path)
+    return markup.include_edges(markup.read_elements(t.spark, path))
+
+
+_INCLUDES_SQL = """
+e AS (SELECT 'm' || p_partkey || '.' || id AS fragment,
+        CASE WHEN to_far THEN 'm' || (p_partkey + 1) || '.Fields' ELSE 'm' || p_partkey || '.' || target END AS ref
+      FROM part, (VALUES ('Tail', NULL, false), ('Fields', 'Extra', false), ('all', 'Fields', false),
+        ('all', 'Tail', false), ('one', NULL, false), ('far', NULL, true)) v(id, target, to_far))"""
+
+
+@query("io_include_edges", f"WITH {_INCLUDES_SQL} SELECT fragment, ref FROM e")
+def io_include_edges(t):
+    return _mapper_edges(t)
+
+
+@query(
+    "io_unresolved_includes",
+    f"WITH {_INCLUDES_SQL} SELECT fragment, ref FROM e WHERE ref IS NOT NULL AND ref NOT IN (SELECT fragment FROM e)",
+)
+def io_unresolved_includes(t):
+    edges = _mapper_edges(t)
+    return not_exists_in(edges.filter("ref IS NOT NULL"), "ref", edges.select("fragment").distinct(), "fragment")
+
+
+@query(
+    "io_include_closure",
+    f"""
+WITH RECURSIVE {_INCLUDES_SQL},
+w AS (SELECT fragment AS root, ref, 0 AS level FROM e WHERE ref IS NOT NULL
+      UNION SELECT root, e.ref, level + 1 FROM w JOIN e ON e.fragment = w.ref WHERE e.ref IS NOT NULL),
+c AS (SELECT root, count(DISTINCT ref) AS n_refs, CAST(max(level) AS INTEGER) AS max_level FROM w GROUP BY root)
+SELECT DISTINCT fragment AS root, coalesce(n_refs, 0) AS n_refs, max_level, false AS degraded
+FROM e LEFT JOIN c ON root = fragment""",
+)
+def io_include_closure(t):
+    edges = _mapper_edges(t)
+    return reference_closure(edges.select(F.col("fragment").alias("root")).distinct(), edges, t.scratch("includes"))
+
+
 @query("io_xml_rows", "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
 def io_xml_rows(t):
     """Plain elements through the built-in XML source, with a given schema."""

@@ -69,8 +69,8 @@ def sl_order_sensitive_compare(t):
     o = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus")
     up = [("o_orderdate", "asc"), ("o_orderkey", "asc")]
     reversed_ties = [("o_orderdate", "asc"), ("o_orderkey", "desc")]
-    same = compare_ordered(o, up, o, up, "o_orderdate")
-    swapped = compare_ordered(o, up, o, reversed_ties, "o_orderdate")
+    same = compare_ordered(o, up, o, up)
+    swapped = compare_ordered(o, up, o, reversed_ties)
     return same.select(F.lit("same order").alias("compared"), "*").unionByName(
         swapped.select(F.lit("ties reversed").alias("compared"), "*")
     )
@@ -91,7 +91,7 @@ def sl_order_fingerprint(t):
     o = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus")
     up = [("o_orderdate", "asc"), ("o_orderkey", "asc")]
     down = [("o_orderdate", "asc"), ("o_orderkey", "desc")]
-    c = compare_ordered_bags(o, up, o, down, "o_orderdate", algorithm="md5")
+    c = compare_ordered_bags(o, up, o, down, algorithm="md5")
     return c.select(
         "n_before", "n_after", "fp_before", "fp_after", F.col("fingerprint_status").alias("ordered_status")
     )

@@ -603,20 +603,23 @@ def rp_parse_coverage(t):
 
 
 def reference_edges(t):
-    """Parts as fragments: each refers to the part of half its key, one cycle, some missing targets."""
+    """Parts as fragments in chains of 20, each referring to the part before; every fourth chain also
+    closes in a circle, and some parts refer to what is missing."""
     key = F.col("p_partkey")
+    missing = (key + 1_000_000_000_000).cast("bigint")
     targets = F.array_compact(
         F.array(
-            F.when(key > 0, F.floor(key / 2)),
-            F.when(key == 0, F.lit(3).cast("bigint")),
-            F.when(key % 97 == 5, key + 1_000_000_000_000),
+            F.when(key % 20 > 0, key - 1),
+            F.when(key % 80 == 40, key + 3),
+            F.when(key % 97 == 5, missing),
         )
     )
     return t.part.select(key.alias("fragment"), F.explode_outer(targets).alias("ref"))
 
 
 EDGES_SQL = """
-e AS (SELECT p_partkey AS fragment, CASE WHEN p_partkey > 0 THEN p_partkey // 2 ELSE 3 END AS ref FROM part
+e AS (SELECT p_partkey AS fragment, p_partkey - 1 AS ref FROM part WHERE p_partkey % 20 > 0
+      UNION ALL SELECT p_partkey, p_partkey + 3 FROM part WHERE p_partkey % 80 = 40
       UNION ALL SELECT p_partkey, p_partkey + 1000000000000 FROM part WHERE p_partkey % 97 = 5)"""
 
 
@@ -624,13 +627,15 @@ e AS (SELECT p_partkey AS fragment, CASE WHEN p_partkey > 0 THEN p_partkey // 2
     "rp_reference_closure",
     f"""
 WITH RECURSIVE {EDGES_SQL},
-w AS (SELECT fragment AS root, ref, 0 AS level FROM e UNION ALL
-      SELECT w.root, e.ref, w.level + 1 FROM w JOIN e ON e.fragment = w.ref WHERE w.level < 16),
-p AS (SELECT root, ref, min(level) AS first_level, max(level) AS last_level FROM w GROUP BY ALL)
-SELECT root, count(*) AS n_refs, CAST(max(first_level) AS INTEGER) AS max_level,
-  bool_or(last_level = 16 AND ref IN (SELECT p_partkey FROM part)) AS degraded FROM p GROUP BY root""",
+w AS (SELECT fragment AS root, ref, 0 AS level FROM e UNION
+      SELECT w.root, e.ref, w.level + 1 FROM w JOIN e ON e.fragment = w.ref WHERE w.level < 60),
+p AS (SELECT root, ref, min(level) AS level, max(level) AS last FROM w GROUP BY ALL),
+c AS (SELECT root, count(*) AS n_refs, CAST(max(level) AS INTEGER) AS max_level, max(last) = 60 AS circle FROM p GROUP BY root)
+SELECT p_partkey AS root, coalesce(n_refs, 0) AS n_refs, max_level, coalesce(circle, false) AS degraded
+FROM part LEFT JOIN c ON root = p_partkey""",
 )
 def rp_reference_closure(t):
+    """Chains longer than 16 are followed to their ends; the SQL walks 60 steps, which only a circle allows."""
     roots = t.part.select(F.col("p_partkey").alias("root"))
     return reference_closure(roots, reference_edges(t), t.scratch("closure"))
 

@@ -306,9 +306,7 @@ SELECT code, count(*) AS n FROM w WHERE code IS NOT NULL GROUP BY code"""
 @query("tx_candidate_lint", _lint_sql())
 def tx_candidate_lint(t):
     """Warnings of rewriting each statement into the one seven templates further."""
-    original = corpus.statements(t.orders).select("o_orderkey", F.col("sql").alias("original"))
-    rewritten = corpus.statements(t.orders, shift=7).select("o_orderkey", F.col("sql").alias("rewritten"))
-    pairs = original.join(rewritten, "o_orderkey")
+    pairs = corpus.rewritten(t.orders, 7)
     warned = pairs.select(st.rewrite_warnings(F.col("original"), F.col("rewritten")).alias("codes"))
     return code_counts(warned, "codes")
 
@@ -350,13 +348,13 @@ i AS (SELECT conv_id, turn, CASE
   WHEN contains(note, 'sql injection') OR contains(note, 'security') OR contains(note, 'unsafe') THEN 'security'
   WHEN contains(note, 'semantic') OR contains(note, 'equivalent') OR contains(note, 'logic') THEN 'semantic' END AS issue,
   note FROM c)
-SELECT conv_id, turn, issue, md5(substr(note, 1, 200)) AS description_digest FROM i WHERE issue IS NOT NULL""",
+SELECT conv_id, turn, issue, md5(note) AS description_digest FROM i WHERE issue IS NOT NULL""",
 )
 def tx_keyword_issue_type(t):
     note = F.lower(F.concat(reason_of_turn(), F.lit(" "), F.col("text")))
     c = t.conversations.withColumn("note", note).withColumn("issue", st.issue_type(F.col("note")))
     return c.filter(F.col("issue").isNotNull()).select(
-        "conv_id", "turn", "issue", F.md5(F.substring("note", 1, 200)).alias("description_digest")
+        "conv_id", "turn", "issue", F.md5("note").alias("description_digest")
     )
 
 
@@ -543,14 +541,12 @@ SELECT template_no, count(*) AS n_candidates, count(*) FILTER (valid AND keeps)
 FROM v GROUP BY ALL""",
 )
 def cd_valid_filter(t):
-    original = corpus.statements(t.orders).select("o_orderkey", "template_no", F.col("sql").alias("o"))
-    changed = F.replace(F.col("sql"), F.lit("#{id}"), F.lit("?"))
-    rewritten = corpus.statements(t.orders, shift=7).select("o_orderkey", changed.alias("r"))
+    changed = F.replace(F.col("rewritten"), F.lit("#{id}"), F.lit("?"))
+    pairs = corpus.rewritten(t.orders, 7).select("template_no", F.col("original").alias("o"), changed.alias("r"))
     valid = st.is_valid_candidate(F.col("r"))
     keeps = st.keeps_placeholders(F.col("o"), F.col("r"))
     return (
-        original.join(rewritten, "o_orderkey")
-        .groupBy("template_no")
+        pairs.groupBy("template_no")
         .agg(
             F.count("*").alias("n_candidates"),
             F.count_if(valid & keeps).alias("n_valid"),

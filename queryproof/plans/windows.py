@@ -17,11 +17,9 @@ SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY
        AS row_rank FROM orders""",
 )
 def wn_row_number(t):
-    """Every order ranked inside its customer; order dates split a customer over many tasks."""
+    """Every order ranked inside its customer; ranges of the order split a customer over many tasks."""
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
-    ranked = ranked_rows(
-        rows, ["o_custkey"], [("o_orderdate", "desc"), ("o_orderkey", "asc")], "o_orderdate", "row_rank"
-    )
+    ranked = ranked_rows(rows, ["o_custkey"], [("o_orderdate", "desc"), ("o_orderkey", "asc")], "row_rank")
     return ranked.select("o_orderkey", "o_custkey", "row_rank")
 
 
@@ -135,15 +133,14 @@ def rp_last_row_wins(t):
 WITH f AS (SELECT user_id, event_type || ':' || json_extract_string(props, '$.k') AS code,
                   min(event_id) AS first_pos FROM events GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_pos) AS rn FROM f)
-SELECT user_id, string_agg(code, ',' ORDER BY rn) AS codes FROM r WHERE rn <= 5 GROUP BY user_id""",
+SELECT user_id, string_agg(code, ',' ORDER BY rn) AS codes FROM r GROUP BY user_id""",
 )
 def rp_first_seen_dedup(t):
-    """The first five different codes of each key in order of appearance (the five are the feature)."""
+    """The different codes of each key in order of appearance; a key has as many as there are codes."""
     code = F.concat_ws(":", "event_type", F.get_json_object("props", "$.k"))
     first = t.events.groupBy("user_id", code.alias("code")).agg(F.min("event_id").alias("first_pos"))
-    kept = top_per_key(first, ["user_id"], [("first_pos", "asc")], 5)
-    return kept.groupBy("user_id").agg(
+    return first.groupBy("user_id").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("rn", "code"))), lambda s: s["code"]), ","
+            F.transform(F.array_sort(F.collect_list(F.struct("first_pos", "code"))), lambda s: s["code"]), ","
         ).alias("codes")
     )

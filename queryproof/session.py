@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,14 +32,25 @@ def local_session(cores: int | str = 8, memory: str = "8g", name: str = "querypr
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only when the setting is absent, as in tests.
+    Where driver and executors are one process (a local master, as in tests) a temporary folder serves
+    without the setting; it goes when the process ends. On a cluster its absence is an error: executors
+    would write to their own disks, and what is read back would be incomplete.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="queryproof-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/queryproof/{label}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="queryproof-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 class Tables:
     """Lazy access to the parquet tables of one scale-factor folder."""
 

@@ -28,7 +28,7 @@ class Contract:
         for c, allowed in self.json_keys.items():
             keys = F.json_object_keys(c)
             known = F.array(*[F.lit(k) for k in allowed])
-            rules.append((keys.isNull(), f"NOT_JSON:{c}"))
+            rules.append((F.col(c).isNotNull() & keys.isNull(), f"NOT_JSON:{c}"))
             rules.append((F.size(F.array_except(keys, known)) > 0, f"UNEXPECTED:{c}"))
         rules += [(~ok, code) for code, ok in self.checks.items()]
         return matching_codes(rules)

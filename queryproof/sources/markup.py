@@ -7,30 +7,57 @@ from pyspark.sql import functions as F
 
 from queryproof.functions.text import strip
 
-STATEMENT = (
-    r"(?is)<(select|update|delete|insert)\b[^>]*\bid\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</(?:select|update|delete|insert)>"
-)
-NAMESPACE = r"(?is)<mapper\b[^>]*\bnamespace\s*=\s*[\"']([^\"']*)[\"']"
+# Elements of a mapper that hold a statement or a fragment of one.
+ELEMENTS = ("select", "insert", "update", "delete", "sql")
+# An element of these, its attributes and its body up to the closing tag of the same name.
+ELEMENT = rf"(?is)<({'|'.join(ELEMENTS)})(\s[^>]*)?(?<!/)>(.*?)</\1\s*>"
 
 
-def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """``(namespace, statement_id, statement_type, body)`` of all statement elements.
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value in the text of a tag; the empty text where it has none."""
+    quoted = F.regexp_extract(tag, rf"(?is)(?:^|\s){name}\s*=\s*(\"[^\"]*\"|'[^']*')", 1)
+    return F.substring(quoted, F.lit(2), F.greatest(F.length(quoted) - 2, F.lit(0)))
+
+
+def read_elements(spark: SparkSession, path: str) -> DataFrame:
+    """``(namespace, element_id, element, body)`` of all statements and fragments of mapper files.
 
-    Statement bodies mix text and tags, which row-tag readers cannot keep. The files are read as
-    text cut at ``</mapper>``, so a record is one mapper, however large the files are, and large
-    files are still split over tasks.
+    Bodies mix text and tags, which row-tag readers cannot keep. The files are read as text cut at
+    ``</mapper>``, so a record is one mapper, however large the files are, and large files are still
+    split over tasks.
     """
     mappers = spark.read.option("lineSep", "</mapper>").text(path).filter(F.col("value").contains("<mapper"))
-    element = F.explode(F.regexp_extract_all("value", F.lit(STATEMENT), 0))
-    found = mappers.select(F.regexp_extract("value", NAMESPACE, 1).alias("namespace"), element.alias("element"))
-    return found.select(
+    root = F.regexp_extract("value", r"(?s)<mapper(\s[^>]*)>", 1)
+    found = F.explode(F.regexp_extract_all("value", F.lit(ELEMENT), 0))
+    rows = mappers.select(attribute(root, "namespace").alias("namespace"), found.alias("_whole"))
+    return rows.select(
         "namespace",
-        F.regexp_extract("element", STATEMENT, 2).alias("statement_id"),
-        F.lower(F.regexp_extract("element", STATEMENT, 1)).alias("statement_type"),
-        strip(F.regexp_extract("element", STATEMENT, 3)).alias("body"),
+        attribute(F.regexp_extract("_whole", ELEMENT, 2), "id").alias("element_id"),
+        F.lower(F.regexp_extract("_whole", ELEMENT, 1)).alias("element"),
+        strip(F.regexp_extract("_whole", ELEMENT, 3)).alias("body"),
     )
 
 
+def read_statements(spark: SparkSession, path: str) -> DataFrame:
+    """``(namespace, statement_id, statement_type, body)`` of all statement elements."""
+    rows = read_elements(spark, path).filter("element <> 'sql'")
+    return rows.withColumnsRenamed({"element_id": "statement_id", "element": "statement_type"})
+
+
+def include_edges(elements: DataFrame) -> DataFrame:
+    """``(fragment, ref)``: which element includes which fragment, both as ``namespace.id``.
+
+    An element without includes has one row with a NULL ``ref``; a reference without a namespace of its
+    own is to the same mapper.
+    """
+    tags = F.regexp_extract_all("body", F.lit(r"(?is)(<include\s[^>]*>)"), 1)
+    named = F.filter(F.transform(tags, lambda tag: attribute(tag, "refid")), lambda ref: ref != "")
+    here = F.concat_ws(".", "namespace", "element_id")
+    rows = elements.select(here.alias("fragment"), "namespace", F.explode_outer(F.array_distinct(named)).alias("ref"))
+    whole = F.when(F.contains("ref", F.lit(".")), F.col("ref")).otherwise(F.concat_ws(".", "namespace", "ref"))
+    return rows.select("fragment", F.when(F.col("ref").isNotNull(), whole).alias("ref"))
+
+
 def read_xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
     """Elements without mixed content through Spark's own XML source."""
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)

@@ -138,19 +138,52 @@ def test_ordered_comparison(spark):
     rows = [(i % 3, i) for i in range(30)]
     df = spark.createDataFrame(rows, "b bigint, v bigint")
     up, down = [("b", "asc"), ("v", "asc")], [("b", "asc"), ("v", "desc")]
-    same = eq.compare_ordered(df, up, df.repartition(5), up, "b").collect()[0]
+    same = eq.compare_ordered(df, up, df.repartition(5), up).collect()[0]
     assert (same["n_positions_different"], same["ordered_status"]) == (0, "MATCH")
-    other = eq.compare_ordered(df, up, df, down, "b").collect()[0]
+    other = eq.compare_ordered(df, up, df, down).collect()[0]
     assert (other["n_positions_different"], other["ordered_status"]) == (30, "MISMATCH")
-    assert eq.compare_ordered_bags(df, up, df, up, "b").collect()[0]["fingerprint_status"] == "MATCH"
-    assert eq.compare_ordered_bags(df, up, df, down, "b").collect()[0]["fingerprint_status"] == "MISMATCH"
+    assert eq.compare_ordered_bags(df, up, df, up).collect()[0]["fingerprint_status"] == "MATCH"
+    assert eq.compare_ordered_bags(df, up, df, down).collect()[0]["fingerprint_status"] == "MISMATCH"
 
 
 def test_changed_cells(spark):
     a = spark.createDataFrame([(1, "a", None), (2, "b", 5)], "k bigint, s string, n bigint")
     b = spark.createDataFrame([(1, "a", 7), (2, "c", 5)], "k bigint, s string, n bigint")
     got = {tuple(r) for r in eq.changed_cells(a, b, ["k"]).collect()}
-    assert got == {(1, "n", None, "7"), (2, "s", "b", "c")}
+    assert got == {(1, "CHANGED", "n", None, "7"), (2, "CHANGED", "s", "b", "c")}
+    a = a.union(spark.createDataFrame([(3, "d", 1), (None, "n", 1), (5, "x", 1), (5, "y", 1)], a.schema))
+    b = b.union(spark.createDataFrame([(4, "d", 1), (None, "n", 2), (5, "x", 1)], b.schema))
+    got = {tuple(r) for r in eq.changed_cells(a, b, ["k"]).collect()}
+    assert got == {
+        (1, "CHANGED", "n", None, "7"), (2, "CHANGED", "s", "b", "c"), (3, "DELETED", None, None, None),
+        (4, "INSERTED", None, None, None), (None, "CHANGED", "n", "1", "2"), (5, "DUPLICATE_KEY", None, None, None),
+    }
+
+
+SAME_VALUES = [
+    ("tinyint", "smallint"), ("int", "bigint"), ("int", "decimal(12,2)"), ("decimal(12,2)", "decimal(20,2)"),
+    ("decimal(20,4)", "bigint"), ("float", "double"), ("int", "double"), ("decimal(5,1)", "double"),
+    ("string", "varchar(9)"), ("date", "timestamp_ntz"),
+]
+
+
+@pytest.mark.parametrize("algorithm", ["native", "md5"])
+@pytest.mark.parametrize("types", SAME_VALUES, ids="/".join)
+def test_values_count_and_not_their_types(spark, types, algorithm):
+    text = ["2020-01-02", "2021-03-04", None] if "date" in types else ["1", "5", None]
+    one, other = (spark.createDataFrame([(v,) for v in text], "v string").select(F.col("v").cast(k)) for k in types)
+    for a, b in ((one, other), (other, one)):
+        assert eq.pair_report("p", a, b, algorithm).collect()[0]["status"] == "MATCH"
+        assert eq.compare_batch([("p", a, b)], algorithm).collect()[0]["status"] == "MATCH"
+        changed = b.filter("v IS NULL").union(b.limit(2).union(b.limit(0)))
+        assert eq.pair_report("p", a, b.union(b.limit(1)), algorithm).collect()[0]["status"] == "MISMATCH"
+        assert eq.diff_rows(a, b).count() == 0 and changed.count() >= 1
+
+
+def test_types_without_common_values_are_an_error(spark):
+    a, b = spark.range(1).selectExpr("id"), spark.range(1).selectExpr("cast(id as string) AS id")
+    with pytest.raises(ValueError, match="can't be compared"):
+        eq.pair_report("p", a, b)
 
 
 def test_vacuous_matches_are_marked(t):

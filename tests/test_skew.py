@@ -48,10 +48,19 @@ def test_outer_join_splits_the_hot_side(scaled_down):
 
 def test_ranking_spreads_the_hot_key(scaled_down):
     many = hot_table(scaled_down)
-    ranked = ranked_rows(many, ["k"], [("b", "asc"), ("id", "asc")], "b")
+    ranked = ranked_rows(many, ["k"], [("b", "asc"), ("id", "asc")])
     hot = ranked.filter("k = 0").withColumn("task", F.spark_partition_id())
     rows = [r["count"] for r in hot.groupBy("task").count().collect()]
     assert sum(rows) == many.filter("k = 0").count()
     assert max(rows) < sum(rows) / 3
     checked = ranked.filter("k = 0").agg(F.min("rn"), F.max("rn"), F.count_distinct("rn")).collect()[0]
     assert tuple(checked) == (1, sum(rows), sum(rows))
+
+
+def test_ranking_spreads_one_order_value_and_one_repeated_row(scaled_down):
+    same = scaled_down.range(0, 20_000, 1, 8).selectExpr("0 AS k", "7 AS b", "'x' AS pad")
+    for keys in (["k"], []):
+        ranked = ranked_rows(same, keys, [("b", "asc")])
+        tasks = [r["count"] for r in ranked.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+        assert max(tasks) < 20_000 / 2
+        assert tuple(ranked.agg(F.min("rn"), F.max("rn"), F.count_distinct("rn")).collect()[0]) == (1, 20_000, 20_000)

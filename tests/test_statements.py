@@ -29,7 +29,7 @@ def test_labels(corpus):
 
 def test_shapes_do_not_depend_on_layout(spark, corpus):
     messy = corpus.withColumn("sql", F.concat(F.lit("\n  "), F.regexp_replace("sql", " ", " \n\t ")))
-    messy = messy.filter("no NOT IN (33)")  # a line comment would swallow less text
+    messy = messy.filter("NOT contains(sql, '--')")  # a line comment would swallow less text
     df = st.with_shape(messy.withColumnRenamed("shape", "want").drop("features"), "sql")
     assert df.filter("shape <> want").count() == 0
 
