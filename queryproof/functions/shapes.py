@@ -135,10 +135,11 @@ def shape_family(features: Column) -> Column:
     counts_rows = top.rlike(r"^select count ?\( ?\) from ?\(")
 
     outer, whole_inside = top.startswith("select "), inside.startswith("select ") | says(inside, "(select ", "( select ")
-    wraps = outer & sources.startswith("(") & whole_inside
+    alone = ~says(sources, " join ", ",")
+    wraps = outer & alone & sources.startswith("(") & whole_inside
     ends_plainly = (rest == "") | rest.rlike("^(order by|limit|offset|fetch)")
     # The outermost query reads one table under one short name and says so.
-    one_table = outer & ~sources.startswith("(") & ~says(sources, " join ", ",")
+    one_table = outer & alone & ~sources.startswith("(")
     qualified = one_table & (alias != "") & F.contains(text, F.concat(alias, F.lit(".")))
     last_order = F.when(says(text, " order by "), part(text, " order by ", -1)).otherwise("")
     last_limit = F.when(says(text, " limit "), part(text, " limit ", -1)).otherwise("")

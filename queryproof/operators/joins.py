@@ -1,11 +1,11 @@
 """Joins that keep working when one key holds a large share of a side.
 
 Inner joins are left to Spark: adaptive execution splits a hot partition of either side. It cannot
-split the inner side of an outer, semi or anti join, so those are built so that a hot key never
-has to travel whole:
+split the inner side of an outer, semi or anti join:
 
 * semi and anti joins meet the distinct keys of the other side, deduplicated in the map tasks;
-* outer joins are the inner join plus the unmatched rows.
+* outer joins are Spark's own; where the side that can't be split is known to be hot, they are the
+  inner join plus the unmatched rows.
 """
 
 from __future__ import annotations
@@ -28,10 +28,20 @@ def not_exists_in(df: DataFrame, key: str, other: DataFrame, other_key: str) ->
     return df.join(distinct_keys(other, other_key), F.col(key) == F.col("_key"), "left_anti")
 
 
-def outer_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str, how: str) -> DataFrame:
-    """``left``, ``right`` or ``full`` outer join on one key; column names must not overlap."""
+def outer_join(
+    left: DataFrame, left_key: str, right: DataFrame, right_key: str, how: str, hot: str | None = None
+) -> DataFrame:
+    """``left``, ``right`` or ``full`` outer join on one key; column names must not overlap.
+
+    Spark's own join, unless ``hot`` names a side whose hot key it could not split: the side that is not
+    kept whole, or any side of a full join. Then it is the inner join, whose both sides can be split, plus
+    the unmatched rows, which reads the sides once more.
+    """
     columns = left.columns + right.columns
-    out = left.join(right, F.col(left_key) == F.col(right_key)).select(*columns)
+    condition = F.col(left_key) == F.col(right_key)
+    if hot is None or hot == how:
+        return left.join(right, condition, how).select(*columns)
+    out = left.join(right, condition).select(*columns)
     if how in ("left", "full"):
         unmatched = not_exists_in(left, left_key, right, right_key)
         nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]

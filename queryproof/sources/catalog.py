@@ -27,10 +27,11 @@ def catalog_index(catalog: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     )
 
 
-def table_metadata(name: str, df: DataFrame, distinct: bool = False) -> DataFrame:
-    """One row per column: position, type, nullable, rows, NULLs and, if asked, approximate distincts.
+def table_metadata(name: str, df: DataFrame, distinct: str | None = None) -> DataFrame:
+    """One row per column: position, type, nullable, rows, NULLs and, if asked, distinct values.
 
-    One aggregation per table; its single row is turned into one row per column.
+    One aggregation per table; its single row is turned into one row per column. ``distinct`` is
+    ``approx`` (a sketch per column, for large tables) or ``exact``.
     """
     fields = df.schema.fields
     aggregates = [F.count("*").alias("n_rows")]
@@ -38,7 +39,8 @@ def table_metadata(name: str, df: DataFrame, distinct: bool = False) -> DataFram
         col = F.col(f"`{f.name}`")
         aggregates.append(F.count_if(col.isNull()).alias(f"null_{i}"))
         if distinct:
-            aggregates.append(F.approx_count_distinct(col).alias(f"distinct_{i}"))
+            count = F.count_distinct if distinct == "exact" else F.approx_count_distinct
+            aggregates.append(count(col).alias(f"distinct_{i}"))
     rows = [
         F.struct(
             F.lit(i + 1).alias("position"),
@@ -46,7 +48,7 @@ def table_metadata(name: str, df: DataFrame, distinct: bool = False) -> DataFram
             F.lit(f.dataType.simpleString()).alias("data_type"),
             F.lit(f.nullable).alias("nullable"),
             F.col(f"null_{i}").alias("n_null"),
-            *([F.col(f"distinct_{i}").alias("n_distinct_approx")] if distinct else []),
+            *([F.col(f"distinct_{i}").alias("n_distinct")] if distinct else []),
         )
         for i, f in enumerate(fields)
     ]

@@ -70,16 +70,21 @@ def run_batches(
 
 
 class VersionedResult:
-    """Result table of a complete-mode query: each batch replaces the one before it."""
+    """Result table of a complete-mode query: each batch replaces the one before it.
+
+    Two folders take turns, so only the last two results are kept and a reader of the last one is not
+    disturbed while the next is written. Rows carry their batch; the larger number is the current one.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        numbered = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        numbered.write.mode("overwrite").parquet(f"{self.path}/turn={batch_id % 2}")
 
     def current(self) -> DataFrame:
-        table = self.spark.read.option("basePath", self.path).parquet(self.path)
+        table = self.spark.read.option("basePath", self.path).parquet(self.path).drop("turn")
         last = table.agg(F.max("batch")).scalar()
         return table.filter(F.col("batch") == last).drop("batch")
 

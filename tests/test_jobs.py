@@ -179,6 +179,8 @@ def test_consensus_ladder(spark):
         "surfaces": [{}, {"surface": "T"}],
         "ops": [{"ops": None}, {"ops": "P"}, {}],
         "one_surface": [{"surface": None}, {}],
+        "nothing": [{"status": None, "gate": None, "supported": None}, {}],
+        "blank": [{"family": " ", "surface": "", "ops": " "}, {}],
     }
     rows = [(k, i, *(base | change).values()) for k, changes in cases.items() for i, change in enumerate(changes)]
     schema = "k string, pos int, status string, gate string, family string, surface string, ops string, candidate string, supported boolean, status_reason string, gate_reason string"
@@ -194,6 +196,54 @@ def test_consensus_ladder(spark):
         "surfaces": "PATCH_SURFACE_CONFLICT",
         "ops": "REWRITE_OPS_CONFLICT",
         "one_surface": None,
+        "nothing": "SHAPE_FAMILY_NOT_TARGET",
+        "blank": None,
     }
+    for r in got.values():
+        assert r["n_pass"] + r["n_partial"] + r["n_fail"] == r["n_variants"]
+        assert r["n_gate_pass"] + r["n_gate_blocked"] + r["n_gate_uncertain"] == r["n_variants"]
+    assert (got["nothing"]["n_partial"], got["nothing"]["n_gate_uncertain"]) == (1, 1)
     assert (got["one_surface"]["surface"], got["agreed"]["decision"]) == ("S", "AUTO_PATCHABLE")
     assert (got["status"]["n_pass"], got["status"]["n_partial"], got["status"]["n_fail"]) == (1, 1, 1)
+
+
+def test_elements_and_includes_of_a_mapper_file(spark, tmp_path):
+    text = """<?xml version="1.0"?><mapper
+      namespace = 'shop.a'><!-- two fragments -->
+    <sql id="cols">id, <include refid="more"/></sql><sql id='more'>x</sql>
+    <select resultType="int" id="q"> SELECT <include refid="cols"/>, <include
+       refid='other.far'></include> FROM t WHERE a &lt; 1 </select>
+    <update id="u">UPDATE t SET a = 1</select></update>
+    <insert id="empty"></insert><delete id="d">DELETE FROM t</delete></mapper>
+    <mapper namespace="shop.b"><select id="q">SELECT 1</select></mapper>"""
+    (tmp_path / "m.xml").write_text(text)
+    rows = markup.read_elements(spark, str(tmp_path))
+    got = {(r["namespace"], r["element_id"], r["element"]) for r in rows.collect()}
+    assert got == {("shop.a", "cols", "sql"), ("shop.a", "more", "sql"), ("shop.a", "q", "select"), ("shop.a", "u", "update"),
+                   ("shop.a", "empty", "insert"), ("shop.a", "d", "delete"), ("shop.b", "q", "select")}
+    assert rows.filter("element_id = 'u'").collect()[0]["body"] == "UPDATE t SET a = 1</select>"
+    edges = {(r["fragment"], r["ref"]) for r in markup.include_edges(rows).collect() if r["ref"]}
+    assert edges == {("shop.a.cols", "shop.a.more"), ("shop.a.q", "shop.a.cols"), ("shop.a.q", "other.far")}
+    assert markup.read_statements(spark, str(tmp_path)).count() == 5
+
+def test_winners_with_null_keys(spark):
+    rows = [(None, "a", "PASS"), (None, "b", "FAIL"), (1, "a", None), (1, None, "PASS"), (2, "a", "PASS"), (2, "b", "PASS")]
+    df = spark.createDataFrame(rows, "s long, v string, status string")
+    got = {(r["s"], r["v"], r["status"]): (r["n_pass"], r["gate_code"] is None) for r in cons.clear_winners(df, "s", "v").collect()}
+    assert len(got) == len(rows)
+    assert got[None, "a", "PASS"] == (1, True) and got[None, "b", "FAIL"] == (1, False)
+    assert got[1, "a", None] == (1, False) and got[2, "a", "PASS"] == (2, False)
+
+
+def test_null_right_keys_do_not_block_an_elimination(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k long")
+    right = spark.createDataFrame([(1,), (2,), (None,), (None,)], "r long")
+    row = audits.join_elimination(left, "k", right, "r").collect()[0]
+    assert (row["left_join_removable"], row["inner_join_removable"], row["n_orphan_rows"]) == (True, False, 1)
+
+
+def test_an_optional_json_column_may_be_null(spark):
+    contract = contracts.Contract(json_keys={"j": ["a"]})
+    df = spark.createDataFrame([(None,), ("{\"a\": 1}",), ("{\"b\": 1}",), ("no",)], "j string")
+    got = [r["v"] for r in df.select(contract.violations().alias("v")).collect()]
+    assert got == [[], [], ["UNEXPECTED:j"], ["NOT_JSON:j"]]

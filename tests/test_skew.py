@@ -37,7 +37,7 @@ def hot_table(spark, n=60_000):
 def test_outer_join_splits_the_hot_side(scaled_down):
     many = hot_table(scaled_down)
     one = scaled_down.range(0, 1200).select(F.col("id").alias("key"), F.lit("x").alias("label"))
-    joined = outer_join(one, "key", many, "k", "left")
+    joined = outer_join(one, "key", many, "k", "left", hot="right")
     assert joined.count() == 60_000 + (1200 - 997)
     joined.write.format("noop").mode("overwrite").save()
     collected = joined.select("key", "pad")

@@ -94,3 +94,50 @@ def test_strategy_family(spark):
     assert [r["f"] for r in df.collect()] == [
         "DYNAMIC_FILTER_WRAPPER_COLLAPSE", "STATIC_OR_SIMPLIFICATION", "GROUP_BY_HAVING_FROM_ALIAS_CLEANUP", None,
     ]
+
+
+# Exact names, as fixed by hand: each of these means its family without any marker.
+EXACT = {
+    "REMOVE_REDUNDANT_DISTINCT_WRAPPER_RECOVERED": "REDUNDANT_DISTINCT_WRAPPER",
+    "REMOVE_CONSTANT_ORDER_BY_RECOVERED": "STATIC_ORDER_BY_SIMPLIFICATION",
+    "REMOVE_BOOLEAN_TAUTOLOGY_RECOVERED": "STATIC_BOOLEAN_SIMPLIFICATION",
+    "SIMPLIFY_CASE_WHEN_TRUE_RECOVERED": "STATIC_CASE_SIMPLIFICATION",
+    "SIMPLIFY_COALESCE_IDENTITY_RECOVERED": "STATIC_COALESCE_SIMPLIFICATION",
+    "FOLD_CONSTANT_EXPRESSION_RECOVERED": "STATIC_EXPRESSION_FOLDING",
+    "REMOVE_REDUNDANT_HAVING_WRAPPER_RECOVERED": "REDUNDANT_HAVING_WRAPPER",
+    "subquery inline": "DYNAMIC_FILTER_WRAPPER_COLLAPSE",
+    "SUBQUERY_UNNEST": "DYNAMIC_FILTER_WRAPPER_COLLAPSE",
+    "SAFE_JOIN_CONSOLIDATION": "STATIC_JOIN_CONSOLIDATION",
+    "SAFE_JOIN_ELIMINATION": "STATIC_JOIN_ELIMINATION",
+    "SAFE_JOIN_LEFT_TO_INNER": "STATIC_JOIN_LEFT_TO_INNER",
+    "SAFE_JOIN_REORDERING": "STATIC_JOIN_REORDERING",
+}
+
+
+def test_exact_strategy_names(spark):
+    df = spark.createDataFrame([(n,) for n in EXACT], "s string").select("s", st.strategy_family(F.col("s")).alias("f"))
+    assert {r["s"]: r["f"] for r in df.collect()} == EXACT
+
+
+@pytest.mark.parametrize(
+    "sql, shape",
+    [
+        ("SELECT o.status, COUNT(*) FROM orders o JOIN users u ON u.id = o.uid GROUP BY o.status", "STATIC_STATEMENT"),
+        ("SELECT o.status, COUNT(*) FROM orders o, users u WHERE u.id = o.uid GROUP BY o.status", "STATIC_STATEMENT"),
+        ("SELECT o.status, COUNT(*) FROM orders AS o GROUP BY o.status", "GROUP_BY_ALIAS"),
+        ("SELECT status FROM orders GROUP BY status", "STATIC_STATEMENT"),
+        ("SELECT a FROM (SELECT a FROM t) x JOIN u ON u.a = x.a", "STATIC_STATEMENT"),
+        ("SELECT a FROM (SELECT a FROM t) x WHERE a = 1", "STATIC_SUBQUERY_WRAPPER"),
+        ("SELECT a FROM t WHERE f(g(h(1))) = ((2))", "STATIC_STATEMENT"),
+        ("", "STATIC_STATEMENT"),
+    ],
+)
+def test_shapes_by_hand(spark, sql, shape):
+    assert st.with_shape(spark.createDataFrame([(sql,)], "sql string"), "sql").collect()[0]["shape"] == shape
+
+
+def test_long_nested_text_takes_one_pass(spark):
+    sql = "SELECT a FROM t WHERE " + "(" * 2000 + "a = 1" + ")" * 2000
+    df = spark.createDataFrame([(sql,)], "sql string")
+    assert st.with_syntax_problem(df, "sql").collect()[0]["problem"] is None
+    assert st.with_aggregation_profile(df, "sql").collect()[0]["aggregation_shape"] == "NONE"
