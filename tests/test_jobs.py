@@ -131,7 +131,7 @@ def test_contract(spark):
 
 def test_metadata(spark):
     df = spark.createDataFrame([(1, None), (2, "a"), (2, "b")], "a bigint, b string")
-    got = {r["column_name"]: (r["n_rows"], r["n_null"], r["n_distinct_approx"]) for r in catalog.table_metadata("x", df, True).collect()}
+    got = {r["column_name"]: (r["n_rows"], r["n_null"], r["n_distinct"]) for r in catalog.table_metadata("x", df, "approx").collect()}
     assert got == {"a": (3, 0, 2), "b": (3, 1, 2)}
 
 
