@@ -64,7 +64,7 @@ def with_text_facts(df: DataFrame, sql: str) -> DataFrame:
     return (
         df.withColumn("_text", text)
         .withColumn("_spaced", F.concat(F.lit(" "), F.trim(spaced), F.lit(" ")))
-        .withColumn("_top", F.trim(outside_parentheses(F.col("_text"))))
+        .withColumn("_top", F.trim(F.when(says(F.col("_text"), "("), outside_parentheses(F.col("_text"))).otherwise(F.col("_text"))))
         .withColumn("_inside", after(F.col("_text"), "("))
         .withColumn("_sources", F.trim(F.element_at(F.split(source, clause, 2), 1)))
         .withColumn("_rest", F.trim(F.coalesce(F.try_element_at(F.split(source, clause, 2), F.lit(2)), F.lit(""))))
@@ -76,27 +76,23 @@ FACTS = ("_text", "_spaced", "_top", "_inside", "_sources", "_rest", "_alias")
 
 
 def any_part(text: Column, mark: str, test) -> Column:
-    """Whether ``test`` holds for what follows any place of a plain mark."""
-    return F.exists(F.slice(F.split(text, rf"\Q{mark}\E"), 2, 1_000_000), test)
+    """Whether ``test`` holds for what follows any place of a plain mark; cheap where there is none."""
+    return F.contains(text, F.lit(mark)) & F.exists(F.slice(F.split(text, rf"\Q{mark}\E"), 2, 1_000_000), test)
 
 
 def same_column_alternatives(spaced: Column) -> Column:
     """``c = x or c = y``: two neighbours of an OR test the same column."""
     plain = F.regexp_replace(spaced, "'[^']*'", "'v'")
     sides = F.transform(F.split(plain, " or "), lambda s: F.split(F.trim(s), " "))
+    ends = F.transform(sides, lambda w: F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3)))
+    starts = F.slice(F.transform(sides, lambda w: F.slice(w, 1, 2)), 2, 1_000_000)
 
-    def same(i: Column) -> Column:
-        left, right = F.element_at(sides, i), F.element_at(sides, i + 1)
-        column = F.try_element_at(left, F.lit(-3))
-        return (
-            (F.try_element_at(left, F.lit(-2)) == "=")
-            & (F.try_element_at(right, F.lit(2)) == "=")
-            & (column == F.try_element_at(right, F.lit(1)))
-            & column.rlike(PATH)
-        )
+    def same(end: Column, start: Column) -> Column:
+        column = F.try_element_at(end, F.lit(1))
+        found = (F.try_element_at(end, F.lit(2)) == "=") & (F.try_element_at(start, F.lit(2)) == "=")
+        return F.coalesce(found & (column == F.try_element_at(start, F.lit(1))) & column.rlike(PATH), F.lit(False))
 
-    pairs = F.when(F.size(sides) > 1, F.sequence(F.lit(1), F.size(sides) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.exists(pairs, lambda i: F.coalesce(same(i), F.lit(False)))
+    return F.exists(F.zip_with(ends, starts, same), lambda found: found)
 
 
 def self_exists(spaced: Column) -> Column:
@@ -167,7 +163,7 @@ def shape_family(features: Column) -> Column:
             (last_order.rlike(r"^(null|[0-9.]+|'[^']*'|\"[^\"]*\")$"), "ORDER_BY_CONSTANT"),
             (says(spaced, " where 1 = 1 ", " where 0 = 0 ", " where true "), "BOOLEAN_TAUTOLOGY"),
             (any_part(tested, " in ( ", list_head), "IN_LIST_SINGLE_VALUE"),
-            (same_column_alternatives(spaced), "OR_SAME_COLUMN"),
+            (says(spaced, " or ") & same_column_alternatives(spaced), "OR_SAME_COLUMN"),
             (says(spaced, " case when true then "), "CASE_WHEN_TRUE"),
             (any_part(spaced, " coalesce ( ", two_paths), "COALESCE_IDENTITY"),
             (text.rlike("(?<![a-z0-9_])[0-9]+ ?[-+*/] ?[0-9]+(?![a-z0-9_])"), "EXPRESSION_FOLDING"),
@@ -184,7 +180,7 @@ def shape_family(features: Column) -> Column:
             (qualified & top.startswith("select distinct "), "DISTINCT_ALIAS"),
             (qualified & says(text, " group by ") & says(text, " having "), "GROUP_BY_HAVING_ALIAS"),
             (qualified & says(text, " group by "), "GROUP_BY_ALIAS"),
-            (outer & F.exists(projections, repeats_itself), "STATIC_ALIAS_PROJECTION"),
+            (outer & says(top, " as ") & F.exists(projections, repeats_itself), "STATIC_ALIAS_PROJECTION"),
         ],
         "STATIC_STATEMENT",
     )
