@@ -29,13 +29,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches; no shuffle."""
+def map_batches(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = 512
+) -> DataFrame:
+    """``fn`` over Arrow batches of at most ``rows`` rows, which bounds what a worker holds; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for start in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(start, rows))
 
     return df.mapInArrow(run, schema)
 
@@ -57,13 +59,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def worker_memo(name: str, make: Callable[[], object]) -> object:
-    """An object kept for the life of a Python worker, over all its tasks."""
+    """An object kept by a Python worker from task to task, until it is asked for another one."""
     import types
 
     store = sys.modules.setdefault("_queryproof_worker_memo", types.ModuleType("_queryproof_worker_memo"))
-    if not hasattr(store, name):
-        setattr(store, name, make())
-    return getattr(store, name)
+    if getattr(store, "name", None) != name:
+        store.held = None
+        store.held, store.name = make(), name
+    return store.held
 
 
 def text_or_empty(column: str = "text") -> Column:

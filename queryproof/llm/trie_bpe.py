@@ -10,6 +10,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -128,7 +129,7 @@ class WordTrie:
     node it starts from: BPE of the two together must not merge across their border.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 1_200_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 600_000):
         self.v = vocabulary
         self.most = most
         self.fits: dict[int, bool] = {}
@@ -212,7 +213,7 @@ class Codec:
     #: After a run of letters one of these is a word of its own.
     ends = frozenset(",.;:!?")
 
-    def __init__(self, text: str, most: int = 600_000):
+    def __init__(self, text: str, most: int = 400_000):
         self.v = Vocabulary(text)
         self.trie = WordTrie(self.v)
         self.most = most
@@ -338,13 +339,15 @@ def _coded(docs: DataFrame, vocabulary: str, column: str, digests: bool) -> Data
                     second.append(hashlib.sha256(ids).hexdigest())
                     third.append(hashlib.sha256(decoded.encode()).hexdigest())
                 else:
-                    first.append(array.array("I", ids).tolist())
+                    first.append(ids)
                     second.append(decoded)
         columns = [batch.column(i) for i in range(len(kept))]
         if digests:
             columns += [pa.array(first, pa.int64()), pa.array(second, pa.string()), pa.array(third, pa.string())]
         else:
-            columns += [pa.array(first, pa.list_(pa.int32())), pa.array(second, pa.string())]
+            ends = np.cumsum([0, *(len(ids) // 4 for ids in first)], dtype=np.int32)
+            values = pa.array(np.frombuffer(b"".join(first), "<u4").astype(np.int32))
+            columns += [pa.ListArray.from_arrays(pa.array(ends), values), pa.array(second, pa.string())]
         return pa.RecordBatch.from_arrays(columns, [*kept, *added])
 
     return map_batches(docs.select(*(F.col(f"`{c}`") for c in read)), run, schema)
