@@ -19,6 +19,10 @@ ship(__name__)
 WORD = re.compile(r"\w+")
 #: Slots of the hashed term space.
 SLOTS = 1 << 20
+#: How many times its own noise the log odds of a slot must be to be learnt.
+LEAST_STRENGTH = 2.5
+#: Steps of training at least, so that few labels are learnt as well as many.
+LEAST_STEPS, BATCH = 1000, 128
 #: Words are known by these many first letters too, so that new endings of a known stem count.
 STEMS = (4, 5, 6)
 
@@ -54,14 +58,15 @@ class Machine:
 def select_slots(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, most: int) -> np.ndarray:
     """The slots whose presence tells most about the label, by the chi-square value with one half added."""
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    used, at = np.unique(slots, return_inverse=True)
-    y = labels[rows]
-    with1, with0 = np.bincount(at, y, len(used)), np.bincount(at, 1 - y, len(used))
+    every, toxic = np.bincount(slots), np.bincount(slots[labels[rows] > 0])
+    used = np.flatnonzero(every)
+    with1 = np.concatenate([toxic, np.zeros(len(every) - len(toxic), toxic.dtype)])[used]
+    with0 = every[used] - with1
     log_odds = np.log((with1 + 0.5) / (n1 - with1 + 0.5)) - np.log((with0 + 0.5) / (n0 - with0 + 0.5))
     noise = np.sqrt(1 / (with1 + 0.5) + 1 / (n1 - with1 + 0.5) + 1 / (with0 + 0.5) + 1 / (n0 - with0 + 0.5))
     strength = np.abs(log_odds) / noise
     best = np.lexsort((used, -strength))[:most]
-    return np.sort(used[best[strength[best] > 2.0]])
+    return np.sort(used[best[strength[best] > LEAST_STRENGTH]])
 
 
 def train(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, most: int, factors: int, epochs: int) -> Machine:
@@ -82,10 +87,10 @@ def train(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, most: int, fa
     rows, at = rows[order], at[order]
     starts = np.searchsorted(rows, np.arange(len(labels) + 1))
     sum_b, sum_w, sum_v = 1e-8, np.full(len(known), 1e-8), np.full((len(known), factors), 1e-8)
-    for _ in range(epochs):
+    for _ in range(max(epochs, LEAST_STEPS * BATCH // len(labels))):
         shuffled = rng.permutation(len(labels))
-        for i in range(0, len(labels), 256):
-            batch = shuffled[i : i + 256]
+        for i in range(0, len(labels), BATCH):
+            batch = shuffled[i : i + BATCH]
             sizes = starts[batch + 1] - starts[batch]
             row = np.repeat(np.arange(len(batch)), sizes)
             term = at[np.repeat(starts[batch] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())]
@@ -146,8 +151,8 @@ def fit(
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(n=pdf["slots"].str.len()).sort_values(["doc_id", "n"], kind="stable", ignore_index=True)
-        rows = np.repeat(np.arange(len(pdf)), pdf["n"].astype(int))
-        slots = np.concatenate([np.zeros(0, np.int64), *pdf["slots"]]).astype(np.int64)
+        rows = np.repeat(np.arange(len(pdf), dtype=np.int32), pdf["n"].astype(int))
+        slots = np.concatenate([np.zeros(0, np.int32), *pdf.pop("slots")])
         m = train(rows, slots, pdf["toxic"].to_numpy(), most, factors, epochs)
         return pd.DataFrame({"slots": [m.slots], "bias": [m.bias], "weight": [m.weight], "factor": [m.factor.ravel()]})
 
@@ -181,7 +186,7 @@ def score(docs: DataFrame, model: Machine, threshold: float = 0.3, text: str = "
                 hit = memo.get(w)
                 if hit is None:
                     hit = memo[w] = tuple(index[s] for s in slots_of(w) if s in index)
-                    if len(memo) > 500_000:
+                    if len(memo) > 300_000:
                         memo.clear()
                 if hit:
                     found.update(hit)
