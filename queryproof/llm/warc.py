@@ -218,14 +218,15 @@ def merged_index(captures: DataFrame, range_rows: int = 5000, sample: int = 20_0
 
     Each batch of captures is sorted where it lies: a run. Runs are cut at common bounds into pieces, a
     piece is one packed row, and the pieces of a range are merged by a loser tree. ``range, position`` is
-    the global order. Bounds come from at most ``sample`` keys; they include time and page, so the captures
+    the global order. Bounds come from about ``sample`` keys, picked by hash, or all if there are fewer; they include time and page, so the captures
     of one frequent URL are spread over ranges, and they steer only how even the ranges are. Ranges hold
     about ``range_rows`` captures each.
     """
     count = captures.count()
     ranges = max(1, -(-count // range_rows))
     some = captures.select("url", "capture_date", "page_id", "file", "offset")
-    some = some.orderBy(F.xxhash64("file", "offset")).limit(sample) if count > sample else some
+    if count > sample:  # by hash, so that no task sends more than its share
+        some = some.filter(F.pmod(F.xxhash64("file", "offset"), F.lit(1 << 30)) < (sample << 30) // count)
     keys = sorted(order_of((r[2], r[0], r[1], *[None] * 5, r[3], r[4])) for r in some.collect())
     bounds = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
 
