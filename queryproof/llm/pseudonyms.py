@@ -29,8 +29,9 @@ NUMBERS = {
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)",
 }
 NUMBER = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in NUMBERS.items()))
-#: Where a number may stand: the expensive patterns are tried here only.
-DIGITS = re.compile(r"\d[\d ./()-]{6,}\d")
+#: Where a number may stand: the expensive patterns are tried here only. No valid number is shorter than
+#: the seven characters of 1.1.1.1.
+DIGITS = re.compile(r"\d[\d ./()-]{5,}\d")
 LOCAL = re.compile(r"[^\W_](?:[\w.+%-]{0,62}[^\W_])?$")
 DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")

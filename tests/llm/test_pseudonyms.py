@@ -84,3 +84,11 @@ def test_edges_of_the_input(spark, rows_of):
     assert got == sorted(want, key=str)
     assert p.pseudonymize_column(df, KEY, found=None).columns == df.columns
     assert p.pseudonymize_column(df.limit(0), KEY).collect() == []
+
+
+def test_the_prefilter_hides_no_number(monkeypatch):
+    texts = [*VALUES, "dns 8.8.8.8, ok", "at 1.1.1.1.", "from 8.8.8.8 2 times", "1.2.3.4", "(1/1/2001)", "+1234567890", "x(212) 555-0123"]
+    with_filter = [p.pseudonymize(text, KEY) for text in texts]
+    monkeypatch.setattr(p, "DIGITS", re.compile(r"(?s).+"))
+    assert with_filter == [p.pseudonymize(text, KEY) for text in texts]
+    assert [kinds for _, kinds in with_filter[len(VALUES) :]][:4] == [["ip"]] * 4
