@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,16 +20,21 @@ ship(__name__)
 ROUNDS = 8
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), 73049  # to the end of 2099
 
-#: Number formats, tried in this order at each place; a hit must still pass its validation below.
+#: Number formats, the higher rank first; a hit must still pass its validation below.
 NUMBERS = {
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[./-]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w|[.-]\d)"
-    r"|(?<![\w+(])\(\d{3}\) ?\d{3}-\d{4}(?!\w|-\d)",
+    r"|(?<![\w+(])\(\d{3}\) ?\d{3}-\d{4}(?!\w|-\d)"
+    r"|(?<![\w.+-])(?:1[.-])?\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?!\w|[.-]\d)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)",
 }
-NUMBER = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in NUMBERS.items()))
+NUMBER = {kind: re.compile(pattern) for kind, pattern in NUMBERS.items()}
+#: Digits that may hold a card, and how cards are grouped when they don't stand in one piece.
+CARDS = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?!\w|[.-]\d)")
+SHAPES = {(4, 4, 4, 1), (4, 6, 4), (4, 6, 5), (4, 4, 4, 4), (4, 4, 4, 4, 3)}
+GROUP = re.compile(r"\d+")
 #: Where a number may stand: the expensive patterns are tried here only. No valid number is shorter than
 #: the seven characters of 1.1.1.1.
 DIGITS = re.compile(r"\d[\d ./()-]{5,}\d")
@@ -41,7 +47,8 @@ SOMETHING = re.compile(r"[@\d]")
 
 
 def places(text: str) -> list[tuple[int, int, str]]:
-    """Where something stands that looks like personal data: (start, end, kind), without overlaps."""
+    """Where valid personal data stands: (start, end, kind), in order and without overlaps; of two that
+    overlap the kind of higher rank stays, what fails its validation hides nothing."""
     if not SOMETHING.search(text):
         return []
     found: list[tuple[int, int, str]] = []
@@ -55,21 +62,62 @@ def places(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "secret") for m in SECRET.finditer(text)]
     found += [(*m.span(), "token") for m in TOKEN.finditer(text)]
     found += [(*m.span(), "iban") for m in IBAN.finditer(text)]
+    rank = ["email", "secret", "token", "iban", *NUMBERS]
+    ranked = [(rank.index(kind), a, b, kind) for a, b, kind in found if valid(kind, text[a:b])]
+    failed: list[tuple[int, int]] = []
     for region in DIGITS.finditer(text):
         # a little more on both sides for signs, brackets and what must not follow
-        for m in NUMBER.finditer(text, max(0, region.start() - 6), min(len(text), region.end() + 2)):
-            found.append((*m.span(), m.lastgroup))
-    rank = ["email", "secret", "token", "iban", *NUMBERS]
+        start, end = max(0, region.start() - 6), min(len(text), region.end() + 2)
+        for a, b in card_places(text, start, end):
+            ranked.append((rank.index("card"), a, b, "card"))
+        for kind, pattern in NUMBER.items():
+            at = start
+            while m := pattern.search(text, at, end):
+                at = m.end()
+                if valid(kind, m[0]):  # a card of any grouping comes after all else
+                    ranked.append((rank.index(kind) + (kind == "card"), *m.span(), kind))
+                elif kind != "card":
+                    at = GROUP.search(text, m.start()).end()  # it may start within what failed
+                    if kind == "phone":
+                        failed.append(m.span())
     kept: list[tuple[int, int, str]] = []
-    for hit in sorted(found, key=lambda h: (h[0], rank.index(h[2]))):
-        if kept and hit[0] < kept[-1][1]:  # of two that overlap the kind of higher rank stays
-            if rank.index(hit[2]) < rank.index(kept[-1][2]):
-                kept[-1] = hit
-        else:
-            kept.append(hit)
+    for _, a, b, kind in sorted(ranked):
+        keep(kept, a, b, kind)
+    for a, b in failed:  # a phone number beside other numbers: as many of its groups as are one
+        for group in reversed([*GROUP.finditer(text, a, b)]):
+            m = NUMBER["phone"].fullmatch(text, a, group.end())
+            if m and valid("phone", m[0]) and keep(kept, a, group.end(), "phone"):
+                break
     return kept
 
 
+def keep(kept: list[tuple[int, int, str]], a: int, b: int, kind: str) -> bool:
+    """Put the place into ``kept``, which is in order, unless it overlaps one that is there."""
+    i = bisect_left(kept, (a,))
+    if (i and kept[i - 1][1] > a) or (i < len(kept) and kept[i][0] < b):
+        return False
+    kept.insert(i, (a, b, kind))
+    return True
+
+
+def card_places(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """Valid cards in one piece or in the groups of cards, the shorter first at each place; what else
+    stands before or after them in a row of digits does not matter."""
+    out = []
+    for row in CARDS.finditer(text, start, len(text) if end is None else end):
+        groups = [m.span() for m in GROUP.finditer(text, *row.span())]
+        done = row.start()
+        for i, (a, _) in enumerate(groups):
+            for j in range(i, min(i + 5, len(groups))):
+                sizes = tuple(y - x for x, y in groups[i : j + 1])
+                b = groups[j][1]
+                if a >= done and (sizes in SHAPES or (i == j and 13 <= sizes[0] <= 19)) and valid("card", text[a:b]):
+                    out.append((a, b))
+                    done = b
+                    break
+    return out
+
+
 @lru_cache(1 << 16)
 def permute(value: int, size: int, tweak: str, key: bytes, back: bool = False) -> int:
     """A keyed permutation of ``range(size)``: a balanced Feistel network over the next even number of
@@ -112,23 +160,33 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
+def valid_card(digits: str) -> bool:
+    return len(digits) > 1 and luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
 def swap_card(text: str, key: bytes, back: bool) -> str | None:
     digits = digits_of(text)
-    body = digits[:-1]
-    if luhn_digit(body) != digits[-1] or len(set(digits)) == 1:
+    if not valid_card(digits):
         return None
-    while True:  # one digit throughout is no card, so it can't come out either
+    body, read = digits[:-1], card_places(text)
+    while True:  # one digit throughout is no card, so it can't come out either, nor what is read in other pieces
         body = str(permute(int(body), 10 ** len(body), "card", key, back)).zfill(len(body))
         new = body + luhn_digit(body)
-        if len(set(new)) > 1:
+        if len(set(new)) > 1 and card_places(put_digits(text, new)) == read:
             return put_digits(text, new)
 
 
-def swap_ip(text: str, key: bytes, back: bool) -> str | None:
+def ip_number(text: str) -> int | None:
     try:
-        value = int(ipaddress.IPv4Address(text))
+        return int(ipaddress.IPv4Address(text))
     except ValueError:
         return None
+
+
+def swap_ip(text: str, key: bytes, back: bool) -> str | None:
+    value = ip_number(text)
+    if value is None:
+        return None
     return str(ipaddress.IPv4Address(permute(value, 1 << 32, "ip", key, back)))
 
 
@@ -140,13 +198,18 @@ def ordinal(year: int, month: int, day: int) -> int | None:
     return n if 0 <= n < DAYS else None
 
 
-def swap_date(text: str, key: bytes, back: bool) -> str | None:
+def read_date(text: str) -> tuple[int | None, str, bool]:
+    """Its number, what divides its parts, and whether the month is in front."""
     mark = re.search(r"\D", text)[0]
     a, b, c = map(int, text.split(mark))
-    month_first = False
     n = ordinal(a, b, c) if mark == "-" else ordinal(c, b, a)
     if n is None and mark == "/":  # a date that can only be read with the month in front
-        n, month_first = ordinal(c, a, b), True
+        return ordinal(c, a, b), mark, True
+    return n, mark, False
+
+
+def swap_date(text: str, key: bytes, back: bool) -> str | None:
+    n, mark, month_first = read_date(text)
     if n is None:
         return None
     padded = all(len(x) > 1 for x in text.split(mark))
@@ -180,14 +243,16 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+def valid_iban(plain: str) -> bool:
+    return iban_check(plain[:2], plain[4:]) == plain[2:4] and bool(digits_of(plain[4:]))
+
+
 def swap_iban(text: str, key: bytes, back: bool) -> str | None:
     plain = text.replace(" ", "")
-    country, check, rest = plain[:2], plain[2:4], plain[4:]
-    if iban_check(country, rest) != check:
+    if not valid_iban(plain):
         return None
+    country, rest = plain[:2], plain[4:]
     numbers = digits_of(rest)
-    if not numbers:
-        return None
     n = permute(int(numbers), 10 ** len(numbers), f"iban{country}", key, back)
     rest = put_digits(rest, str(n).zfill(len(numbers)))
     new = iter(country + iban_check(country, rest) + rest)
@@ -198,7 +263,7 @@ def swap_phone(text: str, key: bytes, back: bool) -> str | None:
     digits = digits_of(text)
     if not 10 <= len(digits) <= 15:
         return None
-    kept = len(re.match(r"\+(\d*)", text)[1]) if text[0] == "+" else 0  # the country code stays
+    kept = len(re.match(r"\+(\d*)", text)[1]) if text[0] == "+" else len(digits) - 10  # the country code stays
     if kept == len(digits):
         kept = 1
     own = digits[kept:]
@@ -235,13 +300,17 @@ def swap_email(text: str, key: bytes, back: bool) -> str:
     return f"{swap_chars(local, ALPHABETS, 'email@' + domain.lower(), key, back)}@{domain}"
 
 
+def valid_token(text: str) -> bool:
+    return not text.isdigit() and any(c.isdigit() for c in text)
+
+
 def swap_token(text: str, key: bytes, back: bool) -> str | None:
-    if text.isdigit() or not any(c.isdigit() for c in text):
+    if not valid_token(text):
         return None
     hexes = "0123456789abcdef" if text == text.lower() else "0123456789ABCDEF"
     while True:
         text = swap_chars(text, (hexes,), "token", key, back)
-        if not text.isdigit() and any(c.isdigit() for c in text):
+        if valid_token(text):
             return text
 
 
@@ -249,6 +318,21 @@ def swap_secret(text: str, key: bytes, back: bool) -> str:
     return swap_chars(text, ALPHABETS, "secret", key, back)
 
 
+VALID = {
+    "ip": lambda text: ip_number(text) is not None,
+    "date": lambda text: read_date(text)[0] is not None,
+    "ssn": lambda text: len(digits_of(text)) == 9 and valid_ssn(int(digits_of(text))),
+    "iban": lambda text: valid_iban(text.replace(" ", "")),
+    "phone": lambda text: 10 <= len(digits_of(text)) <= 15,
+    "card": lambda text: valid_card(digits_of(text)),
+    "token": valid_token,
+}
+
+
+def valid(kind: str, text: str) -> bool:
+    return kind not in VALID or VALID[kind](text)
+
+
 SWAPS = {
     "email": swap_email,
     "secret": swap_secret,
@@ -284,7 +368,10 @@ def pseudonymize_column(
     from 1900 to 2099, e-mail addresses (their local part), hexadecimal tokens and
     key and password values are each permuted within their format
     under ``key``, with check digits made anew: equal values get equal pseudonyms in every document, and
-    ``back=True`` with the same key restores them. What fails its validation stays as it is. ``found``
+    ``back=True`` with the same key restores them. What fails its validation stays as it is. Cards are
+    found beside other numbers if they stand in one piece or in the groups of cards. Where the groups of
+    neighbouring numbers could be read as two overlapping values, the valid one is replaced; if by chance
+    both readings of the pseudonym are valid, ``back`` may take the other one. ``found``
     names a column for the kinds replaced, in text order, or is None; a column of that name is replaced.
     Null texts stay null with no kinds. Each row stands alone: nothing is shuffled, and repeated rows,
     empty tables and other columns need no care.

@@ -92,3 +92,29 @@ def test_the_prefilter_hides_no_number(monkeypatch):
     monkeypatch.setattr(p, "DIGITS", re.compile(r"(?s).+"))
     assert with_filter == [p.pseudonymize(text, KEY) for text in texts]
     assert [kinds for _, kinds in with_filter[len(VALUES) :]][:4] == [["ip"]] * 4
+
+
+@pytest.mark.parametrize(
+    "text, card",
+    [("4111 1111 1111 1111 12/27", "4111 1111 1111 1111"), ("Order 12 4111 1111 1111 1111.", "4111 1111 1111 1111"),
+     ("pay 4111111111111111 123 ok", "4111111111111111"), ("2 x 3782 822463 10005 4", "3782 822463 10005"),
+     ("GB00 4111 1111 1111 1111", "4111 1111 1111 1111"), ("12-4111-1111-1111-1111-123", "4111-1111-1111-1111")],
+)
+def test_cards_beside_other_numbers(text, card):
+    alone = p.pseudonymize(card, KEY)[0]
+    new, kinds = p.pseudonymize(text, KEY)
+    assert kinds == ["card"] and new == text.replace(card, alone)
+    assert p.pseudonymize(new, KEY, back=True) == (text, kinds)
+
+
+def test_phones_without_a_sign_and_beside_cards():
+    new, kinds = p.pseudonymize("call 555-123-4567, 1-555-123-4567 or 555.123.4567.", KEY)
+    assert kinds == ["phone"] * 3 and re.sub(r"\d", "9", new) == "call 999-999-9999, 9-999-999-9999 or 999.999.9999."
+    assert new[19] == "1" and p.pseudonymize(new, KEY, back=True)[0].startswith("call 555-123-4567, 1-555")
+    assert p.pseudonymize("+1 974 555 3436 4111 1111 1111 1111", KEY)[1] == ["phone", "card"]
+
+
+def test_what_is_not_valid_hides_nothing():
+    for first in ("31.02.2020", "000-12-3456", "256.1.1.1"):
+        assert p.pseudonymize(f"{first} 4111 1111 1111 1111", KEY)[1] == ["card"]
+    assert p.places("\u0661" * 16) == []
