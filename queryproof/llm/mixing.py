@@ -42,7 +42,12 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...], most_epochs: int)
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: int = 4, id_col: str = "doc_id"
+    docs: DataFrame,
+    weights: tuple[int, ...] = (1, 2, 3),
+    most_epochs: int = 3,
+    seed: int = 4,
+    id_col: str = "doc_id",
+    row_col: str | None = None,
 ) -> DataFrame:
     """How many words the mix takes from each document.
 
@@ -51,10 +56,12 @@ def mix(
     order (the hash of id and text); the budget, the target rounded to a whole number, takes as many
     whole epochs as fit and then cuts the order at the exact word, so the last document may be taken in
     part. Null texts and texts of white space have size 0 and nothing is taken from them. Rows that
-    repeat count each for itself: they are interchangeable. Other columns are not read. An empty table
-    gives no rows.
+    repeat count each for itself: they are interchangeable. Other columns are not read, but ``row_col``,
+    which tells rows apart and comes last in the result, if it is given. An empty table gives no rows.
     """
+    row = [F.col(row_col).alias("row")] if row_col else []
     slim = docs.select(
+        *row,
         F.col(id_col).alias("id"),
         F.col("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -65,25 +72,28 @@ def mix(
     order = [F.col("source").isNull(), F.col("source")]
     sources = with_targets(ranked(sums, order, "rank", "mix-ranks"), weights, most_epochs)
     rows = slim.join(sources, slim.source.eqNullSafe(sources.source)).drop(sources.source)
-    rows = totals_before(rows, "rank", "key", ["id", "size"], "size", "before", slim.count())
+    ties = ["id", "size", "row"] if row_col else ["id", "size"]
+    rows = totals_before(rows, "rank", "key", ties, "size", "before", slim.count())
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return rows.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"))
+    last = [F.col("row").alias(row_col)] if row_col else []
+    return rows.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"), *last)
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus, with the columns of ``docs``.
 
     A document comes once for every whole time it is taken; a part is a further row with its first
-    words, joined by blanks, in ``text``, and with ``n_chars``, where there is one, set anew. Rows
-    without an id are left out; ids must be unique, as the plan is joined by them.
+    words, joined by blanks, in ``text``, and with ``n_chars``, where there is one, set anew. The plan is
+    joined by a written row number, so ids may be null or repeat.
     """
-    own, size, taken, time = unused(docs, "mix_id", "mix_size", "mix_taken", "mix_time")
-    plan = mix(docs, **options).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias(own), F.col("size").alias(size), F.col("taken").alias(taken))
-    rows = docs.join(plan, F.col("doc_id") == F.col(own))
+    row, own, size, taken, time = unused(docs, "mix_row", "mix_own", "mix_size", "mix_taken", "mix_time")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(numbered, row_col=row, **options).filter("taken > 0")
+    plan = plan.select(F.col(row).alias(own), F.col("size").alias(size), F.col("taken").alias(taken))
+    rows = numbered.join(plan, F.col(row) == F.col(own))
     part = F.pmod(taken, size)
     times = F.floor(F.col(taken) / F.col(size)).cast("int") + F.when(part > 0, 1).otherwise(0)
     rows = rows.withColumn(time, F.explode(F.sequence(F.lit(1), times)))

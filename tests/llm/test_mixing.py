@@ -72,3 +72,15 @@ def test_applied_mix_has_the_words_of_the_plan(spark, rows_of):
         got[r.doc_id] += words(r.text)
         assert r.n_chars == len(r.text) and set(r.text.split()) == {f"w{r.doc_id}"}
     assert dict(got) == {i: r.taken for i, r in plan.items() if r.taken}
+
+
+def test_applied_mix_keeps_rows_without_an_id_and_repeated_ids(spark, rows_of):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "ab"[i % 2], f"w{i} " * (1 + i % 7)) for i in range(90)]
+    rows += [(None, "a", "same words here")] * 5 + [(8, "b", "same words here")] * 5
+    df = rows_of("doc_id long, source string, text string", rows)
+    plan, got = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(df).collect():
+        plan[r.source, r.doc_id] += r.taken
+    for r in mixing.apply_mix(df).collect():
+        got[r.source, r.doc_id] += words(r.text)
+    assert plan["a", None] and dict(got) == {i: n for i, n in plan.items() if n}
