@@ -42,7 +42,7 @@ class Tree:
         return node
 
     def search(self, query_id: int, query: np.ndarray, bounds: np.ndarray, best: list, k: int, floor: int | None) -> None:
-        """Improve ``best``, a heap of (score, -id) with the k-th on top. Nodes come by their bound, the
+        """Improve ``best``, a heap of distinct (score, -id) with the k-th on top. Nodes come by their bound, the
         largest first, and the walk ends where no bound reaches the k-th score, or ``floor``, a score that
         k others are known to reach."""
         queue = [(-int(bounds[0]), 0)]
@@ -61,7 +61,7 @@ class Tree:
             near = np.flatnonzero(scores >= kth) if kth is not None else np.arange(b - a)
             for i in near:
                 one = (int(scores[i]), -int(self.ids[a + i]))
-                if -one[1] == query_id:
+                if -one[1] == query_id or one in best:  # repeated rows count once
                     continue
                 if len(best) < k:
                     heapq.heappush(best, one)
@@ -175,7 +175,8 @@ def search_pairs(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def first_floors(blocks: DataFrame, k: int) -> DataFrame:
-    """Add ``floor``: for each query of a block the k-th score against one reference shard, if it has k."""
+    """Add ``floor``: for each query of a block the k-th score against one reference shard, if it has k.
+    What has the same id and score counts once, as in the search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +187,14 @@ def first_floors(blocks: DataFrame, k: int) -> DataFrame:
                 if data is not None:
                     tree = unpacked(data)
                     points, queries = workable(tree.points, queries)
+                    repeats = len(np.unique(tree.ids)) < len(tree.ids)
                     for n, q in enumerate(ids.tolist()):
-                        scores = points[tree.ids != q] @ queries[n]
+                        others = tree.ids != q
+                        scores = points[others] @ queries[n]
+                        if repeats and len(scores):
+                            order = np.lexsort((scores, tree.ids[others]))
+                            scores, whose = scores[order], tree.ids[others][order]
+                            scores = scores[np.append(True, (np.diff(scores) != 0) | (np.diff(whose) != 0))]
                         if len(scores) >= k:
                             floors[n] = int(np.partition(scores, len(scores) - k)[len(scores) - k])
                 yield pa.RecordBatch.from_arrays(
@@ -214,7 +221,9 @@ def top_k(
 
     Components become floor(``scale`` * x). Queries are the rows whose id is divisible by ``every``.
     Ties go to the smaller id. Rows with a null id, a null vector, or null or non-finite components take no
-    part; vectors of different lengths are not compared; a row with the query's id counts as its own.
+    part; vectors of different lengths are not compared; a row with the query's id counts as its own. Repeated
+    rows count once: a result has an id with the same score one time only. An id with several vectors is
+    a candidate with each of them, and as a query it gets the best of them all.
     Fewer candidates give fewer rows, an empty table none. Sums must fit in a long.
 
     Shards are runs of rows as they lie in a task, so no key can be hot. Queries are packed into blocks and

@@ -47,3 +47,19 @@ def test_the_walk_skips_boxes():
     tree.search(-1, query, bounds, best, 5, None)
     assert sorted(s for s, _ in best) == sorted((tree.points @ query).tolist())[-5:]
     assert len(seen) < 40
+
+
+def test_repeated_rows_count_once(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(1, 201)]
+    rows += [rows[49]] * 6 + [rows[99]] * 3  # queries
+    rows += [(300, [3 * x for x in rows[49][1]])] * 9 + [(301, [2 * x for x in rows[99][1]])] * 9  # their best candidates
+    for shape in ({}, {"shard_rows": 20, "block_rows": 3, "leaf": 4, "groups": 3}):
+        got = kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), **shape)
+        assert {tuple(r) for r in got.collect()} == brute(rows)
+
+
+def test_one_id_with_many_vectors(spark):
+    rows = [(50, [1.0, 0.0]), *((i, [float(i), 0.0]) for i in range(1, 9)), *((60, [9.0, float(j)]) for j in range(8))]
+    got = kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), leaf=2)
+    assert {tuple(r) for r in got.collect()} == brute(rows)
