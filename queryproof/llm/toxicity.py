@@ -21,6 +21,8 @@ WORD = re.compile(r"\w+")
 SLOTS = 1 << 20
 #: How many times its own noise the log odds of a slot must be to be learnt.
 LEAST_STRENGTH = 2.5
+#: The same for what two slots tell together beyond the sum of both; there are many more pairs.
+LEAST_PAIR = 5.0
 #: Steps of training at least, so that few labels are learnt as well as many.
 LEAST_STEPS, BATCH = 1000, 128
 #: Words are known by these many first letters too, so that new endings of a known stem count.
@@ -55,18 +57,59 @@ class Machine:
         return total
 
 
+def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of counts with one half added, and their squared noise."""
+    return np.log((toxic + 0.5) / (clean + 0.5)), 1 / (toxic + 0.5) + 1 / (clean + 0.5)
+
+
+def pair_strength(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, terms: np.ndarray, step: int = 512) -> np.ndarray:
+    """For each of the terms the strongest of its pairs: how many times its noise the log odds with both
+    terms differ from those that both give added up. All pairs of ``terms`` are counted, a block of
+    columns at a time."""
+    at = np.searchsorted(terms, slots)
+    hit = terms[np.minimum(at, len(terms) - 1)] == slots
+    there = np.zeros((len(labels), len(terms)), np.uint8)
+    there[rows[hit], at[hit]] = 1
+    order = np.argsort(labels, kind="stable")
+    there, clean = there[order], int(len(labels) - labels.sum())
+    sides = [(clean, len(labels)), (0, clean)]  # toxic, clean
+    alone = [there[a:b].sum(0, dtype=np.int64).astype(np.float32) for a, b in sides]
+    best = np.zeros(len(terms), np.float32)
+    for first in range(0, len(terms), step):
+        some = slice(first, first + step)
+        counts = []
+        for (a, b), one in zip(sides, alone, strict=True):
+            both = np.zeros((len(terms), len(one[some])), np.float32)
+            for i in range(a, b, 2048):
+                part = there[i : min(i + 2048, b)].astype(np.float32)
+                both += part.T @ part[:, some]
+            left, right = one[:, None] - both, one[some][None, :] - both
+            counts.append((both, left, right, (b - a) - both - left - right))
+        total, noise = np.float32(0), np.float32(0)
+        for sign, toxic, fine in zip((1, -1, -1, 1), *counts, strict=True):
+            odds, square = log_odds(toxic, fine)
+            total, noise = total + sign * odds, noise + square
+        strength = np.abs(total) / np.sqrt(noise)
+        best[some] = np.maximum(best[some], strength.max(0))
+    return best
+
+
 def select_slots(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, most: int) -> np.ndarray:
-    """The slots whose presence tells most about the label, by the chi-square value with one half added."""
+    """The slots that tell most about the label, at most ``most``: by their own presence (the chi-square value
+    with one half added), or by what they tell in a pair beyond both alone. Pairs are those of the ``most``
+    slots that most rows have."""
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     every, toxic = np.bincount(slots), np.bincount(slots[labels[rows] > 0])
     used = np.flatnonzero(every)
     with1 = np.concatenate([toxic, np.zeros(len(every) - len(toxic), toxic.dtype)])[used]
     with0 = every[used] - with1
-    log_odds = np.log((with1 + 0.5) / (n1 - with1 + 0.5)) - np.log((with0 + 0.5) / (n0 - with0 + 0.5))
-    noise = np.sqrt(1 / (with1 + 0.5) + 1 / (n1 - with1 + 0.5) + 1 / (with0 + 0.5) + 1 / (n0 - with0 + 0.5))
-    strength = np.abs(log_odds) / noise
+    (odds, square), (rest, rest_square) = log_odds(with1, with0), log_odds(n1 - with1, n0 - with0)
+    strength = np.abs(odds - rest) / np.sqrt(square + rest_square) / LEAST_STRENGTH
+    frequent = np.sort(np.lexsort((used, -every[used]))[:most])
+    pairs = pair_strength(rows, slots, labels, used[frequent]) / LEAST_PAIR
+    strength[frequent] = np.maximum(strength[frequent], pairs)
     best = np.lexsort((used, -strength))[:most]
-    return np.sort(used[best[strength[best] > LEAST_STRENGTH]])
+    return np.sort(used[best[strength[best] > 1]])
 
 
 def train(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, most: int, factors: int, epochs: int) -> Machine:
@@ -139,7 +182,8 @@ def fit(
 
     At most ``sample`` labelled documents are read (see ``training_sample``). Tasks hash their words;
     what is brought together for training is the hashed slots of the sample, never texts. The machine
-    keeps the ``most`` slots that tell most about the label. Without both kinds of labels it knows no
+    keeps the ``most`` slots that tell most about the label, alone or in a pair of the ``most`` slots that
+    most rows have; pairs with rarer words that tell nothing alone are not looked for. Without both kinds of labels it knows no
     slot and every score is the rate of toxic labels.
     """
 

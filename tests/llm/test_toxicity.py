@@ -97,3 +97,19 @@ def test_labels_held_out_null_or_missing(spark, rows_of):
     assert np.array_equal(flipped.weight, model.weight) and flipped.bias == model.bias
     nothing = toxicity.fit(docs, labels.limit(0))
     assert {r.predicted for r in toxicity.score(docs, nothing).collect()} == {0}
+
+
+def test_a_pair_gets_through_the_real_selection(spark, rows_of):
+    rng = random.Random(4)
+    rows = []
+    for i in range(2500):
+        extra = [w for w, there in (("insult", i & 1), ("group", i & 2)) if there]
+        rows.append((i, prose(rng, 6, extra), int(len(extra) != 1)))
+    assert {toxicity.slots_of(w)[0] for w in ("insult", "group")} <= set(
+        toxicity.fit(
+            rows_of("doc_id long, text string", [r[:2] for r in rows]), rows_of("doc_id long, toxic int", [(r[0], r[2]) for r in rows])
+        ).slots.tolist()
+    )
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels), 0.5).filter(toxicity.HELD_OUT).collect()
+    assert sum(r.predicted == rows[r.doc_id][2] for r in got) > 0.9 * len(got) > 500
