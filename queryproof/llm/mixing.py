@@ -9,6 +9,8 @@ from queryproof.llm.common import ranked, scalar, text_or_empty, totals_before,
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space before it.
+SPACED = r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...], most_epochs: int) -> DataFrame:
@@ -85,8 +87,8 @@ def mix(
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus, with the columns of ``docs``.
 
-    A document comes once for every whole time it is taken; a part is a further row with its first
-    words, joined by blanks, in ``text``, and with ``n_chars``, where there is one, set anew. The plan is
+    A document comes once for every whole time it is taken; a part is a further row whose ``text`` is
+    cut after its last word taken and keeps its layout up to there, and with ``n_chars``, where there is one, set anew. The plan is
     joined by a written row number, so ids may be null or repeat.
     """
     row, own, size, taken, time = unused(docs, "mix_row", "mix_own", "mix_size", "mix_taken", "mix_time")
@@ -98,8 +100,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     times = F.floor(F.col(taken) / F.col(size)).cast("int") + F.when(part > 0, 1).otherwise(0)
     rows = rows.withColumn(time, F.explode(F.sequence(F.lit(1), times)))
     cut = F.col(time) * F.col(size) > F.col(taken)
-    words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), part.cast("int"))
-    rows = rows.withColumn("text", F.when(cut, F.array_join(words, " ")).otherwise(F.col("text")))
+    words = F.slice(F.regexp_extract_all("text", F.lit(SPACED), F.lit(1)), F.lit(1), part.cast("int"))
+    rows = rows.withColumn("text", F.when(cut, F.array_join(words, "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         chars = F.when(cut, F.length("text")).otherwise(F.col("n_chars"))
         rows = rows.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))

@@ -84,3 +84,11 @@ def test_applied_mix_keeps_rows_without_an_id_and_repeated_ids(spark, rows_of):
     for r in mixing.apply_mix(df).collect():
         got[r.source, r.doc_id] += words(r.text)
     assert plan["a", None] and dict(got) == {i: n for i, n in plan.items() if n}
+
+
+def test_the_cut_keeps_the_layout(spark, rows_of):
+    text = "\n# Title\n\n  a  b\tc\n" * 20
+    df = rows_of("doc_id long, source string, text string", [(1, "a", text), (2, "b", text[::-1])])
+    texts = {1: text, 2: text[::-1]}
+    got = mixing.apply_mix(df).collect()
+    assert any(r.text != texts[r.doc_id] for r in got) and all(texts[r.doc_id].startswith(r.text) for r in got)
