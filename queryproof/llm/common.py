@@ -131,3 +131,53 @@ def scalar(df: DataFrame):
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def in_order(df: DataFrame, order: list[Column], label: str, out: str = "pos", part: str = "part") -> DataFrame:
+    """The rows as a written table with ``out``, a long that rises in the given order, and ``part``, the range
+    of the order a row is in.
+
+    Rows are cut into ranges of the order, so a hot key, and even one repeated row, is spread over many; a
+    part is what one task sorted. Rows that agree in ``order`` are numbered as they come. Writing fixes
+    the numbers: what reads them again finds the same.
+    """
+    place = unused(df, "_place")[0]
+    tied = df.withColumn(place, F.monotonically_increasing_id())
+    order = [*order, F.col(place)]
+    parts = tied.repartitionByRange(*order).sortWithinPartitions(*order)
+    ids = F.monotonically_increasing_id()
+    return written(parts.drop(place).withColumns({out: ids, part: F.shiftright(ids, 33).cast("int")}), label)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
+    """Runs of rows that agree in the first ``keys`` columns, as ``(key, pieces)``, one piece at a time.
+
+    The pieces of a run must be used up before the next run is asked for.
+    """
+    waiting: list[tuple[tuple, pa.RecordBatch]] = []
+
+    def pieces() -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(keys)]
+            at = list(zip(*columns, strict=True))
+            start = 0
+            for i in range(1, len(at) + 1):
+                if i == len(at) or at[i] != at[start]:
+                    yield at[start], batch.slice(start, i - start)
+                    start = i
+
+    source = pieces()
+
+    def run(key: tuple, piece: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield piece
+        for other, piece in source:
+            if other != key:
+                waiting.append((other, piece))
+                return
+            yield piece
+
+    for first in source:
+        waiting.append(first)
+        while waiting:
+            key, piece = waiting.pop()
+            yield key, run(key, piece)

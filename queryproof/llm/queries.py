@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queryproof.llm import kdtree, media, minhash, mixing, pseudonyms, sharding, spans, toxicity, trie_bpe, warc
+from queryproof.llm import kdtree, media, minhash, mixing, oracles, pseudonyms, repair, sharding, spans, toxicity, trie_bpe, warc
 from queryproof.llm.common import read_table
 from queryproof.session import scratch_path
 
@@ -75,6 +75,10 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_checkpoint_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +92,7 @@ QUERIES = {
         op8_factorization_toxicity,
         op9_difference_shards,
         op10_warc_index,
+        op11_checkpoint_repair,
     )
 }
 
@@ -122,4 +127,5 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM f""",
+    "op11_checkpoint_repair": oracles.REPAIR,
 }
