@@ -133,20 +133,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def in_order(df: DataFrame, order: list[Column], label: str, out: str = "pos", part: str = "part") -> DataFrame:
-    """The rows as a written table with ``out``, a long that rises in the given order, and ``part``, the range
-    of the order a row is in.
+def sorted_ranges(df: DataFrame, order: list[Column], out: str = "pos", part: str = "part") -> DataFrame:
+    """The rows sorted by ranges of ``order``, with ``out``, a long that rises along it, and ``part``, the range.
 
-    Rows are cut into ranges of the order, so a hot key, and even one repeated row, is spread over many; a
-    part is what one task sorted. Rows that agree in ``order`` are numbered as they come. Writing fixes
-    the numbers: what reads them again finds the same.
+    A hot key, and even one repeated row, is spread over many ranges; a part is what one task sorted. Rows
+    that agree in ``order`` are numbered as they come, so numbers hold only once the rows are written.
     """
     place = unused(df, "_place")[0]
     tied = df.withColumn(place, F.monotonically_increasing_id())
     order = [*order, F.col(place)]
-    parts = tied.repartitionByRange(*order).sortWithinPartitions(*order)
     ids = F.monotonically_increasing_id()
-    return written(parts.drop(place).withColumns({out: ids, part: F.shiftright(ids, 33).cast("int")}), label)
+    parts = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop(place)
+    return parts.withColumns({out: ids, part: F.shiftright(ids, 33).cast("int")})
+
+
+def in_order(df: DataFrame, order: list[Column], label: str, out: str = "pos", part: str = "part") -> DataFrame:
+    """``sorted_ranges`` as a written table: what reads the rows again finds the same numbers."""
+    return written(sorted_ranges(df, order, out, part), label)
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
@@ -181,3 +184,8 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         while waiting:
             key, piece = waiting.pop()
             yield key, run(key, piece)
+
+
+def key_text(column: str) -> Column:
+    """A column as text that is never null and differs where the values do."""
+    return F.when(F.col(column).isNull(), "").otherwise(F.concat(F.lit("="), F.col(column).cast("string")))

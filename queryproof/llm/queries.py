@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queryproof.llm import kdtree, media, minhash, mixing, oracles, pseudonyms, repair, sharding, spans, toxicity, trie_bpe, warc
+from queryproof.llm import chat, kdtree, media, minhash, mixing, oracles, pseudonyms, repair, sharding, spans, toxicity, trie_bpe, warc
 from queryproof.llm.common import read_table
 from queryproof.session import scratch_path
 
@@ -79,6 +79,12 @@ def op11_checkpoint_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damaged_and_repaired(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_token_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = chat.byte_vocabulary()
+    rows = chat.with_hostile(read_table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_conversations(rows, vocabulary), vocabulary)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +99,7 @@ QUERIES = {
         op9_difference_shards,
         op10_warc_index,
         op11_checkpoint_repair,
+        op12_token_chat,
     )
 }
 
@@ -128,4 +135,5 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM f""",
     "op11_checkpoint_repair": oracles.REPAIR,
+    "op12_token_chat": oracles.CHAT,
 }

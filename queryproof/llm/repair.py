@@ -8,10 +8,10 @@ from functools import cache
 from math import inf, isqrt
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryproof.llm.common import in_order, runs_of, ship, written
+from queryproof.llm.common import in_order, key_text, runs_of, ship, written
 
 ship(__name__)
 
@@ -144,11 +144,6 @@ def damage(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), twice.alias("_time")).drop("_time")
 
 
-def key_text(column: str) -> Column:
-    """A column as text that is never null and differs where the values do."""
-    return F.when(F.col(column).isNull(), "").otherwise(F.concat(F.lit("="), F.col(column).cast("string")))
-
-
 def facts_of(rows: DataFrame) -> DataFrame:
     """``(conv, part, pos, turn, code, fault)`` for ordered rows; texts are reduced to their first fault."""
     digest = F.unhex(F.sha2(F.concat(F.length("role"), F.lit(":"), F.col("role"), F.col("text")).cast("binary"), 256))
