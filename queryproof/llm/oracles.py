@@ -90,3 +90,41 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+#: CRC-32 is taken of distinct words only.
+RESAMPLING = rf"""
+WITH {CRC_TABLE}, texts AS (
+    SELECT row_number() OVER () AS row, doc_id, text FROM documents
+    UNION ALL SELECT NULL, NULL, text FROM benchmark
+), words AS (
+    SELECT row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+    FROM texts
+), counted AS (SELECT row, word, count(*) AS n FROM words GROUP BY ALL
+), coded AS (
+    SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(strlen(word) AS BIGINT)),
+            lambda i: CAST('0x' || substr(hex(word), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT word FROM counted), crc_table
+), placed AS (SELECT row, bucket, n FROM counted JOIN coded USING (word)
+), buckets AS (
+    SELECT bucket, coalesce(sum(n) FILTER (row IS NOT NULL), 0) AS s, coalesce(sum(n) FILTER (row IS NULL), 0) AS t FROM placed GROUP BY bucket
+), sums AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM buckets
+), gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(all_s + 10000 AS DOUBLE))
+        / (CAST(s + 1 AS DOUBLE) * CAST(all_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+    FROM buckets, sums
+), weights AS (
+    SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight
+    FROM placed JOIN gains USING (bucket) WHERE row IS NOT NULL GROUP BY row
+), scored AS (
+    SELECT row, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT)
+               + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+    FROM texts LEFT JOIN weights USING (row) WHERE row IS NOT NULL
+), ordered AS (
+    SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) OVER () AS n
+    FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN ordered USING (row)"""

@@ -8,7 +8,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queryproof.llm import chat, kdtree, media, minhash, mixing, oracles, pseudonyms, repair, sharding, spans, toxicity, trie_bpe, warc
+from queryproof.llm import (
+    chat,
+    kdtree,
+    media,
+    minhash,
+    mixing,
+    oracles,
+    pseudonyms,
+    repair,
+    resampling,
+    sharding,
+    spans,
+    toxicity,
+    trie_bpe,
+    warc,
+)
 from queryproof.llm.common import read_table
 from queryproof.session import scratch_path
 
@@ -85,6 +100,10 @@ def op12_token_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows, vocabulary), vocabulary)
 
 
+def op13_automaton_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +119,7 @@ QUERIES = {
         op10_warc_index,
         op11_checkpoint_repair,
         op12_token_chat,
+        op13_automaton_resampling,
     )
 }
 
@@ -136,4 +156,5 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f""",
     "op11_checkpoint_repair": oracles.REPAIR,
     "op12_token_chat": oracles.CHAT,
+    "op13_automaton_resampling": oracles.RESAMPLING,
 }
