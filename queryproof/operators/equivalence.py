@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from queryproof.functions.canon import STRINGS, row_digest, row_hash
+from queryproof.functions.canon import STRINGS, quoted, row_digest, row_hash
 from queryproof.operators.ranking import ranked_rows
 
 
@@ -21,47 +21,101 @@ _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
 
 
+_NUMBERS = (*_WHOLE, T.DecimalType)
+_REAL = (T.FloatType, T.DoubleType)
+
+
 def common_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
-    """The narrowest type that holds the values of both types, None where they can't be compared."""
+    """The narrowest type that holds the values of both types, None where they can't be compared.
+
+    Nested types are compared part by part, structs by position with the names of ``a``. A whole number or
+    decimal and a double have no type that holds both; they meet as text (see ``common_sql``). Instants
+    and wall-clock times are not compared: which is equal to which depends on a time zone.
+    """
     if a == b:
         return a
+    if isinstance(a, T.NullType) or isinstance(b, T.NullType):
+        return b if isinstance(a, T.NullType) else a
     if isinstance(a, STRINGS) and isinstance(b, STRINGS):
         return T.StringType()
     if isinstance(a, _WHOLE) and isinstance(b, _WHOLE):
         return max(a, b, key=lambda t: _DIGITS[type(t)])
-    numbers = (*_WHOLE, T.DecimalType, T.FloatType, T.DoubleType)
-    if isinstance(a, numbers) and isinstance(b, numbers):
-        if isinstance(a, (T.FloatType, T.DoubleType)) or isinstance(b, (T.FloatType, T.DoubleType)):
-            return T.DoubleType()
+    if isinstance(a, _REAL) and isinstance(b, _REAL):
+        return T.DoubleType()
+    if isinstance(a, _NUMBERS) and isinstance(b, _NUMBERS):
         wide = [t if isinstance(t, T.DecimalType) else T.DecimalType(_DIGITS[type(t)], 0) for t in (a, b)]
         scale = max(t.scale for t in wide)
         digits = max(t.precision - t.scale for t in wide) + scale
         return T.DecimalType(digits, scale) if digits <= 38 else None
-    if isinstance(a, T.NullType) or isinstance(b, T.NullType):
-        return b if isinstance(a, T.NullType) else a
+    if isinstance(a, _NUMBERS + _REAL) and isinstance(b, _NUMBERS + _REAL):
+        return T.StringType()
     if {type(a), type(b)} == {T.DateType, T.TimestampNTZType}:
         return T.TimestampNTZType()
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        item = common_type(a.elementType, b.elementType)
+        return item and T.ArrayType(item)
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType):
+        key, value = common_type(a.keyType, b.keyType), common_type(a.valueType, b.valueType)
+        return T.MapType(key, value) if key and value else None
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType) and len(a) == len(b):
+        types = [common_type(f.dataType, g.dataType) for f, g in zip(a, b)]
+        return None if None in types else T.StructType([T.StructField(f.name, t) for f, t in zip(a, types)])
     return None
 
 
+def common_sql(x: str, own: T.DataType, other: T.DataType, common: T.DataType, depth: int = 0) -> str:
+    """A value of type ``own`` in its common form with ``other``: equal forms, equal values.
+
+    A double stands for the whole number it is, or else for the decimal it is printed as. The form of a
+    double is its text; a number has the text of its nearest double if that double stands for the number
+    exactly, and its own digits with a mark otherwise. So 9007199254740993 differs from every double.
+    """
+    if own == other or isinstance(other, T.NullType):
+        return x
+    kinds = (own, other)
+    if all(isinstance(t, _NUMBERS + _REAL) for t in kinds) and isinstance(common, T.StringType):
+        if isinstance(own, _REAL):
+            return f"CAST(CAST({x} AS DOUBLE) + 0D AS STRING)"
+        d, digits = f"CAST({x} AS DOUBLE)", own.simpleString() if isinstance(own, T.DecimalType) else "decimal(20,0)"
+        whole = f"{d} = floor({d}) AND abs({d}) < 9.2E18D"
+        stands_for = f"CASE WHEN {whole} THEN try_cast(try_cast({d} AS BIGINT) AS {digits}) ELSE try_cast({d} AS {digits}) END"
+        return f"CASE WHEN CAST({x} AS {digits}) = {stands_for} THEN CAST({d} + 0D AS STRING) ELSE concat('#', CAST({x} AS STRING)) END"
+    v = f"v{depth}"
+    if isinstance(own, T.ArrayType) and isinstance(other, T.ArrayType):
+        return f"transform({x}, {v} -> {common_sql(v, own.elementType, other.elementType, common.elementType, depth + 1)})"
+    if isinstance(own, T.MapType) and isinstance(other, T.MapType):
+        key = common_sql(f"{v}.key", own.keyType, other.keyType, common.keyType, depth + 1)
+        value = common_sql(f"{v}.value", own.valueType, other.valueType, common.valueType, depth + 1)
+        return f"map_from_entries(transform(map_entries({x}), {v} -> struct({key}, {value})))"
+    if isinstance(own, T.StructType) and isinstance(other, T.StructType):
+        parts = []
+        for f, g, c in zip(own, other, common):
+            name = c.name.replace("\\", "\\\\").replace("'", "\\'")
+            parts.append(f"'{name}', {common_sql(f'{x}.{quoted(f.name)}', f.dataType, g.dataType, c.dataType, depth + 1)}")
+        return f"CASE WHEN {x} IS NOT NULL THEN named_struct({', '.join(parts)}) END"
+    return f"CAST({x} AS {common.simpleString()})"
+
+
 def aligned(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with common column types, position by position, so that equal values hash alike.
 
-    Types that hold no common values are an error, found before any data is read.
+    Types that hold no common values are an error, found before any data is read. A number column beside
+    a column of doubles becomes text on both sides.
     """
     if len(before.columns) != len(after.columns):
         raise ValueError(f"column counts differ: {before.columns} / {after.columns}")
-    types = [common_type(b.dataType, a.dataType) for b, a in zip(before.schema.fields, after.schema.fields, strict=True)]
+    own, other = ([f.dataType for f in df.schema.fields] for df in (before, after))
+    types = [common_type(b, a) for b, a in zip(own, other, strict=True)]
     if None in types:
         raise ValueError(f"column types can't be compared: {'; '.join(schema_differences(before, after))}")
 
-    def cast(df: DataFrame) -> DataFrame:
-        fields = df.schema.fields
-        if all(f.dataType == t for f, t in zip(fields, types, strict=True)):
+    def cast(df: DataFrame, mine: list[T.DataType], theirs: list[T.DataType]) -> DataFrame:
+        if all(m == c for m, c in zip(mine, types, strict=True)):
             return df
-        return df.select(*(F.col(f"`{f.name}`").cast(t).alias(f.name) for f, t in zip(fields, types, strict=True)))
+        columns = zip(df.columns, mine, theirs, types, strict=True)
+        return df.select(*(F.expr(common_sql(quoted(n), m, t, c)).alias(n) for n, m, t, c in columns))
 
-    return cast(before), cast(after)
+    return cast(before, own, other), cast(after, other, own)
 
 
 # Row hashes are summed in three slices of at most 24 bits, so that plain BIGINT sums hold

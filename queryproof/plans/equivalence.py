@@ -14,6 +14,7 @@ from queryproof.functions import verdicts
 from queryproof.functions.canon import row_text
 from queryproof.functions.rules import first_match
 from queryproof.operators import equivalence as eq
+from queryproof.operators.sketch import diff_rows_by_sketch, sketch_report
 from queryproof.plans.registry import (
     LINEITEM,
     ORDERS,
@@ -132,6 +133,45 @@ def eq_diff_rows(t):
     return eq.diff_rows(before, after, t.scratch("eq_diff_rows"))
 
 
+_DIFF_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice"]
+_DIFF_SQL = f"""
+SELECT {", ".join(_DIFF_COLUMNS)}, CAST(sum(b) AS BIGINT) AS n_before, CAST(sum(a) AS BIGINT) AS n_after
+FROM (SELECT *, 1 AS b, 0 AS a FROM lineitem UNION ALL SELECT *, 0, 1 FROM ({PERTURBED_SQL}) p)
+GROUP BY {", ".join(_DIFF_COLUMNS)} HAVING sum(b) <> sum(a)"""
+
+
+@query(
+    "eq_diff_sketch",
+    f"""
+WITH d AS ({_DIFF_SQL})
+SELECT *, 'sketch' AS found_by FROM d UNION ALL SELECT *, 'digests' FROM d""",
+)
+def eq_diff_sketch(t):
+    """Differing rows from a subtractable sketch, and again from one too small for them, which falls back to digests."""
+    before, after = t.lineitem.select(*_DIFF_COLUMNS), perturbed_lineitem(t).select(*_DIFF_COLUMNS)
+    # the planted differences grow with the table, so the sketch is sized by its count
+    cells = max(12_288, before.count() // 100)
+    large = diff_rows_by_sketch(before, after, t.scratch("sketch"), cells)
+    return large.unionByName(diff_rows_by_sketch(before, after, t.scratch("sketch"), cells=6))
+
+
+@query(
+    "eq_sketch_report",
+    f"""
+WITH d AS ({_DIFF_SQL})
+SELECT 'roomy' AS size, 'LISTED' AS status, count(*) AS n_different, CAST(sum(greatest(n_before - n_after, 0)) AS BIGINT) AS n_surplus,
+  CAST(sum(greatest(n_after - n_before, 0)) AS BIGINT) AS n_missing FROM d
+UNION ALL SELECT 'tiny', 'TOO_MANY', NULL, NULL, NULL
+UNION ALL SELECT 'equal sides', 'LISTED', 0, 0, 0""",
+)
+def eq_sketch_report(t):
+    before, after = t.lineitem.select(*_DIFF_COLUMNS), perturbed_lineitem(t).select(*_DIFF_COLUMNS)
+    cells = max(12_288, before.count() // 100)
+    cases = [("roomy", before, after, cells), ("tiny", before, after, 6), ("equal sides", before, before, 6)]
+    rows = [sketch_report(b, a, c).select(F.lit(name).alias("size"), "*").drop("cells") for name, b, a, c in cases]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 def _grouped_bag_sql(rows):
     return (
         f"SELECT l_suppkey, count(*) AS n, concat(count(*), ':', sum(h), ':', bit_xor(h)) AS fp FROM "
@@ -512,14 +552,16 @@ def eq_proof_with_confidence(t):
 @query(
     "eq_type_widths",
     """
-SELECT unnest(['md5 changed', 'md5 equal', 'native changed', 'native equal']) AS compared,
-  unnest(['MISMATCH', 'MATCH', 'MISMATCH', 'MATCH']) AS status, (SELECT count(*) FROM lineitem) AS n_before,
-  (SELECT count(*) FROM lineitem) AS n_after""",
+SELECT unnest(['md5 changed', 'md5 equal', 'md5 rounded long', 'md5 rounded decimal', 'native changed', 'native equal',
+               'native rounded long', 'native rounded decimal']) AS compared,
+  unnest(['MISMATCH', 'MATCH', 'MISMATCH', 'MISMATCH', 'MISMATCH', 'MATCH', 'MISMATCH', 'MISMATCH']) AS status,
+  (SELECT count(*) FROM lineitem) AS n_before, (SELECT count(*) FROM lineitem) AS n_after""",
 )
 def eq_type_widths(t):
     """Equal values of unequal widths match and changed ones don't, under both hashes.
 
-    Whole numbers of three widths, decimals of two, and a float against a double.
+    Whole numbers of three widths, decimals of two, numbers against doubles, a float against a double, and
+    nested types. A long or decimal that a double can only round is not equal to it.
     """
 
     def narrow(extra):
@@ -529,6 +571,10 @@ def eq_type_widths(t):
             F.col("l_quantity").cast("decimal(12,2)"),
             (F.col("l_linenumber") + extra).cast("smallint").alias("l_small"),
             F.col("l_linenumber").cast("float").alias("l_real"),
+            F.col("l_orderkey").cast("bigint").alias("l_long"),
+            F.col("l_discount").cast("decimal(20,4)").alias("l_rate"),
+            F.array(F.col("l_linenumber").cast("int"), F.lit(None)).alias("l_list"),
+            F.struct(F.col("l_suppkey").cast("int").alias("a"), F.create_map(F.lit("k"), F.col("l_partkey").cast("int")).alias("b")).alias("l_nest"),
         )
 
     wide = t.lineitem.select(
@@ -537,11 +583,19 @@ def eq_type_widths(t):
         F.col("l_quantity").cast("decimal(20,4)"),
         F.col("l_linenumber").cast("bigint").alias("l_small"),
         F.col("l_linenumber").cast("double").alias("l_real"),
+        F.col("l_orderkey").cast("double").alias("l_long"),
+        F.col("l_discount").alias("l_rate"),
+        F.array(F.col("l_linenumber").cast("bigint"), F.lit(None)).alias("l_list"),
+        F.struct(F.col("l_suppkey").cast("bigint").alias("a"), F.create_map(F.lit("k"), F.col("l_partkey").cast("bigint")).alias("b")).alias("l_nest"),
     )
-    rows = [
-        eq.pair_report(f"{algorithm} {name}", narrow(extra), wide, algorithm=algorithm)
-        for algorithm in ("md5", "native")
-        for name, extra in (("equal", 0), ("changed", F.when(F.col("l_orderkey") % 1000 == 1, 1).otherwise(0)))
+    far = t.lineitem.select((F.col("l_orderkey") * 2 + 2**53 + 1).alias("v"))
+    fine = t.lineitem.select((F.col("l_orderkey").cast("decimal(10,0)") + F.expr("0.12345678901234567891BD")).alias("v"))
+    changed = F.when(F.col("l_orderkey") % 1000 == 1, 1).otherwise(0)
+    cases = [
+        ("equal", narrow(0), wide),
+        ("changed", narrow(changed), wide),
+        *((f"rounded {kind}", df, df.select(F.col("v").cast("double"))) for kind, df in (("long", far), ("decimal", fine))),
     ]
+    rows = [eq.pair_report(f"{how} {name}", b, a, algorithm=how) for how in ("md5", "native") for name, b, a in cases]
     every = reduce(lambda a, b: a.unionByName(b), rows)
     return every.select(F.col("pair_id").alias("compared"), "status", "n_before", "n_after")

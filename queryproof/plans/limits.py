@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queryproof.operators import audits, filters
 from queryproof.operators.counting import top_codes
 from queryproof.operators.equivalence import compare_ordered, compare_ordered_bags
 from queryproof.operators.ordering import non_constant_order
+from queryproof.operators.sequences import MODULI, compare_sequences
 from queryproof.plans.filters import CUSTOMER_COLUMNS, ORDER_COLUMNS
-from queryproof.plans.registry import CUSTOMER, ORDERS, bag_sql, pair, query
+from queryproof.plans.registry import CUSTOMER, ORDERS, bag_sql, hash_sql, pair, query
 
 RECENT_SQL = "ORDER BY o_orderdate DESC, o_orderkey"
 
@@ -97,6 +101,40 @@ def sl_order_fingerprint(t):
     )
 
 
+_HORNER = "list_reduce(list_prepend(0, list(h % {p} ORDER BY {order})), lambda later, x: (later * {b} + x) % {p})"
+
+
+def _sequence_sql(side: str, rows: str, reverse: str) -> str:
+    """The polynomial of row hashes from the last row to the first, for both moduli."""
+    folds = ", ".join(_HORNER.format(p=p, b=b, order=reverse) for p, b in MODULI)
+    return (
+        f"{side} AS (SELECT count(*) AS n, concat_ws(':', count(*), {folds}) AS fp "
+        f"FROM (SELECT *, {hash_sql(_SEQUENCE_SPEC.removesuffix(' pos:v'))} AS h FROM ({rows}) q) t)"
+    )
+
+
+_ROWS = "SELECT o_orderkey, o_orderdate, o_orderstatus FROM orders"
+
+
+@query(
+    "sl_order_polynomial",
+    f"""
+WITH {_sequence_sql("up", _ROWS, "o_orderdate DESC, o_orderkey DESC")},
+{_sequence_sql("down", _ROWS, "o_orderdate DESC, o_orderkey")},
+{_sequence_sql("fewer", _ROWS + " WHERE o_orderstatus <> 'P'", "o_orderdate DESC, o_orderkey DESC")}
+SELECT 'same order' AS compared, b.n AS n_before, a.n AS n_after, b.fp AS fp_before, a.fp AS fp_after, 'MATCH' AS ordered_status FROM up b, up a
+UNION ALL SELECT 'ties reversed', b.n, a.n, b.fp, a.fp, 'MISMATCH' FROM up b, down a
+UNION ALL SELECT 'rows dropped', b.n, a.n, b.fp, a.fp, 'MISMATCH' FROM up b, fewer a""",
+)
+def sl_order_polynomial(t):
+    """Ordered fingerprints put together from sorted parts: equal orders match, reversed ties and dropped rows don't."""
+    o = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus")
+    up, down = ([("o_orderdate", "asc"), ("o_orderkey", d)] for d in ("asc", "desc"))
+    cases = [("same order", o, up), ("ties reversed", o, down), ("rows dropped", o.filter("o_orderstatus <> 'P'"), up)]
+    rows = [compare_sequences(o, up, a, order, "md5").select(F.lit(name).alias("compared"), "*") for name, a, order in cases]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @pair(
     "sl_subquery_wrapper_page_pair",
     f"SELECT {ORDER_COLUMNS} FROM (SELECT {ORDER_COLUMNS} FROM orders) s {RECENT_SQL} LIMIT 50",

@@ -180,6 +180,48 @@ def test_values_count_and_not_their_types(spark, types, algorithm):
         assert eq.diff_rows(a, b).count() == 0 and changed.count() >= 1
 
 
+NUMBERS_AND_DOUBLES = [
+    ("bigint", "9007199254740993", "9007199254740992", False), ("bigint", "4611686018427387904", "4611686018427387904", True),
+    ("bigint", "9223372036854775807", "9223372036854775807", False), ("bigint", "-9007199254740994", "-9007199254740994", True),
+    ("decimal(38,20)", "0.12345678901234567891", "0.12345678901234567891", False), ("decimal(10,2)", "0.10", "0.1", True),
+    ("decimal(10,2)", "0.33", "0.333", False), ("decimal(38,0)", "1000000000000000000000000000000", "1e30", True),
+    ("decimal(38,0)", "1000000000000000000000000000001", "1e30", False), ("int", "0", "-0.0", True), ("int", "1", "NaN", False),
+]
+
+
+@pytest.mark.parametrize("algorithm", ["native", "md5"])
+@pytest.mark.parametrize("kind, number, double, same", NUMBERS_AND_DOUBLES)
+def test_numbers_against_doubles(spark, kind, number, double, same, algorithm):
+    a, b = (spark.createDataFrame([(v,)], "v string").select(F.col("v").cast(k)) for v, k in ((number, kind), (double, "double")))
+    for left, right in ((a, b), (b, a)):
+        assert eq.pair_report("p", left, right, algorithm).collect()[0]["status"] == ("MATCH" if same else "MISMATCH")
+        assert (eq.diff_rows(left, right).count() == 0) == same
+
+
+NESTED = [
+    ("array(1, 2, null)", "array(1L, 2L, null)", "array(1L, 3L, null)"), ("map('a', 1)", "map('a', 1L)", "map('a', 2L)"),
+    ("named_struct('x', 1, 'y', array(1.5BD))", "named_struct('z', 1L, 'y', array(1.50BD))", "named_struct('z', 1L, 'y', array(1.51BD))"),
+    ("array(named_struct('x', 1))", "array(named_struct('x', 1D))", "array(named_struct('x', 1.5D))"), ("cast(null AS array<int>)", "cast(null AS array<bigint>)", "array(1L)"),
+    ("named_struct(\"it's\", 1)", "named_struct('b', 1L)", "named_struct('b', null)"), ("array(null)", "array(cast(null AS int))", "array(1)"),
+]
+
+
+@pytest.mark.parametrize("algorithm", ["native", "md5"])
+@pytest.mark.parametrize("one, other, changed", NESTED)
+def test_nested_values_of_unequal_widths(spark, one, other, changed, algorithm):
+    a, b, c = (spark.range(1).selectExpr(f"{x} AS v") for x in (one, other, changed))
+    for left, right in ((a, b), (b, a)):
+        assert eq.pair_report("p", left, right, algorithm).collect()[0]["status"] == "MATCH"
+    assert eq.pair_report("p", a, c, algorithm).collect()[0]["status"] == "MISMATCH"
+
+
+@pytest.mark.parametrize("one, other", [("array(1)", "array('a')"), ("named_struct('x', 1)", "named_struct('x', 1, 'y', 2)"), ("timestamp'2020-01-01'", "timestamp_ntz'2020-01-01'")])
+def test_values_that_are_not_compared(spark, one, other):
+    a, b = (spark.range(1).selectExpr(f"{x} AS v") for x in (one, other))
+    with pytest.raises(ValueError, match="can't be compared"):
+        eq.pair_report("p", a, b)
+
+
 def test_types_without_common_values_are_an_error(spark):
     a, b = spark.range(1).selectExpr("id"), spark.range(1).selectExpr("cast(id as string) AS id")
     with pytest.raises(ValueError, match="can't be compared"):
