@@ -34,31 +34,35 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def runs(parts: list[tuple[int, int, str, int]], several: int, least: int, enough: int) -> list[tuple[bytes, int, int]]:
-    """(hash, first, last) of the run that starts at each sentence, where the text still has one: of
-    ``several`` sentences, longer until it has ``least`` words, shorter once it has ``enough``."""
+    """(hash, first, last) of the runs that start at each sentence.
+
+    One of ``several`` sentences, longer until it has ``least`` words, where the text still has one. Besides, as
+    a class of their own, the runs of fewer sentences that have ``enough`` words.
+    """
     hashes = [xxhash.xxh3_128_digest(n) for _, _, n, _ in parts]
     out = []
     for i in range(len(parts)):
-        words, j = 0, i
-        while j < len(parts):
+        words = 0
+        for j in range(i, len(parts)):
             words += parts[j][3]
-            j += 1
-            if words >= enough or (j - i >= several and words >= least):
-                out.append((xxhash.xxh3_128_digest(b"".join(hashes[i:j])), i, j - 1))
+            whole = j - i + 1 >= several
+            if words >= (least if whole else enough):
+                out.append((xxhash.xxh3_128_digest(b"".join(hashes[i : j + 1])), i, j))
+            if whole and words >= least:
                 break
     return out
 
 
-def own_repeats(found: list[tuple[bytes, int, int]]) -> tuple[dict[bytes, tuple[int, int]], set[int]]:
-    """The first place of each run within a text, and the sentences that later places cover."""
+def own_repeats(found: list[tuple[bytes, int, int]]) -> tuple[dict[bytes, tuple[int, int]], list[tuple[int, int]]]:
+    """The first place of each run within a text, and its later places."""
     first: dict[bytes, tuple[int, int]] = {}
-    covered: set[int] = set()
+    later: list[tuple[int, int]] = []
     for key, i, j in found:
         if key in first:
-            covered.update(range(i, j + 1))
+            later.append((i, j))
         else:
             first[key] = (i, j)
-    return first, covered
+    return first, later
 
 
 def drop_repeats(
@@ -66,18 +70,24 @@ def drop_repeats(
 ) -> DataFrame:
     """Remove every sentence covered by a run of sentences that occurs earlier.
 
-    Adds ``n_sentences`` and ``removed`` (positions from 0, in order) to the columns of ``docs`` and cuts
-    those sentences out of ``text``; the rest stays byte for byte. Runs compare by lower-case words between
-    white space. Earlier means in a document with a smaller id, or further up in the same text: the first
-    place of a run stays. Rows that share an id count as one document and don't cut each other; rows
-    without an id lose only repeats within themselves. Null texts stay null with no sentences. Columns
-    named ``n_sentences`` or ``removed`` are replaced. An empty table gives no rows.
-
-    A text sends each distinct run once, as 16 bytes; counting them is a map-side aggregation, and what
-    repeats is written before it is joined, so that adaptive execution can split a frequent run. Nothing is
-    collected but the repeats of one document.
+    Every run of ``several`` consecutive sentences is hashed; one that has fewer than ``least`` words goes on until
+    it has them. Long sentences are a class of their own: runs of fewer than ``several`` sentences with
+    ``enough`` words count too, and what only they cover is listed apart.
+
+    Adds ``n_sentences``, ``removed`` (positions from 0, in order) and ``removed_long`` (those of them that only the
+    second class covers) to the columns of ``docs`` and cuts the removed sentences out of ``text``; the rest stays
+    byte for byte. Runs compare by lower-case words between white space. Earlier means in a document with a
+    smaller id, or further up in the same text: the first place of a run stays. Rows that share an id count as
+    one document and don't cut each other; rows without an id lose only repeats within themselves. Null texts
+    stay null with no sentences. Columns with the names of the added ones are replaced. An empty table gives no rows.
+
+    A text sends each distinct run once, as 16 bytes, and is split twice: for its runs, which are written, and
+    for the cut. Counting the runs is a map-side aggregation, and what repeats is written before it is
+    joined, so that adaptive execution can split a frequent run. Nothing is collected but the repeats of one
+    document.
     """
-    names = [c for c in docs.columns if c not in ("n_sentences", "removed")]
+    added = ("n_sentences", "removed", "removed_long")
+    names = [c for c in docs.columns if c not in added]
     docs = docs.select(*(F.col(f"`{c}`") for c in names))
 
     def spans(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -94,7 +104,7 @@ def drop_repeats(
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     slim = slim.filter("id IS NOT NULL AND text IS NOT NULL")
-    found = map_batches(slim, spans, "h1 long, h2 long, id long, i int, j int")
+    found = written(map_batches(slim, spans, "h1 long, h2 long, id long, i int, j int"), "span-runs")
     repeated = found.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     repeated = written(repeated.filter("first_id < last_id").drop("last_id"), "span-repeats")
     later = found.join(repeated, ["h1", "h2"]).filter("id > first_id")
@@ -104,20 +114,21 @@ def drop_repeats(
     rows = docs.join(cover, F.col(id_col) == F.col(own), "left").drop(own)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bodies, counts, gone = [], [], []
+        bodies, counts, gone, only_long = [], [], [], []
         covers = batch.column(len(names)).to_pylist()
         for body, later_ in zip(batch.column(names.index(text)).to_pylist(), covers, strict=True):
             parts = sentences(body or "")
-            covered = own_repeats(runs(parts, several, least, enough))[1]
-            for span in later_ or ():
-                covered.update(range(span["i"], span["j"] + 1))
+            places = own_repeats(runs(parts, several, least, enough))[1] + [(span["i"], span["j"]) for span in later_ or ()]
+            covered = {k for i, j in places for k in range(i, j + 1)}
+            whole = {k for i, j in places if j - i + 1 >= several for k in range(i, j + 1)}
             kept = "".join([body[s:e] for k, (s, e, _, _) in enumerate(parts) if k not in covered]) if covered else body
             bodies.append(kept)
             counts.append(len(parts))
             gone.append(sorted(covered))
+            only_long.append(sorted(covered - whole))
         columns = [batch.column(k) for k in range(len(names))]
         columns[names.index(text)] = pa.array(bodies, pa.string())
-        columns += [pa.array(counts, pa.int32()), pa.array(gone, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(columns, [*names, "n_sentences", "removed"])
+        columns += [pa.array(counts, pa.int32()), pa.array(gone, pa.list_(pa.int32())), pa.array(only_long, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    return map_batches(rows, cut, with_fields(docs.schema, "n_sentences int, removed array<int>"))
+    return map_batches(rows, cut, with_fields(docs.schema, "n_sentences int, removed array<int>, removed_long array<int>"))
