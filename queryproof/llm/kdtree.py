@@ -84,6 +84,8 @@ def compact(points: np.ndarray) -> np.ndarray:
 def workable(points: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both as floats, whose products are fast, where all sums are exact; else as 64-bit integers."""
     top = int(np.abs(points).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, points.shape[1])
+    if top >= 1 << 63:
+        raise OverflowError("components are too large for products in 64 bits")
     kind = np.float64 if top < 1 << 53 else np.int64
     return points.astype(kind), queries.astype(kind)
 
@@ -104,7 +106,10 @@ def packed(vectors: DataFrame, label: str, rows: int, scale: float) -> DataFrame
         for batch in batches:
             values = batch.column("v")
             sizes = np.diff(values.offsets.to_numpy())
-            flat = np.floor(values.flatten().to_numpy(zero_copy_only=False).astype(float) * scale).astype(np.int64)
+            flat = np.floor(values.flatten().to_numpy(zero_copy_only=False).astype(float) * scale)
+            if (np.abs(flat) >= 2.0**62).any():
+                raise OverflowError("components are too large for 64 bits")
+            flat = flat.astype(np.int64)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for dim in np.unique(sizes):
@@ -132,46 +137,36 @@ def shard_trees(shards: DataFrame, leaf: int) -> DataFrame:
     return shards.mapInArrow(run, "dim int, tree binary")
 
 
-def search_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """``(query_id, vec_id, score)``: the k best of each query over the shards that a task meets.
+def searched(blocks: DataFrame, trees: DataFrame, k: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: the k best of each query over the trees of each group.
 
-    A task sees all its shards for a block of queries in a row, and the k-th score found so far goes along
-    from shard to shard; ``floor`` holds scores to begin with.
+    ``blocks`` has ``dim, chunk, part, block, floor``, ``trees`` has ``dim, chunk, part, tree``; what agrees in the first
+    three meets. The trees pass a block one by one, and the k-th score found so far goes along from tree to
+    tree; ``floor`` holds scores to begin with. A block and a tree are moved once for each place
+    where they meet, never as a pair.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block_no, best = None, {}
-
-        def out() -> pa.RecordBatch:
-            rows = [(q, -i, s) for q, heap in best.items() for s, i in heap]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"]
-            )
-
-        tree_bytes, tree = None, None
-        for batch in batches:
-            for row in range(batch.num_rows):
-                number, block, floors, data = (batch.column(c)[row].as_py() for c in ("block_no", "block", "floor", "tree"))
-                if number != block_no:
-                    if best:
-                        yield out()
-                    block_no, best = number, {}
-                if data != tree_bytes:
-                    tree_bytes, tree = data, unpacked(data)
-                ids, queries = pickle.loads(block)
-                points, queries = workable(tree.points, queries)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        best: dict[int, list] = {}
+        data = [pickle.loads(b) for b in left.column("block").to_pylist()]
+        floors = left.column("floor").to_pylist()
+        for tree_bytes in right.column("tree"):
+            tree = unpacked(tree_bytes.as_py())
+            for (ids, given), known in zip(data, floors, strict=True):
+                points, queries = workable(tree.points, given)
                 low, high = tree.low.astype(points.dtype), tree.high.astype(points.dtype)
                 held, tree.points = tree.points, points
                 # the largest product that a point of each box can have
                 bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
                 for n, q in enumerate(ids.tolist()):
-                    floor = floors[n] if floors and floors[n] is not None else None
+                    floor = known[n] if known and known[n] is not None else None
                     tree.search(q, queries[n], bounds[n], best.setdefault(q, []), k, floor)
                 tree.points = held
-        if best:
-            yield out()
+        rows = [(q, -i, s) for q, heap in best.items() for s, i in heap]
+        return pa.table([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
-    return pairs.select("block_no", "block", "floor", "tree").mapInArrow(run, "query_id long, vec_id long, score long")
+    keys = ["dim", "chunk", "part"]
+    return blocks.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
 
 
 def first_floors(blocks: DataFrame, k: int) -> DataFrame:
@@ -213,7 +208,8 @@ def top_k(
     shard_rows: int = 2048,
     block_rows: int = 256,
     leaf: int = 64,
-    groups: int = 16,
+    most_trees: int = 256,
+    most_blocks: int = 256,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -224,12 +220,13 @@ def top_k(
     part; vectors of different lengths are not compared; a row with the query's id counts as its own. Repeated
     rows count once: a result has an id with the same score one time only. An id with several vectors is
     a candidate with each of them, and as a query it gets the best of them all.
-    Fewer candidates give fewer rows, an empty table none. Sums must fit in a long.
+    Fewer candidates give fewer rows, an empty table none. Components or sums that may not fit in a long are an error.
 
-    Shards are runs of rows as they lie in a task, so no key can be hot. Queries are packed into blocks and
-    each block goes once to each of ``groups`` groups of shards: the stated query set meets all rows in
-    blocks. A first pass against one shard, of bounded size, gives every query a score to start from;
-    within a group the k-th score goes on from shard to shard. Each group returns k rows a query.
+    Shards are runs of rows as they lie in a task, so no key can be hot. Queries are packed into blocks: the
+    stated query set meets all rows in blocks. Trees are dealt to parts of about ``most_trees``, blocks to chunks
+    of about ``most_blocks``, and every chunk meets every part in a task of its own, so their number grows with both
+    and what one holds doesn't. A first pass against one shard, of bounded size, gives every query a score to
+    start from; within a part the k-th score goes on from shard to shard. Each part returns k rows a query.
     """
     finite = F.forall(vector_col, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x))
     slim = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).filter(finite)
@@ -239,10 +236,15 @@ def top_k(
     asked = written(asked.withColumn("block_no", F.monotonically_increasing_id()), "kd-queries")
     reference = trees.groupBy("dim").agg(F.first("tree").alias("tree"))
     blocks = written(first_floors(asked.join(reference, "dim", "left"), k), "kd-floors")
-    spread = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    grouped = trees.withColumn("group", F.pmod(F.xxhash64("tree"), F.lit(groups)).cast("int"))
-    pairs = spread.join(grouped, ["dim", "group"]).sortWithinPartitions("block_no", "group")
-    best = search_pairs(pairs, k)
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_trees, n_blocks = trees.count(), blocks.count()
+    parts = max(1, -(-n_trees // most_trees), min(cores, n_trees))
+    chunks = max(1, -(-n_blocks // most_blocks))
+    dealt = blocks.withColumn("chunk", F.pmod(F.xxhash64("block_no"), F.lit(chunks)).cast("int"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sown = trees.withColumn("part", F.pmod(F.xxhash64("tree"), F.lit(parts)).cast("int"))
+    sown = sown.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    best = searched(dealt.select("dim", "chunk", "part", "block", "floor"), sown.select("dim", "chunk", "part", "tree"), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

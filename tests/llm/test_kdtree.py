@@ -1,7 +1,11 @@
 import math
 import random
 
+import duckdb
+import pytest
+
 from queryproof.llm import kdtree
+from queryproof.llm.queries import SQL
 
 
 def brute(rows, k=5, every=50):
@@ -22,7 +26,7 @@ def test_ties_bad_values_and_lengths(spark, rows_of):
              (600, [0.5, 0.5]), (601, [0.1, -0.1]), (650, []), (651, []), (700, [1.0]), (-50, [0.3, -0.3, 0.3])]
     rows += [(7, rows[7][1]), (50, rows[50][1])]
     df = rows_of("vec_id long, embedding array<double>, rank string", [(*r, "x") for r in rows])
-    got = kdtree.top_k(df.repartition(4), shard_rows=30, block_rows=3, leaf=4, groups=3)
+    got = kdtree.top_k(df.repartition(4), shard_rows=30, block_rows=3, leaf=4, most_trees=3, most_blocks=2)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
     assert {tuple(r) for r in got.collect()} == brute(rows)
     assert kdtree.top_k(df.limit(0)).collect() == []
@@ -54,7 +58,7 @@ def test_repeated_rows_count_once(spark):
     rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(1, 201)]
     rows += [rows[49]] * 6 + [rows[99]] * 3  # queries
     rows += [(300, [3 * x for x in rows[49][1]])] * 9 + [(301, [2 * x for x in rows[99][1]])] * 9  # their best candidates
-    for shape in ({}, {"shard_rows": 20, "block_rows": 3, "leaf": 4, "groups": 3}):
+    for shape in ({}, {"shard_rows": 20, "block_rows": 3, "leaf": 4, "most_trees": 3, "most_blocks": 2}):
         got = kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), **shape)
         assert {tuple(r) for r in got.collect()} == brute(rows)
 
@@ -63,3 +67,28 @@ def test_one_id_with_many_vectors(spark):
     rows = [(50, [1.0, 0.0]), *((i, [float(i), 0.0]) for i in range(1, 9)), *((60, [9.0, float(j)]) for j in range(8))]
     got = kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), leaf=2)
     assert {tuple(r) for r in got.collect()} == brute(rows)
+
+
+def test_binaries_meet_without_a_join_of_pairs(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(300)]
+    out = kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    # the cogroup sorts each side by its three small keys; no row ever holds a block and a tree
+    assert "Join" not in plan.split("FlatMapCoGroupsInArrow")[1]
+    assert not [line for line in plan.splitlines() if "block#" in line and "tree#" in line and "CoGroups" not in line]
+
+
+def test_what_does_not_fit_is_an_error(spark):
+    for big in (1e19, 2.0**31):
+        df = spark.createDataFrame([(50, [big, big]), (1, [big, big])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="too large"):
+            kdtree.top_k(df).collect()
+
+
+def test_the_sql_counts_repeated_rows_once():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    rows = [(50, [1.0, 0.5]), (50, [1.0, 0.5]), *[(1, [2.0, 0.0])] * 3, *((i, [i / 10, 0.1]) for i in range(2, 9))]
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert {tuple(r) for r in con.execute(SQL["op5_kdtree_top_k"]).fetchall()} == brute(rows)
