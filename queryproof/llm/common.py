@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -186,6 +187,20 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
             yield key, run(key, piece)
 
 
+def batched(names: str, types: tuple[pa.DataType, ...], rows: int = 1000) -> Callable:
+    """Turn a generator of tuples over Arrow batches into one of Arrow batches of ``rows`` rows."""
+
+    def wrap(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = fn(batches)
+            while some := [*islice(found, rows)]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types, strict=True)], names=names.split())
+
+        return run
+
+    return wrap
+
+
 def key_text(column: str) -> Column:
     """A column as text that is never null and differs where the values do."""
     return F.when(F.col(column).isNull(), "").otherwise(F.concat(F.lit("="), F.col(column).cast("string")))

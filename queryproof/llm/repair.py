@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryproof.llm.common import in_order, key_text, runs_of, ship, written
+from queryproof.llm.common import batched, in_order, key_text, runs_of, ship, written
 
 ship(__name__)
 
@@ -183,26 +183,28 @@ def block_costs(facts: DataFrame) -> DataFrame:
     spread = facts.groupBy("conv").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("conv")
     slim = facts.join(spread, "conv", "left_semi").select("conv", "part", "pos", "code")
 
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int32(), pa.list_(pa.list_(pa.float64())))
+    after_kinds = (pa.string(), pa.int32(), pa.list_(pa.float64()))
+
+    @batched("conv part columns", kinds)
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (conv, part), pieces in runs_of(batches, 2):
             codes = codes_of(pieces, 3)
             columns = []
             for behind in range(4):
                 total, costs = backward(codes, tuple(0.0 if s == behind else inf for s in range(4)))
                 columns.append([total + c for c in costs])
-            yield pa.RecordBatch.from_pydict({"conv": [conv], "part": pa.array([part], pa.int32()), "columns": [columns]})
+            yield conv, part, columns
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @batched("conv part after", after_kinds)
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (conv,), pieces in runs_of(batches, 1):
             after: list[float] = list(END)
             for piece in pieces:
-                parts, matrix = piece.column(1).to_pylist(), piece.column(2).to_pylist()
-                out = []
-                for columns in matrix:
-                    out.append(after)
+                for part, columns in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist()):
+                    yield conv, part, after
                     after = with_inserts([min(after[t] + columns[t][s] for t in range(4)) for s in range(4)])
                     after = [c - min(after) for c in after]
-                yield pa.RecordBatch.from_pydict({"conv": [conv] * len(parts), "part": pa.array(parts, pa.int32()), "after": out})
 
     matrix = slim.repartition("conv", "part").sortWithinPartitions("conv", "part", "pos").mapInArrow(
         matrices, "conv string, part int, columns array<array<double>>"
@@ -219,8 +221,10 @@ def blocks_of(facts: DataFrame) -> DataFrame:
     placed = facts.select("conv", "part", "pos", "code").join(ends, ["conv", "part"], "left")
     placed = placed.select("conv", "part", "pos", "code", "after", "first", "last")
 
-    def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    strings, states, costs = pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())
+
+    @batched("conv part audits states costs illegal head tail", (pa.string(), pa.int32(), strings, states, costs, pa.int64(), pa.int32(), pa.int32()))
+    def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (conv, part), pieces in runs_of(batches, 2):
             head = next(pieces)
             after, first, last = (head.column(i)[0].as_py() for i in (4, 5, 6))
@@ -229,29 +233,18 @@ def blocks_of(facts: DataFrame) -> DataFrame:
             found = walk(codes, tuple(after or END), starts, last is not False)
             kinds = bytes(c % 4 for c in codes)
             illegal = sum(pair not in LEGAL for pair in zip(kinds, kinds[1:]))
-            held.append((conv, part, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], illegal, kinds[0], kinds[-1]))
-            if len(held) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), WALKS)], names=WALK_NAMES)
-                held.clear()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), WALKS)], names=WALK_NAMES)
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, pieces in runs_of(batches, 1):
+            yield conv, part, *map(list, zip(*found)), illegal, kinds[0], kinds[-1]
+
+    @batched("conv part start audit cost illegal", (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (conv,), pieces in runs_of(batches, 1):
             state, latest = NOTHING, None
             for piece in pieces:
-                out = {n: [] for n in ("conv", "part", "start", "audit", "cost", "illegal")}
-                for row in piece.to_pylist():
-                    at = state if len(row["audits"]) > 1 else 0
-                    out["conv"].append(row["conv"])
-                    out["part"].append(row["part"])
-                    out["start"].append(state)
-                    out["audit"].append(row["audits"][at])
-                    out["cost"].append(row["costs"][at])
-                    out["illegal"].append(row["illegal"] + (latest is not None and (latest, row["head"]) not in LEGAL))
-                    state, latest = row["states"][at], row["tail"]
-                types = pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=[*out])
+                for part, audits, ends, costs, illegal, head, tail in zip(*(c.to_pylist() for c in piece.columns[1:])):
+                    at = state if len(audits) > 1 else 0
+                    border = latest is not None and (latest, head) not in LEGAL
+                    yield conv, part, state, audits[at], costs[at], illegal + border
+                    state, latest = ends[at], tail
 
     walked = placed.repartition("conv", "part").sortWithinPartitions("conv", "part", "pos").mapInArrow(
         walks, "conv string, part int, audits array<string>, states array<int>, costs array<long>, illegal long, head int, tail int"
@@ -266,10 +259,6 @@ def blocks_of(facts: DataFrame) -> DataFrame:
 
 #: Classes that may follow each other: system user, user assistant, assistant user.
 LEGAL = {(0, 1), (1, 2), (2, 1)}
-WALK_NAMES = ["conv", "part", "audits", "states", "costs", "illegal", "head", "tail"]
-WALKS = [
-    pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32(),
-]
 
 
 def repaired_turns(rows: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -374,14 +363,15 @@ def digests(turns: DataFrame) -> DataFrame:
     A hash of a whole conversation can only be taken in order; turns stream past it and none is held.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @batched("conv repaired_sha256", (pa.string(), pa.string()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (conv,), pieces in runs_of(batches, 1):
             seen, total = False, hashlib.sha256()
             for piece in pieces:
                 lines = "\n".join(map("{}:{}".format, piece.column(3).to_pylist(), piece.column(4).to_pylist()))
                 total.update(("\n" * seen + lines).encode())
                 seen = True
-            yield pa.RecordBatch.from_pydict({"conv": [conv], "repaired_sha256": [total.hexdigest()]})
+            yield conv, total.hexdigest()
 
     stream = turns.select("conv", "pos", "sub", "role", "text").repartition("conv").sortWithinPartitions("conv", "pos", "sub")
     return stream.mapInArrow(run, "conv string, repaired_sha256 string")
