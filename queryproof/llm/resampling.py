@@ -203,9 +203,9 @@ def gains_of(source: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
     sides = source.selectExpr("bucket", "n AS s", "0L AS t").unionAll(target.selectExpr("bucket", "0L AS s", "n AS t"))
     every = source.sparkSession.range(buckets).selectExpr("id AS bucket", "0L AS s", "0L AS t")
     counts = sides.unionAll(every).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    sums = counts.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    ratio = f"(double(t + 1) * double(all_s + {buckets})) / (double(s + 1) * double(all_t + {buckets}))"
-    return counts.join(sums).selectExpr("bucket", f"CAST(floor(1000 * ln({ratio})) AS BIGINT) AS gain")
+    all_s, all_t = counts.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    ratio = f"(double(t + 1) * {float(all_s + buckets)!r}D) / (double(s + 1) * {float(all_t + buckets)!r}D)"
+    return counts.selectExpr("bucket", f"CAST(floor(1000 * ln({ratio})) AS BIGINT) AS gain")
 
 
 def resample(
