@@ -33,7 +33,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = 512
 ) -> DataFrame:
-    """``fn`` over Arrow batches of at most ``rows`` rows, which bounds what a worker holds; no shuffle."""
+    """``fn`` over Arrow batches of at most ``rows`` rows, which bounds what a worker holds; no shuffle.
+
+    mapInArrow does not find columns with a dot in their name, so ``fn`` sees a dash there.
+    """
+    if any("." in c for c in df.columns):
+        df = df.toDF(*(c.replace(".", "-") for c in df.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

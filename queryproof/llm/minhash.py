@@ -317,9 +317,14 @@ def near_duplicates(
 def first_of_class(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, the one with the smallest id, with all columns of ``docs``.
 
-    Rows with a null id stay. Of rows that share an id one stays.
+    Rows are told apart by a written number: rows that share an id with different texts are documents of
+    their own, and of equal rows one stays. Rows with a null id stay.
     """
-    (own,) = unused(docs, "kept_id")
-    classes = near_duplicates(docs, **options).filter("class_id = doc_id").select(F.col("doc_id").alias(own)).distinct()
-    kept = docs.join(classes, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.filter("doc_id IS NULL"))
+    row, class_id, least = unused(docs, "kept_row", "kept_class", "kept_least")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "dart-rows")
+    known = numbered.filter("doc_id IS NOT NULL")
+    classes = near_duplicates(known.select(row, "text"), id_col=row, **options).select(row, F.col("class_id").alias(class_id))
+    firsts = known.select("doc_id", row).join(classes, row).groupBy(class_id)
+    firsts = firsts.agg(F.min(F.struct("doc_id", row)).alias(least)).select(F.col(f"{least}.{row}").alias(row))
+    kept = known.join(firsts, row, "left_semi").unionByName(numbered.filter("doc_id IS NULL"))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -180,7 +180,7 @@ def fit(
 ) -> Machine:
     """A machine learnt from texts and ``toxic`` only.
 
-    At most ``sample`` labelled documents are read (see ``training_sample``). Tasks hash their words;
+    At most ``sample`` labelled documents are learnt from (see ``training_sample``); of rows that share an id, one. Tasks hash their words;
     what is brought together for training is the hashed slots of the sample, never texts. The machine
     keeps the ``most`` slots that tell most about the label, alone or in a pair of the ``most`` slots that
     most rows have; pairs with rarer words that tell nothing alone are not looked for. Without both kinds of labels it knows no
@@ -192,6 +192,9 @@ def fit(
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "slots": pa.array(slots, pa.list_(pa.int32()))})
 
     terms = map_batches(training_sample(docs, labels, sample), hashed, "doc_id long, toxic int, slots array<int>")
+    # of rows that share an id one is learnt from, the same whatever their order, so that the rows are bounded too
+    one = F.min(F.struct(F.xxhash64("slots").alias("h"), "slots", "toxic")).alias("one")
+    terms = terms.groupBy("doc_id").agg(one).select("doc_id", "one.toxic", "one.slots")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(n=pdf["slots"].str.len()).sort_values(["doc_id", "n"], kind="stable", ignore_index=True)
@@ -205,19 +208,22 @@ def fit(
     if row is None:
         return train(np.zeros(0, int), np.zeros(0, int), np.zeros(0), most, factors, epochs)
     slots = np.array(row["slots"], np.int64)
-    return Machine(slots, row["bias"], np.array(row["weight"]), np.array(row["factor"]).reshape(len(slots), -1))
+    return Machine(slots, row["bias"], np.array(row["weight"]), np.array(row["factor"]).reshape(len(slots), factors))
 
 
-def score(docs: DataFrame, model: Machine, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` up) to all columns of ``docs``.
+def score(
+    docs: DataFrame, model: Machine, threshold: float = 0.3, text: str = "text", into: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """Add ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` up) to all columns of ``docs``, under the
+    names ``into``.
 
     Whole texts are scored, each by its distinct lower-case words. Null, empty and wordless texts get
     the score of the bias. Columns of the same names are replaced. The machine, of bounded size, goes
     along with the tasks; nothing is shuffled.
     """
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = [c for c in docs.columns if c not in into]
     kept = docs.select(*(F.col(f"`{c}`") for c in names))
-    schema = with_fields(kept.schema, "score double, predicted int")
+    schema = with_fields(kept.schema, f"`{into[0]}` double, `{into[1]}` int")
     index = {int(s): i for i, s in enumerate(model.slots)}
     mark = f"toxicity-{zlib.crc32(model.slots.tobytes())}-{model.bias!r}"
 
@@ -240,6 +246,6 @@ def score(docs: DataFrame, model: Machine, threshold: float = 0.3, text: str = "
         p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
         columns = [batch.column(i) for i in range(len(names))]
         columns += [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted"])
+        return pa.RecordBatch.from_arrays(columns, [*names, *into])
 
     return map_batches(kept, run, schema)

@@ -37,4 +37,26 @@ def test_every_stage_does_its_part(spark, tmp_path):
 
 def test_registered(spark):
     assert "pipeline" in entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in entry.queries() if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in entry.queries() if re.match(r"op\d+_", n)} == set(range(1, 14))
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Nulls, repeated ids, an empty table and columns that stages use themselves."""
+    prose = ["the quick brown fox jumps over the lazy dog near the river bank today"] * 2 + ["completely other words stand here in this long enough line of text"]
+    rows = [(i, t, "s", 1.5, 7, "kept", "dot") for i, t in enumerate(prose)]
+    rows += [(1, "the second text under this id has its own ten words in it", None, None, 8, "kept", "dot"), (None, prose[0], "s", 0.0, 1, "kept", "dot"),
+             (5, None, None, None, None, None, None), (5, None, None, None, None, None, None), (6, "", "t", 1.0, 2, "kept", "dot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double, predicted int, toxic_score string, `a.b` string")
+    for some in (docs, docs.limit(0)):
+        stage_docs = some
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, stage_docs, MIDDLE).write.parquet(str(tmp_path / f"{name}-{some is docs}"))
+            stage_docs = spark.read.parquet(str(tmp_path / f"{name}-{some is docs}"))
+            got = stage_docs.collect()
+            assert set(docs.columns) <= set(stage_docs.columns)
+            assert all(r.toxic_score in ("kept", None) and (r.predicted or 0) in (0, 1, 2, 7, 8) for r in got)
+            if name in ("near_copies", "personal_data") and some is docs:
+                texts = [(r.doc_id, r.text) for r in got]
+                assert (1, rows[3][1]) in texts and (0, prose[0]) in texts and (1, prose[0]) not in texts and (None, prose[0]) in texts
+                assert texts.count((5, None)) + texts.count((6, "")) == 1
+        assert some is docs or got == []

@@ -57,16 +57,6 @@ def test_a_pair_is_learnt_that_no_single_word_tells():
         where = [r for r, k, s in zip(rows, at, slots, strict=True) if k < len(m.slots) and m.slots[k] == s]
         return ((m.logits(np.array(where, int), np.array(hit, int), 1500) > 0) == np.array(labels)).mean()
 
-    # neither word alone says anything, so the slots are given here instead of selected
-    known = np.unique([toxicity.slots_of(w)[0] for w in ("insult", "group")])
-    if len(model.slots) < 2:
-        original = toxicity.select_slots
-        try:
-            toxicity.select_slots = lambda *_: known
-            model = toxicity.train(np.array(rows), np.array(slots), np.array(labels), 4096, 6, 60)
-            single = toxicity.train(np.array(rows), np.array(slots), np.array(labels), 4096, 0, 60)
-        finally:
-            toxicity.select_slots = original
     assert right(model) > 0.9 > 0.8 > right(single)
 
 
@@ -113,3 +103,12 @@ def test_a_pair_gets_through_the_real_selection(spark, rows_of):
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     got = toxicity.score(docs, toxicity.fit(docs, labels), 0.5).filter(toxicity.HELD_OUT).collect()
     assert sum(r.predicted == rows[r.doc_id][2] for r in got) > 0.9 * len(got) > 500
+
+
+def test_repeated_ids_are_learnt_from_once(spark, rows_of):
+    rng = random.Random(6)
+    docs = [(i, prose(rng, 20, ["vile"] * (i % 4 == 0))) for i in range(200)]
+    labels = rows_of("doc_id long, toxic int", [(i, int(i % 4 == 0)) for i in range(200)])
+    once = toxicity.fit(rows_of("doc_id long, text string", docs), labels)
+    often = toxicity.fit(rows_of("doc_id long, text string", docs + [docs[8]] * 300 + [docs[9]] * 300).repartition(7), labels)
+    assert np.array_equal(once.slots, often.slots) and np.allclose(once.weight, often.weight)
