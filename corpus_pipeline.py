@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from queryproof.llm import minhash, mixing, pseudonyms, toxicity, trie_bpe
-from queryproof.llm.common import read_table, written
+from queryproof.llm.common import read_table, unused, written
 from queryproof.llm.queries import PSEUDONYM_KEY, word_vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not call toxic; it learns from ``labels``."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    into = unused(docs, "toxic_score", "toxic_predicted")
+    return toxicity.score(docs, model, into=into).filter(F.col(into[1]) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near-duplicates."""
+    """The document with the smallest id of each class of near-duplicates, and rows without an id."""
     return minhash.first_of_class(docs)
 
 
