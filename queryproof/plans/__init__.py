@@ -15,6 +15,7 @@ NAMES = (
     "reporting",
     "streams",
     "io",
+    "kept",
 )
 
 

@@ -453,14 +453,15 @@ m AS (SELECT year(o_orderdate) AS y, unnest([{'metric': 'status', 'code': o_orde
   recursive := true) FROM orders)"""
 
 
-def snapshot_metrics(orders):
-    """Every order as the metrics it counts for: ``(y, metric, code)``."""
+def snapshot_metrics(orders, *extra):
+    """Every order as the metrics it counts for: ``(extra..., y, metric, code)``."""
 
     def metric(name, code):
         return F.struct(F.lit(name).alias("metric"), code.alias("code"))
 
     expensive = F.when(F.col("o_totalprice") > 250000, "yes").otherwise("no")
     return orders.select(
+        *extra,
         F.year("o_orderdate").alias("y"),
         F.inline(
             F.array(

@@ -10,7 +10,7 @@ from queryproof.sources.jsonl import write_jsonl
 from queryproof.streaming import eventlog as log
 
 
-def _log(t, label):
+def event_stream(t, label):
     """The events as a log in shared scratch space: ``(stream, folder)``."""
     folder = t.scratch(label)
     write_jsonl(t.events, f"{folder}/log")
@@ -19,7 +19,7 @@ def _log(t, label):
 
 @query("st_event_log", "SELECT event_id, user_id, event_type, value, props, CAST(ts AS VARCHAR) AS ts FROM events")
 def st_event_log(t):
-    stream, folder = _log(t, "st_event_log")
+    stream, folder = event_stream(t, "st_event_log")
     log.append_to_table(stream, f"{folder}/table", f"{folder}/checkpoint")
     return t.spark.read.parquet(f"{folder}/table").withColumn("ts", F.col("ts").cast("string"))
 
@@ -31,7 +31,7 @@ SELECT user_id, event_type, n_events FROM (SELECT *, row_number() OVER (PARTITIO
   AS rn, count(*) OVER (PARTITION BY user_id) AS n_events FROM events) WHERE rn = 1""",
 )
 def st_latest_state(t):
-    stream, folder = _log(t, "st_latest_state")
+    stream, folder = event_stream(t, "st_latest_state")
     state = log.latest_state(stream, "user_id", "event_type", ["ts", "event_id"])
     store = log.UpsertStore(t.spark, f"{folder}/state", ["user_id"], [("latest", "desc")])
     log.run_batches(state, "update", f"{folder}/checkpoint", store.merge)
@@ -46,7 +46,7 @@ WITH e AS (SELECT {reason_sql('user_id', PHASES)} AS phase, {reason_sql('event_i
 SELECT phase, code, {CLASS_SQL} AS class, count(*) AS n FROM e GROUP BY ALL""",
 )
 def st_failure_counts(t):
-    stream, folder = _log(t, "st_failure_counts")
+    stream, folder = event_stream(t, "st_failure_counts")
     errors = stream.filter(F.col("event_type") == "error")
     counts = log.failure_counts(errors, reason("user_id", PHASES), reason("event_id", CODES))
     result = log.VersionedResult(t.spark, f"{folder}/result")
@@ -61,7 +61,7 @@ SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (P
   event_id DESC) AS rn FROM events) WHERE rn = 1""",
 )
 def st_keyed_upsert(t):
-    stream, folder = _log(t, "st_keyed_upsert")
+    stream, folder = event_stream(t, "st_keyed_upsert")
     store = log.UpsertStore(t.spark, f"{folder}/store", ["user_id"], [("ts", "desc"), ("event_id", "desc")])
     log.run_batches(stream, "append", f"{folder}/checkpoint", store.merge)
     return store.current().select("user_id", "event_id", "event_type", "value")

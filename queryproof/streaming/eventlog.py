@@ -1,7 +1,7 @@
 """Streaming over the append-only event log.
 
-State is one small row per key; keys are statements, so no watermark expires them. A user with a
-retention rule adds ``withWatermark`` before these functions.
+State is one small row per key; keys are statements, so no watermark expires them. ``windowed_counts`` is
+for retention: its state expires by event time. ``stored_state`` reads what a query holds.
 """
 
 from __future__ import annotations
@@ -55,6 +55,23 @@ def failure_counts(stream: DataFrame, phase: Column, code: Column) -> DataFrame:
     return named.groupBy("phase", "code", "class").agg(F.count("*").alias("n"))
 
 
+def windowed_counts(stream: DataFrame, ts: str, keys: Sequence[str], width: str, delay: str) -> DataFrame:
+    """``(window_start, keys..., n)`` with state that expires.
+
+    The watermark trails the newest event time by ``delay``. A window's counts are dropped from the state
+    once it passes the window's end; a row that comes later than that is not counted, however often
+    the stream is restarted. Rows within the delay are counted whenever they come.
+    """
+    timed = stream.withWatermark(ts, delay)
+    counts = timed.groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"))
+    return counts.select(F.col("window.start").alias("window_start"), *keys, "n")
+
+
+def stored_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``(key, value)`` structs of what a query's checkpoint holds in its state store, after its last batch."""
+    return spark.read.format("statestore").load(checkpoint).select("key", "value")
+
+
 def run_batches(
     stream: DataFrame, mode: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None]
 ) -> None:

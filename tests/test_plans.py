@@ -10,7 +10,7 @@ from tests.conftest import SMALL
 
 # Queries that write and read back while they are built have little left to plan.
 QUERIES = {n: entry.queries()[n] for n in load_all()}
-EAGER = {n for n in QUERIES if n.startswith(("st_", "io_"))} | {"rp_reference_closure", "eq_diff_rows", "eq_diff_sketch", "eq_sketch_report"}
+EAGER = {n for n in QUERIES if n.startswith(("st_", "io_"))} | {"rp_reference_closure", "eq_diff_rows", "eq_diff_sketch", "eq_sketch_report", "rp_reach_counts"}
 # Numbering needs a window over the bucket counts of a key; everything else is pruned or aggregated.
 RANK_ALL = {"wn_row_number", "sl_order_sensitive_compare", "sl_order_fingerprint"}
 
