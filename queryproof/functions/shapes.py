@@ -18,8 +18,8 @@ CLAUSES = ("where", "group by", "having", "order by", "limit", "offset", "fetch"
 # Words that can't be an alias.
 RESERVED = ("where", "group", "having", "order", "limit", "offset", "fetch", "union", "on", "join", "left", "right",
             "inner", "full", "cross", "as", "using", "natural")
-# A limit of so many digits takes everything.
-LARGE_LIMIT_DIGITS = 7
+# Fixed value: a limit from here on takes everything.
+LARGE_LIMIT = 1_000_000
 
 NAME = "^[a-z_][a-z0-9_]*$"
 PATH = "^[a-z_][a-z0-9_.]*$"
@@ -75,9 +75,14 @@ def with_text_facts(df: DataFrame, sql: str) -> DataFrame:
 FACTS = ("_text", "_spaced", "_top", "_inside", "_sources", "_rest", "_alias")
 
 
+def rest_of(items: Column) -> Column:
+    """An array without its first item."""
+    return F.slice(items, F.lit(2), F.size(items))
+
+
 def any_part(text: Column, mark: str, test) -> Column:
     """Whether ``test`` holds for what follows any place of a plain mark; cheap where there is none."""
-    return F.contains(text, F.lit(mark)) & F.exists(F.slice(F.split(text, rf"\Q{mark}\E"), 2, 1_000_000), test)
+    return F.contains(text, F.lit(mark)) & F.exists(rest_of(F.split(text, rf"\Q{mark}\E")), test)
 
 
 def same_column_alternatives(spaced: Column) -> Column:
@@ -85,7 +90,7 @@ def same_column_alternatives(spaced: Column) -> Column:
     plain = F.regexp_replace(spaced, "'[^']*'", "'v'")
     sides = F.transform(F.split(plain, " or "), lambda s: F.split(F.trim(s), " "))
     ends = F.transform(sides, lambda w: F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3)))
-    starts = F.slice(F.transform(sides, lambda w: F.slice(w, 1, 2)), 2, 1_000_000)
+    starts = rest_of(F.transform(sides, lambda w: F.slice(w, 1, 2)))
 
     def same(end: Column, start: Column) -> Column:
         column = F.try_element_at(end, F.lit(1))
@@ -95,16 +100,32 @@ def same_column_alternatives(spaced: Column) -> Column:
     return F.exists(F.zip_with(ends, starts, same), lambda found: found)
 
 
-def self_exists(spaced: Column) -> Column:
-    """``where exists (select 1 from t a where a.id = b.id)``."""
+def reads_itself(spaced: Column, sources: Column) -> Column:
+    """A test whether a row of the query's own table exists with the same id: both sides of the first equality
+    inside name the column ``id``, and the table inside is the table outside."""
+    words = F.split(F.trim(after(spaced, " exists ( select ")), " ")
+    table = F.try_element_at(words, F.array_position(words, "from").cast("int") + 1)
+    equal = F.array_position(words, "=").cast("int")
+    sides = [F.try_element_at(words, F.when(equal > 1, equal + step)) for step in (-1, 1)]
+    ids = [F.element_at(F.split(side, r"\."), -1) == "id" for side in sides]
+    last = F.try_element_at(words, F.when(equal > 1, equal + 2)) == ")"
+    own = F.element_at(F.split(F.trim(sources), " "), 1)
+    return says(spaced, " where exists ( select ") & F.coalesce((table == own) & ids[0] & ids[1] & last, F.lit(False))
+
+
+def is_literal(item: Column) -> Column:
+    """Nothing but a number, NULL or one quoted text."""
+    def quoted_by(q: str) -> Column:
+        return (F.length(item) > 1) & item.startswith(q) & item.endswith(q) & (F.size(F.split(item, q)) == 3)
+
+    return (item == "null") | item.try_cast("decimal(38,10)").isNotNull() | quoted_by("'") | quoted_by('"')
 
-    def by_id(tail: Column) -> Column:
-        w = F.split(tail, " ")
-        ends = [F.try_element_at(w, F.lit(i)) for i in (3, 4, 5, 6, 7)]
-        found = (ends[0] == "where") & ends[1].endswith(".id") & (ends[2] == "=") & ends[3].endswith(".id") & (ends[4] == ")")
-        return F.coalesce(found, F.lit(False))
 
-    return any_part(spaced, " where exists ( select 1 from ", by_id)
+def folds_numbers(text: Column) -> Column:
+    """Whole numbers on both sides of an arithmetic sign."""
+    words = F.split(F.trim(F.regexp_replace(F.translate(text, "(),", "   "), r"([-+*/])", " $1 ")), " +")
+    kinds = F.transform(words, lambda w: F.when(w.isin("+", "-", "*", "/"), "o").when(w.try_cast("decimal(38,0)").isNotNull() & ~F.contains(w, F.lit(".")), "n").otherwise("x"))
+    return F.contains(F.array_join(kinds, ""), F.lit("non"))
 
 
 def says(text: Column, *phrases: str) -> Column:
@@ -160,17 +181,17 @@ def shape_family(features: Column) -> Column:
             (only_include, "STATIC_INCLUDE_ONLY"),
             (~static, "UNKNOWN"),
             (says(spaced, " over ( "), "WINDOW"),
-            (last_order.rlike(r"^(null|[0-9.]+|'[^']*'|\"[^\"]*\")$"), "ORDER_BY_CONSTANT"),
+            (is_literal(last_order), "ORDER_BY_CONSTANT"),
             (says(spaced, " where 1 = 1 ", " where 0 = 0 ", " where true "), "BOOLEAN_TAUTOLOGY"),
             (any_part(tested, " in ( ", list_head), "IN_LIST_SINGLE_VALUE"),
             (says(spaced, " or ") & same_column_alternatives(spaced), "OR_SAME_COLUMN"),
             (says(spaced, " case when true then "), "CASE_WHEN_TRUE"),
             (any_part(spaced, " coalesce ( ", two_paths), "COALESCE_IDENTITY"),
-            (text.rlike("(?<![a-z0-9_])[0-9]+ ?[-+*/] ?[0-9]+(?![a-z0-9_])"), "EXPRESSION_FOLDING"),
-            (last_limit.rlike(rf"^0*[1-9][0-9]{{{LARGE_LIMIT_DIGITS - 1},}}$"), "LIMIT_LARGE"),
+            (says(text, "+", "-", "*", "/") & folds_numbers(text), "EXPRESSION_FOLDING"),
+            (F.coalesce(last_limit.try_cast("decimal(38,0)") >= LARGE_LIMIT, F.lit(False)), "LIMIT_LARGE"),
             (says(spaced, " = null ", " != null ", " <> null "), "NULL_COMPARISON"),
             (says(spaced, " select distinct on ( "), "DISTINCT_ON"),
-            (self_exists(spaced), "EXISTS_SELF"),
+            (reads_itself(spaced, sources), "EXISTS_SELF"),
             (wraps & (alias != "") & says(inside, " union "), "UNION_WRAPPER"),
             (says(text, "union"), "UNION"),
             (wraps & top.startswith("select distinct ") & says(inside, "select distinct "), "DISTINCT_WRAPPER"),

@@ -32,3 +32,8 @@ def without_comments(text: Column) -> Column:
 def normalize(text: Column) -> Column:
     """Comments removed, white space collapsed, lower case."""
     return F.lower(collapse(without_comments(F.coalesce(text, F.lit("")))))
+
+
+def without_qualifiers(text: Column) -> Column:
+    """Names without the table or alias before their dot."""
+    return F.regexp_replace(text, r"[a-z_][a-z0-9_]*\.([a-z_])", "$1")

@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from queryproof.functions.rules import first_match
 
 
+# Shapes, a blocker and a tier that allow review only.
+FRAGMENTS_SHAPE = "MULTI_FRAGMENT_INCLUDE"
+FRAGMENTS_BLOCKER = "MULTI_FRAGMENT_INCLUDE_REVIEW_ONLY"
+COLLECTION_SHAPE = "FOREACH_COLLECTION_PREDICATE"
+REVIEW_TIER = "REVIEW_REQUIRED"
+
+
 def _several(name: str) -> Column:
     return F.col(f"_min_{name}") != F.col(f"_max_{name}")
 
@@ -20,7 +27,9 @@ def consensus(variants: DataFrame, key: str, position: list[str]) -> DataFrame:
     """One decision row per statement.
 
     Input columns: ``status``, ``gate``, ``family``, ``surface``, ``ops``, ``candidate``,
-    ``supported`` (shape), ``status_reason`` and ``gate_reason``; reasons count in row order.
+    ``supported`` (shape), ``status_reason`` and ``gate_reason``; reasons count in row order. Optional ones hold
+    back a statement whose variants agree: ``at_risk`` (of any variant), and ``shape``, ``blocker`` and
+    ``tier``, which tell what may only be reviewed. NULL holds nothing back.
     """
     # NULL or blank is a value that nobody gave: a partial status, an uncertain gate, no family at all
     order = F.struct(*position)
@@ -44,6 +53,17 @@ def consensus(variants: DataFrame, key: str, position: list[str]) -> DataFrame:
     ]
     for name in ("family", "surface", "ops"):
         aggregates += [F.min(given[name]).alias(f"_min_{name}"), F.max(given[name]).alias(f"_max_{name}")]
+    held = {c: F.col(c) if c in variants.columns else F.lit(None) for c in ("at_risk", "shape", "blocker", "tier")}
+
+    def any_row(condition: Column) -> Column:
+        return F.coalesce(F.bool_or(condition.cast("boolean")), F.lit(False))
+
+    collection = any_row(held["shape"] == COLLECTION_SHAPE) & any_row(held["tier"] == REVIEW_TIER)
+    aggregates += [
+        any_row(held["at_risk"]).alias("_at_risk"),
+        any_row(F.coalesce(held["shape"] == FRAGMENTS_SHAPE, F.lit(False)) | F.coalesce(held["blocker"] == FRAGMENTS_BLOCKER, F.lit(False))).alias("_fragments"),
+        collection.alias("_collection"),
+    ]
     g = variants.groupBy(key).agg(*aggregates)
     no_family = F.col("_min_family").isNull()
     reason = first_match(
@@ -62,6 +82,9 @@ def consensus(variants: DataFrame, key: str, position: list[str]) -> DataFrame:
             (_several("family"), "PATCH_FAMILY_CONFLICT_OR_MISSING"),
             (_several("surface"), "PATCH_SURFACE_CONFLICT"),
             (_several("ops"), "REWRITE_OPS_CONFLICT"),
+            (F.col("_at_risk"), "SEMANTIC_RISK_TAIL_BLOCKED"),
+            (F.col("_fragments"), "NO_SAFE_BASELINE_MULTI_FRAGMENT_INCLUDE"),
+            (F.col("_collection"), "NO_SAFE_BASELINE_COLLECTION_GUARDED_PREDICATE"),
         ],
         F.lit(None).cast("string"),
     )

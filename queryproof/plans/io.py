@@ -52,12 +52,20 @@ SELECT split_part(sql_key, '#', 1) AS namespace, split_part(sql_key, '#', 2) AS
   CASE WHEN starts_with(sql, 'UPDATE') THEN 'update' ELSE 'select' END AS statement_type, md5(sql) AS body_digest FROM s""",
 )
 def io_xml_statements(t):
-    """The statement corpus written as mapper documents and read back, markup inside bodies kept."""
+    """The statement corpus written as mapper documents and read back, markup inside bodies kept.
+
+    A third of the bodies stand in CDATA sections, a third with entities for quotes, equals signs and comparisons; each
+    mapper has a statement that is commented out.
+    """
     path = t.scratch("io_xml_statements")
     s = corpus.statements(t.orders)
     parts = F.split("sql_key", "#")
     kind = F.when(F.col("sql").startswith("UPDATE"), "update").otherwise("select")
-    s.select(markup.mapper_document(parts[0], kind, parts[1], F.col("sql"))).write.text(path)
+    number = F.pmod(F.xxhash64("sql_key"), F.lit(3))
+    escaped = F.replace(F.replace(F.replace(F.col("sql"), F.lit("'"), F.lit("&apos;")), F.lit("="), F.lit("&#61;")), F.lit(","), F.lit("&#x2c;"))
+    body = F.when(number == 0, F.concat(F.lit("<![CDATA["), F.col("sql"), F.lit("]]>"))).when(number == 1, escaped).otherwise(F.col("sql"))
+    note = F.lit('<select id="old">SELECT 1</select>')
+    s.select(markup.mapper_document(parts[0], kind, parts[1], body, note)).write.text(path)
     return markup.read_statements(t.spark, path).select(
         "namespace", "statement_id", "statement_type", F.md5("body").alias("body_digest")
     )

@@ -42,6 +42,10 @@ def variants(t, *extra):
         (F.col("l_orderkey") % 17 != 0).alias("supported"),
         F.when((status != "PASS") & (tax > 0.03), F.concat(F.lit("VALIDATE_"), "l_linestatus")).alias("status_reason"),
         F.when(tax > 0.03, F.concat(F.lit("SEMANTIC_"), "l_returnflag")).alias("gate_reason"),
+        F.when(F.col("l_linenumber") != 2, F.col("l_partkey") % 41 == 3).alias("at_risk"),
+        first_match([(F.col("l_suppkey") % 11 == 5, "MULTI_FRAGMENT_INCLUDE"), (F.col("l_orderkey") % 3 == 1, "FOREACH_COLLECTION_PREDICATE")], _null()).alias("shape"),
+        F.when(F.col("l_suppkey") % 29 == 4, "MULTI_FRAGMENT_INCLUDE_REVIEW_ONLY").alias("blocker"),
+        F.when(tax > 0.05, "REVIEW_REQUIRED").alias("tier"),
         *extra,
     )
 
@@ -60,6 +64,8 @@ g AS (SELECT l_orderkey, count(*) AS n_variants, count(*) FILTER (status = 'PASS
   count(*) FILTER (status = 'NEED_MORE_PARAMS') AS n_partial, count(*) FILTER (status = 'FAIL') AS n_fail,
   count(*) FILTER (gate = 'PASS') AS n_gate_pass, count(*) FILTER (gate = 'BLOCKED') AS n_gate_blocked,
   count(*) FILTER (gate = 'UNCERTAIN') AS n_gate_uncertain, count(candidate) AS nc, count(DISTINCT family) AS nf,
+  coalesce(bool_or(l_linenumber <> 2 AND l_partkey % 41 = 3), false) AS risky, bool_or(l_suppkey % 11 = 5 OR l_suppkey % 29 = 4) AS fragments,
+  bool_or(l_suppkey % 11 <> 5 AND l_orderkey % 3 = 1) AND bool_or(l_tax > 0.05) AS collection,
   count(DISTINCT surface) AS ns, count(DISTINCT ops) AS no, min(family) AS f, min(surface) AS s, min(ops) AS o,
   first(status_reason ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) FILTER (status_reason IS NOT NULL) AS sr,
   first(gate_reason ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) FILTER (gate <> 'PASS' AND gate_reason IS NOT NULL) AS gr
@@ -69,7 +75,9 @@ r AS (SELECT *, CASE WHEN l_orderkey % 17 = 0 THEN 'SHAPE_FAMILY_NOT_TARGET'
   WHEN n_gate_pass < n_variants THEN coalesce(gr, 'SEMANTIC_GATE_NOT_PASS')
   WHEN nf = 0 AND nc = 0 THEN 'NO_PATCHABLE_CANDIDATE_SELECTED' WHEN nf = 0 THEN 'NO_PATCHABLE_CANDIDATE_UNSUPPORTED_STRATEGY'
   WHEN nf > 1 THEN 'PATCH_FAMILY_CONFLICT_OR_MISSING' WHEN ns > 1 THEN 'PATCH_SURFACE_CONFLICT'
-  WHEN no > 1 THEN 'REWRITE_OPS_CONFLICT' END AS conflict_reason FROM g),
+  WHEN no > 1 THEN 'REWRITE_OPS_CONFLICT' WHEN risky THEN 'SEMANTIC_RISK_TAIL_BLOCKED'
+  WHEN fragments THEN 'NO_SAFE_BASELINE_MULTI_FRAGMENT_INCLUDE'
+  WHEN collection THEN 'NO_SAFE_BASELINE_COLLECTION_GUARDED_PREDICATE' END AS conflict_reason FROM g),
 d AS (SELECT l_orderkey, n_variants, n_pass, n_partial, n_fail, n_gate_pass, n_gate_blocked, n_gate_uncertain,
   CASE WHEN conflict_reason IS NULL THEN 'AUTO_PATCHABLE' ELSE 'MANUAL_REVIEW' END AS decision, conflict_reason,
   CASE WHEN conflict_reason IS NULL THEN f END AS family, CASE WHEN conflict_reason IS NULL THEN s END AS surface,

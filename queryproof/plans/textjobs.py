@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from queryproof.functions import rules, statements as st
 from queryproof.functions.canon import row_text
 from queryproof.functions.rules import first_match
-from queryproof.functions.text import collapse, normalize
+from queryproof.functions.text import collapse, normalize, without_qualifiers
 from queryproof.operators.counting import code_counts
 from queryproof.plans import corpus
 from queryproof.plans.registry import query
@@ -559,16 +559,24 @@ def cd_valid_filter(t):
 _VARIANT = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || ' /* note */ ' WHEN 2 THEN '  ' || text ELSE text || ' more' END"
 
 
+_BARE_SQL = "regexp_replace({c}, '[a-z_][a-z0-9_]*\\.([a-z_])', '\\1', 'g')"
+_QUALIFIED = "SELECT u.name, u.city FROM users u WHERE u.id = "
+
+
 @query(
     "cd_noop_filter",
     f"""
-WITH d AS (SELECT doc_id, text AS o, {_VARIANT} AS r FROM documents),
+WITH d AS (SELECT text AS o, {_VARIANT} AS r FROM documents
+  UNION ALL SELECT '{_QUALIFIED}' || o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'SELECT name, city FROM users u WHERE id = ' || o_orderkey
+    WHEN 1 THEN 'SELECT name, city FROM users u WHERE id = 0' ELSE 'select u.name, u.city from users u where u.id = ' || o_orderkey END FROM orders),
+n AS (SELECT *, {NORMAL_SQL.format(c='o')} AS no, {NORMAL_SQL.format(c='r')} AS nr FROM d),
 k AS (SELECT CASE WHEN o = r THEN 'IDENTICAL' WHEN trim(regexp_replace(o, '[ \\t\\n\\f\\r]+', ' ', 'g'))
     = trim(regexp_replace(r, '[ \\t\\n\\f\\r]+', ' ', 'g')) THEN 'WHITESPACE_ONLY'
-  WHEN {NORMAL_SQL.format(c='o')} = {NORMAL_SQL.format(c='r')} THEN 'COMMENT_ONLY' ELSE 'CHANGED' END AS kind FROM d)
+  WHEN no = nr THEN 'COMMENT_ONLY' WHEN {_BARE_SQL.format(c='no')} = {_BARE_SQL.format(c='nr')} THEN 'QUALIFIER_ONLY' ELSE 'CHANGED' END AS kind FROM n)
 SELECT kind, kind = 'CHANGED' AS kept, count(*) AS n FROM k GROUP BY ALL""",
 )
 def cd_noop_filter(t):
+    """Changes of white space, comments, letter case or qualifiers only are noise."""
     number = F.col("doc_id") % 4
     variant = first_match(
         [
@@ -578,16 +586,23 @@ def cd_noop_filter(t):
         ],
         F.concat(F.col("text"), F.lit(" more")),
     )
+    key = F.col("o_orderkey")
+    bare, lower = (F.concat(F.lit(text), key) for text in ("SELECT name, city FROM users u WHERE id = ", _QUALIFIED.lower()))
+    other = F.lit("SELECT name, city FROM users u WHERE id = 0")
+    changed = first_match([(key % 3 == 0, bare), (key % 3 == 1, other)], lower)
     d = t.documents.select(F.col("text").alias("o"), variant.alias("r"))
+    d = d.union(t.orders.select(F.concat(F.lit(_QUALIFIED), key), changed))
+    n = d.select("o", "r", normalize(F.col("o")).alias("no"), normalize(F.col("r")).alias("nr"))
     kind = first_match(
         [
             (F.col("o") == F.col("r"), "IDENTICAL"),
             (collapse(F.col("o")) == collapse(F.col("r")), "WHITESPACE_ONLY"),
-            (normalize(F.col("o")) == normalize(F.col("r")), "COMMENT_ONLY"),
+            (F.col("no") == F.col("nr"), "COMMENT_ONLY"),
+            (without_qualifiers(F.col("no")) == without_qualifiers(F.col("nr")), "QUALIFIER_ONLY"),
         ],
         "CHANGED",
     )
-    return counted(d.select(kind.alias("kind")).withColumn("kept", F.col("kind") == "CHANGED"), "kind", "kept")
+    return counted(n.select(kind.alias("kind")).withColumn("kept", F.col("kind") == "CHANGED"), "kind", "kept")
 
 
 @query(

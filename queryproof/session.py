@@ -34,11 +34,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
     Where driver and executors are one process (a local master, as in tests) a temporary folder serves
     without the setting; it goes when the process ends. On a cluster its absence is an error: executors
-    would write to their own disks, and what is read back would be incomplete.
+    would write to their own disks, and what is read back would be incomplete. So it is where the master
+    can't be read, as from a client of Spark Connect.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", None) or ""):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own_folder()
     return f"{base.rstrip('/')}/queryproof/{label}-{uuid.uuid4().hex}"

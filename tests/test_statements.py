@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from queryproof.functions import statements as st
 from queryproof.functions.text import normalize
 from queryproof.plans.corpus import TEMPLATES
+from queryproof.sources import markup
 
 
 @pytest.fixture(scope="module")
@@ -141,3 +142,54 @@ def test_long_nested_text_takes_one_pass(spark):
     df = spark.createDataFrame([(sql,)], "sql string")
     assert st.with_syntax_problem(df, "sql").collect()[0]["problem"] is None
     assert st.with_aggregation_profile(df, "sql").collect()[0]["aggregation_shape"] == "NONE"
+
+
+MAPPER = """<?xml version="1.0"?><mapper namespace="m">
+<!-- <select id="gone">SELECT 0</select> <![CDATA[ not one either ]]> -->
+<select id="a">SELECT a FROM t WHERE a &lt; 1 AND b &gt;= 2 AND c = &apos;x&apos;</select>
+<select id="b"><![CDATA[SELECT '<select id="no">' AS s, '&amp;' AS e, '<!-- kept -->' AS k FROM t WHERE a < 1]]></select>
+<select id="c">SELECT &#65;&#x42; FROM t <!-- a note --><if test="x"> WHERE a &amp;lt; &#zz; 1</if></select>
+<update id="d">UPDATE t SET a = 'plain' <where><![CDATA[a <> 1]]></where></update>
+</mapper>
+"""
+
+
+def test_xml_is_read_as_it_is_meant(spark, tmp_path):
+    (tmp_path / "m.xml").write_text(MAPPER)
+    got = {r.statement_id: r.body for r in markup.read_statements(spark, str(tmp_path)).collect()}
+    assert got == {
+        "a": "SELECT a FROM t WHERE a < 1 AND b >= 2 AND c = 'x'",
+        "b": """SELECT '<select id="no">' AS s, '&amp;' AS e, '<!-- kept -->' AS k FROM t WHERE a < 1""",
+        "c": 'SELECT AB FROM t <if test="x"> WHERE a &lt; &#zz; 1</if>',
+        "d": "UPDATE t SET a = 'plain' <where>a <> 1</where>",
+    }
+
+
+TABLES = [
+    ("SELECT a FROM s.t, u JOIN \"x\".\"y\" ON 1 = 1", ["t", "y"]), ("select 1 from (select b from t) q join t on 1=1", ["t"]),
+    ("SELECT fromage FROM\n  t1\tWHERE x IN (SELECT y FROM t2)", ["t1", "t2"]), ("UPDATE t SET a = 1", []), ("SELECT 1 FROM ${table} JOIN", []), ("", []),
+]
+
+
+@pytest.mark.parametrize("sql, want", TABLES)
+def test_tables_by_words(spark, sql, want):
+    assert spark.createDataFrame([(sql,)], "s string").select(st.table_refs(F.col("s"))).first()[0] == want
+
+
+NAMES = [("add_time_filter", True), ("TimeFilter", True), ("join reorder", True), ("a or b", True), ("predicate_push", False), ("store_vendor", False), ("", False)]
+
+
+@pytest.mark.parametrize("name, want", NAMES)
+def test_names_speak_of_a_change(spark, name, want):
+    assert spark.createDataFrame([(name,)], "s string").select(st.about(F.col("s"), st.TEMPLATE_STEMS)).first()[0] is want
+
+
+def test_shapes_from_facts(spark):
+    cases = {
+        "select a from t order by 'x'": "ORDER_BY_CONSTANT", "select a from t order by 2.5": "ORDER_BY_CONSTANT", "select a from t order by 'x', 'y'": "STATIC_STATEMENT",
+        "select a from t limit 1000000": "LIMIT_LARGE", "select a from t limit 0999999": "STATIC_STATEMENT", "select a from t limit 99999999999": "LIMIT_LARGE",
+        "select a from t where b = 2*3": "EXPRESSION_FOLDING", "select a from t where b = '2020-01-01'": "STATIC_STATEMENT", "select a from t where b = c-1": "STATIC_STATEMENT",
+        "select a from t where exists (select 1 from t x where x.id = t.id)": "EXISTS_SELF", "select a from t where exists (select 1 from u x where x.id = t.id)": "STATIC_STATEMENT",
+    }
+    df = spark.createDataFrame([(s,) for s in cases], "s string")
+    assert {r.s: r["shape"] for r in st.with_shape(df, "s").collect()} == cases
