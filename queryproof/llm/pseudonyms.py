@@ -42,7 +42,12 @@ LOCAL = re.compile(r"[^\W_](?:[\w.+%-]{0,62}[^\W_])?$")
 DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 TOKEN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])")
-SECRET = re.compile(r"(?<=AKIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[\w.+-]{6,64}", re.ASCII)
+#: Behind a colon, where prose may follow, a password must hold a digit.
+SECRET = re.compile(
+    r"(?<=AKIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[\w.+-]{6,64}"
+    r"|(?:(?<=password: )|(?<=password:)|(?<=password = ))(?=[\w.+-]*\d)[\w.+-]{6,64}",
+    re.ASCII,
+)
 SOMETHING = re.compile(r"[@\d]")
 
 
@@ -58,7 +63,7 @@ def places(text: str) -> list[tuple[int, int, str]]:
         if local and domain:
             found.append((at - len(local[0]), domain.end(), "email"))
         at = text.find("@", at + 1)
-    if "AKIA" in text or "password=" in text:
+    if "AKIA" in text or "password" in text:
         found += [(*m.span(), "secret") for m in SECRET.finditer(text)]
     found += [(*m.span(), "token") for m in TOKEN.finditer(text)]
     found += [(*m.span(), "iban") for m in IBAN.finditer(text)]
@@ -120,8 +125,18 @@ def card_places(text: str, start: int = 0, end: int | None = None) -> list[tuple
 
 @lru_cache(1 << 16)
 def permute(value: int, size: int, tweak: str, key: bytes, back: bool = False) -> int:
-    """A keyed permutation of ``range(size)``: a balanced Feistel network over the next even number of
-    bits, walked until the result lies inside. ``back`` inverts it."""
+    """A keyed permutation of ``range(size)`` that leaves no value where it is; ``back`` inverts it.
+
+    The values stand in a circle in the order of the Feistel network's images, and each goes to the next: all of
+    ``range(size)`` is one cycle. So whoever walks on to a value of some kind comes back to the first one only
+    if there is no other.
+    """
+    place = feistel(value, size, tweak, key)
+    return feistel((place + (-1 if back else 1)) % size, size, tweak, key, True)
+
+
+def feistel(value: int, size: int, tweak: str, key: bytes, back: bool = False) -> int:
+    """A balanced Feistel network over the next even number of bits, walked until the result lies inside."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     length = (half + 7) // 8
@@ -273,6 +288,11 @@ def swap_phone(text: str, key: bytes, back: bool) -> str | None:
 
 #: The alphabets within which a character of an address or token may change.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Letters of local parts besides: Latin with marks, Greek and Cyrillic, small and large.
+LETTERS = ALPHABETS + tuple(
+    "".join(c for c in map(chr, range(first, last)) if c.isalpha())
+    for first, last in ((0xDF, 0x100), (0xC0, 0xDF), (0x3B1, 0x3CA), (0x391, 0x3AA), (0x430, 0x460), (0x400, 0x430))
+)
 
 
 def swap_chars(text: str, alphabets: tuple[str, ...], tweak: str, key: bytes, back: bool) -> str:
@@ -295,9 +315,10 @@ def swap_chars(text: str, alphabets: tuple[str, ...], tweak: str, key: bytes, ba
     return "".join(reversed(out))
 
 
-def swap_email(text: str, key: bytes, back: bool) -> str:
+def swap_email(text: str, key: bytes, back: bool) -> str | None:
     local, domain = text.rsplit("@", 1)
-    return f"{swap_chars(local, ALPHABETS, 'email@' + domain.lower(), key, back)}@{domain}"
+    new = swap_chars(local, LETTERS, "email@" + domain.lower(), key, back)
+    return None if new == local else f"{new}@{domain}"
 
 
 def valid_token(text: str) -> bool:
@@ -314,8 +335,9 @@ def swap_token(text: str, key: bytes, back: bool) -> str | None:
             return text
 
 
-def swap_secret(text: str, key: bytes, back: bool) -> str:
-    return swap_chars(text, ALPHABETS, "secret", key, back)
+def swap_secret(text: str, key: bytes, back: bool) -> str | None:
+    new = swap_chars(text, ALPHABETS, "secret", key, back)
+    return None if new == text else new
 
 
 VALID = {
@@ -365,10 +387,13 @@ def pseudonymize_column(
     """Replace validated personal data in whole texts; all columns of ``docs`` stay.
 
     Card numbers (Luhn), IBANs (mod 97), social security numbers, phone numbers, IPv4 addresses, dates
-    from 1900 to 2099, e-mail addresses (their local part), hexadecimal tokens and
-    key and password values are each permuted within their format
+    from 1900 to 2099, e-mail addresses (their local part), hexadecimal tokens, and
+    key and password values (behind ``AKIA``, ``password=``, and with a digit behind ``password:``) are each permuted
+    within their format
     under ``key``, with check digits made anew: equal values get equal pseudonyms in every document, and
-    ``back=True`` with the same key restores them. What fails its validation stays as it is. Cards are
+    ``back=True`` with the same key restores them. No value is its own pseudonym, so every kind listed is a change.
+    What fails its validation stays as it is, and so do numbers written in other ways (social security
+    numbers with blanks) and local parts without Latin, Greek or Cyrillic letters or digits. Cards are
     found beside other numbers if they stand in one piece or in the groups of cards. Where the groups of
     neighbouring numbers could be read as two overlapping values, the valid one is replaced; if by chance
     both readings of the pseudonym are valid, ``back`` may take the other one. ``found``

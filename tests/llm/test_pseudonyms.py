@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import re
 
 import pytest
@@ -118,3 +119,60 @@ def test_what_is_not_valid_hides_nothing():
     for first in ("31.02.2020", "000-12-3456", "256.1.1.1"):
         assert p.pseudonymize(f"{first} 4111 1111 1111 1111", KEY)[1] == ["card"]
     assert p.places("\u0661" * 16) == []
+
+
+def planted(rng):
+    """A valid value of some kind by rules of its own, with what stands before it."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    kind = rng.choice(["email", "card", "iban", "ssn", "phone", "ip", "date", "token", "password", "colon"])
+    if kind == "email":
+        local = rng.choice(["a", "b", "Z", "7", "жан", "é", "ω", "x.y", f"n{d(3)}", "Ärger_1"])
+        return kind, "", f"{local}@{rng.choice(['x.com', 'mail.example.org'])}"
+    if kind == "card":
+        body = rng.choice("3456") + d(14)
+        total = sum(sum(divmod(int(c) * (1 + (i % 2 == 0)), 10)) for i, c in enumerate(reversed(body)))
+        return kind, "", body + str(-total % 10)
+    if kind == "iban":
+        rest = d(18)
+        return kind, "", f"DE{98 - int(rest + '131400') % 97:02d}{rest}"
+    if kind == "ssn":
+        return kind, "", f"{rng.randrange(1, 666):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}"
+    if kind == "phone":
+        return kind, "", rng.choice([f"+49 {d(3)} {d(7)[:4]} {d(3)}", f"({rng.randrange(200, 999)}) {d(3)}-{d(4)}"])
+    if kind == "ip":
+        return kind, "", ".".join(str(rng.randrange(256)) for _ in range(4))
+    if kind == "date":
+        return kind, "", f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}"
+    if kind == "token":
+        return kind, "", "".join(rng.choice("0123456789abcdef") for _ in range(31)) + rng.choice("0123456789")
+    value = "".join(rng.choice("abcXYZ019_") for _ in range(8)) + "5"
+    return "secret", "password=" if kind == "password" else "password: ", value
+
+
+def test_every_planted_value_is_found_changed_and_restored():
+    rng = random.Random(12)
+    for _ in range(3000):
+        kind, before, value = planted(rng)
+        text = f"{rng.choice(['see', 'the end.', 'with, ', ''])} {before}{value} {rng.choice(['and', 'or so', ''])}"
+        new, kinds = p.pseudonymize(text, b"k")
+        assert kinds == [kind], text
+        assert new != text and (kind == "ip" or len(new) == len(text)), (text, new)
+        assert p.pseudonymize(new, b"k", back=True) == (text, kinds)
+
+
+@pytest.mark.parametrize("size", [2, 3, 10, 26, 97, 1000])
+def test_one_cycle_without_fixed_points(size):
+    seen, at = set(), 0
+    for _ in range(size):
+        seen.add(at)
+        to = p.permute(at, size, "t", b"k")
+        assert to != at and p.permute(to, size, "t", b"k", True) == at
+        at = to
+    assert at == 0 and len(seen) == size
+
+
+def test_what_is_not_covered_is_not_listed():
+    for text in ("王@x.com", "password: hidden words", "ssn 123 45 6789", "password=short"):
+        new, kinds = p.pseudonymize(text, b"k")
+        assert (new == text) == (kinds == [])
+    assert p.pseudonymize("王@x.com", b"k") == ("王@x.com", [])
