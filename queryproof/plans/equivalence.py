@@ -14,8 +14,10 @@ from queryproof.functions import verdicts
 from queryproof.functions.canon import row_text
 from queryproof.functions.rules import first_match
 from queryproof.operators import equivalence as eq
+from queryproof.operators.shared import Side, compare_on_shared_scans
 from queryproof.operators.sketch import diff_rows_by_sketch, sketch_report
 from queryproof.plans.registry import (
+    CUSTOMER,
     LINEITEM,
     ORDERS,
     PAIR_SQL,
@@ -518,6 +520,47 @@ def eq_batch(t):
     return eq.compare_batch([(name, *make(t)) for name, make in PAIRS.items()], algorithm="md5")
 
 
+def _side(table, where="true", columns=None):
+    plain = {"orders": ORDERS, "customer": CUSTOMER}[table]
+    return [Side(table, tuple(columns or (c.split(":")[0] for c in plain.split())), where)]
+
+
+_STATUS = "nullif(o_orderstatus, 'P')"
+#: The registered pairs whose sides filter and project one table, as what they do to its rows.
+SHARED_PAIRS = {
+    "pf_alias_cleanup_pair": (_side("customer"), _side("customer")),
+    "pf_qualifier_cleanup_pair": (_side("customer", "c_mktsegment = 'BUILDING'"), _side("customer", "c_mktsegment = 'BUILDING'")),
+    "pf_conjunct_reorder_pair": (
+        _side("orders", "o_orderstatus = 'O' AND o_totalprice BETWEEN 1000 AND 250000 AND o_orderpriority <> '5-LOW'"),
+        _side("orders", "o_orderpriority <> '5-LOW' AND o_orderstatus = 'O' AND o_totalprice BETWEEN 1000 AND 250000"),
+    ),
+    "pf_boolean_tautology_pair": (_side("customer", "1 = 1 AND 0 = 0 AND TRUE"), _side("customer")),
+    "pf_in_single_pair": (_side("customer", "c_mktsegment IN ('BUILDING')"), _side("customer", "c_mktsegment = 'BUILDING'")),
+    "pf_not_in_single_pair": (
+        _side("customer", "nullif(c_mktsegment, 'MACHINERY') NOT IN ('BUILDING')"),
+        _side("customer", "nullif(c_mktsegment, 'MACHINERY') <> 'BUILDING'"),
+    ),
+    "pf_or_to_in_pair": (_side("orders", "o_orderstatus = 'O' OR o_orderstatus = 'F'"), _side("orders", "o_orderstatus IN ('O', 'F')")),
+    "pf_case_true_pair": (
+        _side("orders", columns=("o_orderkey", "CASE WHEN TRUE THEN o_orderstatus ELSE o_orderstatus END")),
+        _side("orders", columns=("o_orderkey", "o_orderstatus")),
+    ),
+    "pf_coalesce_identity_pair": (
+        _side("orders", columns=("o_orderkey", f"coalesce({_STATUS}, {_STATUS})", f"coalesce({_STATUS}, NULL)")),
+        _side("orders", columns=("o_orderkey", _STATUS, _STATUS)),
+    ),
+    "pf_constant_fold_pair": (_side("orders", "o_custkey < 100 + 20 * 5 - 8 div 4"), _side("orders", "o_custkey < 198")),
+    "sl_order_constant_pair": (_side("customer"), _side("customer")),
+}
+
+
+@query("eq_batch_shared", "\nUNION ALL\n".join(f"(SELECT * FROM ({PAIR_SQL[name]}) p)" for name in SHARED_PAIRS))
+def eq_batch_shared(t):
+    """Pairs over two tables from two scans, each row with an entry for every branch it passes."""
+    pairs = [(name, before, after) for name, (before, after) in SHARED_PAIRS.items()]
+    return compare_on_shared_scans({"orders": t.orders, "customer": t.customer}, pairs, algorithm="md5")
+
+
 @query(
     "eq_proof_with_confidence",
     f"""
