@@ -24,23 +24,27 @@ def reached(start, links):
     return seen
 
 
-def graph(seed):
-    rng = random.Random(seed)
-    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(25)]
-    edges += [(100 + i, 100 + (i + 1) % 5) for i in range(5)] + [(102, 110), (110, 111), (111, 110), (99, 100)]  # a circle that leads into another
-    edges += [(200, 200), (201, 200), (300, None), (301, 302)] * 2  # itself, no reference, repeats
-    return edges
-
-
-@pytest.mark.parametrize("seed", [1])
-def test_reach_and_components_agree_with_walking(spark, tmp_path, seed):
-    edges = graph(seed)
-    df = spark.createDataFrame(edges, "fragment long, ref long")
+@pytest.fixture
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+EDGES = [
+    *((100 + i, 100 + (i + 1) % 5) for i in range(5)), (102, 110), (110, 111), (111, 110), (99, 100), (98, 99),  # a circle that leads into another
+    (1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (4, 5), (6, 5), (200, 200), (201, 200), (300, None), (301, 302), (301, 302),
+]
+
+
+def test_reach_and_components_agree_with_walking(spark, tmp_path, few_partitions):
+    df = spark.createDataFrame(EDGES, "fragment long, ref long")
     links = {}
-    for a, b in edges:
+    for a, b in EDGES:
         if b is not None:
             links.setdefault(a, set()).add(b)
-    nodes = {n for e in edges for n in e if n is not None} | {999}
+    nodes = {n for e in EDGES for n in e if n is not None} | {999}
     reach = {n: reached(n, links) for n in nodes}
     got = {r.node: r.component for r in strong_components(df.filter("ref IS NOT NULL").distinct(), keeper(spark, f"{tmp_path}/scc")).collect()}
     for n in nodes:
@@ -52,20 +56,20 @@ def test_reach_and_components_agree_with_walking(spark, tmp_path, seed):
         assert (r.n_refs, r.on_cycle, r.degraded) == (len(reach[r.root]), r.root in circles, bool(circles & (reach[r.root] | {r.root})))
 
 
-def test_reach_of_many_is_within_the_error(spark, tmp_path):
+def test_reach_of_many_is_within_the_error(spark, tmp_path, few_partitions):
     edges = spark.range(20_000).selectExpr("id AS fragment", "20000 + id AS ref").union(spark.range(20_000).selectExpr("-1L", "id"))
     (row,) = reach_counts(spark.createDataFrame([(-1,)], "root long"), edges, f"{tmp_path}/wide").collect()
     assert abs(row.n_refs - 40_000) < 4 * 0.017 * 40_000 and not row.degraded
 
 
-def test_no_edges(spark, tmp_path):
+def test_no_edges(spark, tmp_path, few_partitions):
     none = spark.createDataFrame([], "fragment long, ref long")
     (row,) = reach_counts(spark.createDataFrame([(1,)], "root long"), none, f"{tmp_path}/none").collect()
     assert tuple(row) == (1, 0, False, False)
 
 
 @pytest.mark.parametrize("lg, error", [(14, 0), (6, 0.5)])
-def test_stored_sets(spark, tmp_path, lg, error):
+def test_stored_sets(spark, tmp_path, few_partitions, lg, error):
     rng = random.Random(lg)
     rows = [(rng.choice("abc"), rng.randrange(3000)) for _ in range(9000)] + [("a", None), (None, 5)]
     store = SketchStore(spark, str(tmp_path / "s"), lg)
@@ -81,7 +85,7 @@ def test_stored_sets(spark, tmp_path, lg, error):
         assert all(abs(g - w) <= error * max(len(a), len(b)) for g, w in zip(tuple(r)[2:], want))
 
 
-def test_snapshots_merge_and_replays_replace(spark, tmp_path):
+def test_snapshots_merge_and_replays_replace(spark, tmp_path, few_partitions):
     rng = random.Random(7)
     rows = [(rng.choice(["x", "y", None]), rng.uniform(-5, 5), i % 5) for i in range(4000)]
     df = spark.createDataFrame(rows, "code string, value double, batch int")
@@ -102,7 +106,7 @@ def test_snapshots_merge_and_replays_replace(spark, tmp_path):
         assert (base, cand, diff) == (*n, n[1] - n[0])
 
 
-def test_late_rows_and_expiry(spark, tmp_path):
+def test_late_rows_and_expiry(spark, tmp_path, few_partitions):
     start = datetime(2024, 1, 1)
 
     def rows(days, code):
