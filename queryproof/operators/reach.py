@@ -65,7 +65,7 @@ def strong_components(links: DataFrame, keep: Keep) -> DataFrame:
         rest = rest.join(gone, F.col("fragment") == F.col("node"), "left_anti").join(gone, F.col("ref") == F.col("node"), "left_anti")
         rest = keep(rest, "links")
     if found is None:
-        found = rest.select(F.col("fragment").alias("node"), F.col("ref").alias("colour"))
+        found = rest.select(F.col("fragment").alias("node"), F.col("ref").alias("colour")).limit(0)
     return found.withColumnRenamed("colour", "component")
 
 
