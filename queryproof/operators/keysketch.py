@@ -57,7 +57,7 @@ def set_counts(sketches: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFra
                 n_b.alias("n_second"),
                 F.coalesce(estimate(F.theta_intersection(a, b)), F.lit(0)).alias("n_both"),
                 F.coalesce(estimate(F.theta_difference(a, b)), n_a).alias("n_only_first"),
-                F.coalesce(estimate(F.theta_union(a, b)), n_a, n_b).alias("n_either"),
+                F.coalesce(estimate(F.theta_union(a, b)), F.greatest(n_a, n_b)).alias("n_either"),
             )
         )
     return picked.select(F.inline(F.array(*rows)))
