@@ -33,3 +33,19 @@ def test_entry_runs(spark):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+ZERO_PAIRS = ["eq_batch", "eq_batch_shared", "jn_exists_self_pair", "jn_exists_to_in_pair", "pf_alias_cleanup_pair", "pf_boolean_tautology_pair", "sl_order_constant_pair"]
+
+
+@pytest.mark.parametrize("name", ZERO_PAIRS)
+def test_zero_below_zero_is_zero(name, spark, tmp_path):
+    for table in ("orders", "lineitem", "nation", "supplier", "part", "region"):
+        (tmp_path / f"{table}.parquet").symlink_to(f"{SMALL}/{table}.parquet")
+    customer = spark.read.parquet(f"{SMALL}/customer.parquet")
+    balance = "CASE WHEN c_custkey % 3 = 0 THEN -0.0D ELSE c_acctbal END"
+    customer.selectExpr("c_custkey", "c_name", "c_nationkey", f"{balance} AS c_acctbal", "c_mktsegment").write.parquet(f"{tmp_path}/customer")
+    con = duck(SMALL)
+    con.execute(f"CREATE OR REPLACE VIEW customer AS SELECT * FROM '{tmp_path}/customer/*.parquet'")
+    (tmp_path / "customer.parquet").symlink_to(tmp_path / "customer")
+    assert compare(QUERIES[name](spark, str(tmp_path)), con, SQL[name]) == ""
