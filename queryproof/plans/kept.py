@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queryproof.operators.keysketch import SketchStore, set_counts
+from queryproof.operators.keysketch import SketchStore, parts_for, set_counts
 from queryproof.operators.reach import reach_counts
 from queryproof.operators.snapshots import SnapshotStore, quantiles
 from queryproof.plans.registry import query
@@ -45,11 +45,11 @@ SELECT first, second, (SELECT count(*) FROM k WHERE run = first) AS n_first, (SE
 FROM p""",
 )
 def so_stored_sets(t):
-    """Customers of each order status as stored sketches; a replayed run replaces its sketch. Exact below 131,072 keys."""
-    store = SketchStore(t.spark, t.scratch("key-sketches"), lg=17)
+    """Customers of each order status as stored sketches; a replayed run replaces its sketches. Exact: parts grow with the orders."""
+    store = SketchStore(t.spark, t.scratch("key-sketches"), lg=17, parts=parts_for(t.orders.count(), 17))
     store.write(t.orders.filter("o_orderkey % 2 = 0"), "o_orderstatus", "o_custkey")
     store.write(t.orders, "o_orderstatus", "o_custkey")
-    return set_counts(store.read(), _RUN_PAIRS)
+    return set_counts(store.read(), _RUN_PAIRS, store.lg)
 
 
 def _stored_snapshots(t):

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from queryproof.operators.keysketch import SketchStore, set_counts
+from queryproof.operators.keysketch import SketchStore, parts_for, set_counts
 from queryproof.operators.reach import keeper, reach_counts, strong_components
 from queryproof.operators.snapshots import SnapshotStore, quantiles
 from queryproof.sources.jsonl import write_jsonl
@@ -85,6 +85,15 @@ def test_stored_sets(spark, tmp_path, few_partitions, lg, error):
         assert all(abs(g - w) <= error * max(len(a), len(b)) for g, w in zip(tuple(r)[2:], want))
 
 
+@pytest.mark.parametrize("keys, lg, parts", [(40_000, 17, 1), (40_000, 8, parts_for(40_000, 8))])
+def test_stored_sets_of_many_keys(spark, tmp_path, few_partitions, keys, lg, parts):
+    store = SketchStore(spark, str(tmp_path / "s"), lg, parts)
+    for run, low, high in (("a", 0, keys * 3 // 4), ("b", keys // 4, keys)):
+        store.write(spark.range(low, high).selectExpr(f"'{run}' AS run", "id AS key"), "run", "key")
+    (row,) = set_counts(store.read(), [("a", "b")], lg).collect()
+    assert tuple(row)[2:] == (keys * 3 // 4, keys * 3 // 4, keys // 2, keys // 4, keys)
+
+
 def test_snapshots_merge_and_replays_replace(spark, tmp_path, few_partitions):
     rng = random.Random(7)
     rows = [(rng.choice(["x", "y", None]), rng.uniform(-5, 5), i % 5) for i in range(4000)]
