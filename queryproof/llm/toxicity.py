@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ LEAST_STRENGTH = 2.5
 LEAST_PAIR = 5.0
 #: Steps of training at least, so that few labels are learnt as well as many.
 LEAST_STEPS, BATCH = 1000, 128
+#: Entries of the sample that are worked on at a time while it is counted, which bounds what comes beside it.
+ENTRIES = 1 << 20
 #: Words are known by these many first letters too, so that new endings of a known stem count.
 STEMS = (4, 5, 6)
 
@@ -57,6 +59,17 @@ class Machine:
         return total
 
 
+def blocks_of(size: int) -> Iterator[slice]:
+    return (slice(i, i + ENTRIES) for i in range(0, size, ENTRIES))
+
+
+def places_of(slots: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the slots are among the sorted terms, and the places of those."""
+    at = np.searchsorted(terms, slots)
+    hit = terms[np.minimum(at, len(terms) - 1)] == slots
+    return hit, at[hit].astype(np.int32)
+
+
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of counts with one half added, and their squared noise."""
     return np.log((toxic + 0.5) / (clean + 0.5)), 1 / (toxic + 0.5) + 1 / (clean + 0.5)
@@ -66,12 +79,13 @@ def pair_strength(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, terms
     """For each of the terms the strongest of its pairs: how many times its noise the log odds with both
     terms differ from those that both give added up. All pairs of ``terms`` are counted, a block of
     columns at a time."""
-    at = np.searchsorted(terms, slots)
-    hit = terms[np.minimum(at, len(terms) - 1)] == slots
+    clean = int(len(labels) - labels.sum())
+    place = np.empty(len(labels), np.int64)
+    place[np.argsort(labels, kind="stable")] = np.arange(len(labels))
     there = np.zeros((len(labels), len(terms)), np.uint8)
-    there[rows[hit], at[hit]] = 1
-    order = np.argsort(labels, kind="stable")
-    there, clean = there[order], int(len(labels) - labels.sum())
+    for block in blocks_of(len(slots)):
+        hit, at = places_of(slots[block], terms)
+        there[place[rows[block][hit]], at] = 1
     sides = [(clean, len(labels)), (0, clean)]  # toxic, clean
     alone = [there[a:b].sum(0, dtype=np.int64).astype(np.float32) for a, b in sides]
     best = np.zeros(len(terms), np.float32)
@@ -99,9 +113,14 @@ def select_slots(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, most:
     with one half added), or by what they tell in a pair beyond both alone. Pairs are those of the ``most``
     slots that most rows have."""
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    every, toxic = np.bincount(slots), np.bincount(slots[labels[rows] > 0])
+    size = int(slots.max(initial=-1)) + 1
+    every, toxic = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for block in blocks_of(len(slots)):
+        part = slots[block]
+        every += np.bincount(part, minlength=size)
+        toxic += np.bincount(part[labels[rows[block]] > 0], minlength=size)
     used = np.flatnonzero(every)
-    with1 = np.concatenate([toxic, np.zeros(len(every) - len(toxic), toxic.dtype)])[used]
+    with1 = toxic[used]
     with0 = every[used] - with1
     (odds, square), (rest, rest_square) = log_odds(with1, with0), log_odds(n1 - with1, n0 - with0)
     strength = np.abs(odds - rest) / np.sqrt(square + rest_square) / LEAST_STRENGTH
@@ -123,12 +142,14 @@ def train(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, most: int, fa
     model = Machine(known, float(np.log(rate / (1 - rate))), np.zeros(len(known)), rng.normal(0, 0.05, (len(known), factors)))
     if not len(known):
         return model
-    at = np.searchsorted(known, slots)
-    hit = known[np.minimum(at, len(known) - 1)] == slots
-    rows, at = rows[hit], at[hit]
-    order = np.lexsort((at, rows))
-    rows, at = rows[order], at[order]
-    starts = np.searchsorted(rows, np.arange(len(labels) + 1))
+    kept = [(rows[block][hit], at) for block in blocks_of(len(slots)) for hit, at in [places_of(slots[block], known)]]
+    rows, at = (np.concatenate(parts) for parts in zip(*kept, strict=True))
+    del kept
+    step = np.diff(rows)
+    if not np.all((step > 0) | (step == 0) & (np.diff(at) > 0)):
+        order = np.lexsort((at, rows))
+        rows, at = rows[order], at[order]
+    starts = np.searchsorted(rows, np.arange(len(labels) + 1, dtype=rows.dtype))
     sum_b, sum_w, sum_v = 1e-8, np.full(len(known), 1e-8), np.full((len(known), factors), 1e-8)
     for _ in range(max(epochs, LEAST_STEPS * BATCH // len(labels))):
         shuffled = rng.permutation(len(labels))
@@ -188,6 +209,7 @@ def fit(
     """
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        worker_memo("toxicity-learning", dict)  # what the worker kept of other tasks goes
         slots = [np.unique([s for w in words_of(t) for s in slots_of(w)]).astype(np.int32) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "slots": pa.array(slots, pa.list_(pa.int32()))})
 
@@ -196,15 +218,28 @@ def fit(
     one = F.min(F.struct(F.xxhash64("slots").alias("h"), "slots", "toxic")).alias("one")
     terms = terms.groupBy("doc_id").agg(one).select("doc_id", "one.toxic", "one.slots")
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(n=pdf["slots"].str.len()).sort_values(["doc_id", "n"], kind="stable", ignore_index=True)
-        rows = np.repeat(np.arange(len(pdf), dtype=np.int32), pdf["n"].astype(int))
-        slots = np.concatenate([np.zeros(0, np.int32), *pdf.pop("slots")])
-        m = train(rows, slots, pdf["toxic"].to_numpy(), most, factors, epochs)
-        return pd.DataFrame({"slots": [m.slots], "bias": [m.bias], "weight": [m.weight], "factor": [m.factor.ravel()]})
+    def learn(table: pa.Table) -> pa.Table:
+        worker_memo("toxicity-learning", dict)
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        labels = table.column("toxic").to_numpy()[order]
+        lists = table.column("slots").chunks
+        sizes = np.concatenate([np.diff(part.offsets.to_numpy()) for part in lists])
+        starts = np.empty(len(order), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        slots, at = np.empty(int(sizes.sum()), np.int32), 0
+        for part in lists:
+            offsets, values = part.offsets.to_numpy(), part.values.to_numpy()
+            for low, high, start in zip(offsets[:-1], offsets[1:], starts[at : at + len(part)], strict=True):
+                slots[start : start + high - low] = values[low:high]
+            at += len(part)
+        rows = np.repeat(np.arange(len(order), dtype=np.int32), sizes[order])
+        m = train(rows, slots, labels, most, factors, epochs)
+        found = {"slots": [m.slots.tolist()], "bias": [m.bias], "weight": [m.weight.tolist()], "factor": [m.factor.ravel().tolist()]}
+        return pa.table(found, schema=learnt)
 
     kind = "slots array<bigint>, bias double, weight array<double>, factor array<double>"
-    row = terms.groupBy().applyInPandas(learn, kind).first()
+    learnt = pa.schema([("slots", pa.list_(pa.int64())), ("bias", pa.float64()), *((c, pa.list_(pa.float64())) for c in ("weight", "factor"))])
+    row = terms.groupBy().applyInArrow(learn, kind).first()
     if row is None:
         return train(np.zeros(0, int), np.zeros(0, int), np.zeros(0), most, factors, epochs)
     slots = np.array(row["slots"], np.int64)
