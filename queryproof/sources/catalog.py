@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +28,34 @@ def catalog_index(catalog: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     )
 
 
+def _exact_metadata(name: str, df: DataFrame, i: int) -> DataFrame:
+    """The row of column ``i``, from the counts of its values."""
+    f = df.schema.fields[i]
+    counts = df.select(F.col(f"`{f.name}`").alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    n_rows, n_null = F.sum("n"), F.sum(F.when(F.col("v").isNull(), F.col("n")))
+    one = counts.agg(*(F.coalesce(n, F.lit(0)).alias(a) for n, a in ((n_rows, "n_rows"), (n_null, "n_null"))), F.count("v").alias("n_distinct"))
+    return one.select(
+        F.lit(name).alias("table_name"),
+        "n_rows",
+        F.lit(i + 1).alias("position"),
+        F.lit(f.name).alias("column_name"),
+        F.lit(f.dataType.simpleString()).alias("data_type"),
+        F.lit(f.nullable).alias("nullable"),
+        "n_null",
+        "n_distinct",
+    )
+
+
 def table_metadata(name: str, df: DataFrame, distinct: str | None = None) -> DataFrame:
     """One row per column: position, type, nullable, rows, NULLs and, if asked, distinct values.
 
     One aggregation per table; its single row is turned into one row per column. ``distinct`` is
-    ``approx`` (a sketch per column, for large tables) or ``exact``.
+    ``approx`` (a sketch per column, for large tables) or ``exact``: each column is grouped by itself, so
+    that a task sends its distinct values once and no row is repeated for every column.
     """
     fields = df.schema.fields
+    if distinct == "exact" and fields:
+        return reduce(DataFrame.unionAll, [_exact_metadata(name, df, i) for i in range(len(fields))])
     aggregates = [F.count("*").alias("n_rows")]
     for i, f in enumerate(fields):
         col = F.col(f"`{f.name}`")
