@@ -6,6 +6,8 @@ maximum answer that, combine in the map tasks and never collect a group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,39 +34,66 @@ def consensus(variants: DataFrame, key: str, position: list[str]) -> DataFrame:
     ``tier``, which tell what may only be reviewed. NULL holds nothing back.
     """
     # NULL or blank is a value that nobody gave: a partial status, an uncertain gate, no family at all
-    order = F.struct(*position)
     status, gate = (F.coalesce(F.col(c), F.lit("")) for c in ("status", "gate"))
     given = {c: F.when(F.trim(F.col(c)) != "", F.col(c)) for c in ("family", "surface", "ops")}
     passed = status == "PASS"
     failed = status.isin("FAIL", "FAILED")
     gate_open = gate == "PASS"
-    aggregates = [
-        F.count("*").alias("n_variants"),
-        F.count_if(passed).alias("n_pass"),
-        F.count_if(failed).alias("n_fail"),
-        F.count_if(~passed & ~failed).alias("n_partial"),
-        F.count_if(gate_open).alias("n_gate_pass"),
-        F.count_if(gate == "BLOCKED").alias("n_gate_blocked"),
-        F.count_if(~gate.isin("PASS", "BLOCKED")).alias("n_gate_uncertain"),
-        F.bool_and(F.coalesce("supported", F.lit(False))).alias("_supported"),
-        F.count("candidate").alias("_n_candidates"),
-        F.min_by("status_reason", F.when(F.col("status_reason").isNotNull(), order)).alias("_status_reason"),
-        F.min_by("gate_reason", F.when(~gate_open & F.col("gate_reason").isNotNull(), order)).alias("_gate_reason"),
-    ]
-    for name in ("family", "surface", "ops"):
-        aggregates += [F.min(given[name]).alias(f"_min_{name}"), F.max(given[name]).alias(f"_max_{name}")]
     held = {c: F.col(c) if c in variants.columns else F.lit(None) for c in ("at_risk", "shape", "blocker", "tier")}
+    yes_or_no = {
+        "pass": passed,
+        "fail": failed,
+        "gate_open": gate_open,
+        "gate_blocked": gate == "BLOCKED",
+        "supported": F.col("supported"),
+        "candidate": F.col("candidate").isNotNull(),
+        "at_risk": held["at_risk"].cast("boolean"),
+        "fragments": F.coalesce(held["shape"] == FRAGMENTS_SHAPE, F.lit(False)) | F.coalesce(held["blocker"] == FRAGMENTS_BLOCKER, F.lit(False)),
+        "collection": held["shape"] == COLLECTION_SHAPE,
+        "review": held["tier"] == REVIEW_TIER,
+    }
+    bits = {name: 1 << i for i, name in enumerate(yes_or_no)}
+    flags = reduce(Column.bitwiseOR, [F.when(test, F.lit(bits[name])).otherwise(F.lit(0)) for name, test in yes_or_no.items()])
+    # rows are sorted and sent as they are where keys hardly repeat within a task: what is told by yes or no
+    # is a bit, and places go along with the reasons that count only
+    status_reason = F.col("status_reason")
+    gate_reason = F.when(~gate_open, F.col("gate_reason"))
+    place = F.when(status_reason.isNotNull() | gate_reason.isNotNull(), F.struct(*position))
+    compact = variants.select(
+        key,
+        flags.alias("_flags"),
+        *(given[c].alias(f"_{c}") for c in given),
+        status_reason.alias("_sr"),
+        gate_reason.alias("_gr"),
+        place.alias("_place"),
+    )
 
-    def any_row(condition: Column) -> Column:
-        return F.coalesce(F.bool_or(condition.cast("boolean")), F.lit(False))
+    def has(name: str, column: str = "_flags") -> Column:
+        return F.col(column).bitwiseAND(F.lit(bits[name])) != 0
 
-    collection = any_row(held["shape"] == COLLECTION_SHAPE) & any_row(held["tier"] == REVIEW_TIER)
-    aggregates += [
-        any_row(held["at_risk"]).alias("_at_risk"),
-        any_row(F.coalesce(held["shape"] == FRAGMENTS_SHAPE, F.lit(False)) | F.coalesce(held["blocker"] == FRAGMENTS_BLOCKER, F.lit(False))).alias("_fragments"),
-        collection.alias("_collection"),
+    aggregates = [
+        F.count("*").alias("n_variants"),
+        F.count_if(has("pass")).alias("n_pass"),
+        F.count_if(has("fail")).alias("n_fail"),
+        F.count_if(has("gate_open")).alias("n_gate_pass"),
+        F.count_if(has("gate_blocked")).alias("n_gate_blocked"),
+        F.bit_or("_flags").alias("_any"),
+        F.bit_and("_flags").alias("_all"),
+        F.min_by("_sr", F.when(F.col("_sr").isNotNull(), F.col("_place"))).alias("_status_reason"),
+        F.min_by("_gr", F.when(F.col("_gr").isNotNull(), F.col("_place"))).alias("_gate_reason"),
     ]
-    g = variants.groupBy(key).agg(*aggregates)
+    for name in given:
+        aggregates += [F.min(f"_{name}").alias(f"_min_{name}"), F.max(f"_{name}").alias(f"_max_{name}")]
+    g = compact.groupBy(key).agg(*aggregates).select(
+        "*",
+        (F.col("n_variants") - F.col("n_pass") - F.col("n_fail")).alias("n_partial"),
+        (F.col("n_variants") - F.col("n_gate_pass") - F.col("n_gate_blocked")).alias("n_gate_uncertain"),
+        has("supported", "_all").alias("_supported"),
+        has("candidate", "_any").alias("_candidates"),
+        has("at_risk", "_any").alias("_at_risk"),
+        has("fragments", "_any").alias("_fragments"),
+        (has("collection", "_any") & has("review", "_any")).alias("_collection"),
+    )
     no_family = F.col("_min_family").isNull()
     reason = first_match(
         [
@@ -77,7 +106,7 @@ def consensus(variants: DataFrame, key: str, position: list[str]) -> DataFrame:
                 F.col("n_gate_pass") < F.col("n_variants"),
                 F.coalesce("_gate_reason", F.lit("SEMANTIC_GATE_NOT_PASS")),
             ),
-            (no_family & (F.col("_n_candidates") == 0), "NO_PATCHABLE_CANDIDATE_SELECTED"),
+            (no_family & ~F.col("_candidates"), "NO_PATCHABLE_CANDIDATE_SELECTED"),
             (no_family, "NO_PATCHABLE_CANDIDATE_UNSUPPORTED_STRATEGY"),
             (_several("family"), "PATCH_FAMILY_CONFLICT_OR_MISSING"),
             (_several("surface"), "PATCH_SURFACE_CONFLICT"),

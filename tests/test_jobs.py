@@ -247,3 +247,23 @@ def test_an_optional_json_column_may_be_null(spark):
     df = spark.createDataFrame([(None,), ("{\"a\": 1}",), ("{\"b\": 1}",), ("no",)], "j string")
     got = [r["v"] for r in df.select(contract.violations().alias("v")).collect()]
     assert got == [[], [], ["UNEXPECTED:j"], ["NOT_JSON:j"]]
+
+
+def test_exact_metadata_repeats_no_row(spark):
+    df = spark.createDataFrame([(1, 0.0, "a"), (1, -0.0, None), (None, float("nan"), "b")], "a int, b double, `c.d` string")
+    found = catalog.table_metadata("x", df, "exact")
+    got = {r["column_name"]: (r["position"], r["n_rows"], r["n_null"], r["n_distinct"]) for r in found.collect()}
+    assert got == {"a": (1, 3, 1, 1), "b": (2, 3, 0, 2), "c.d": (3, 3, 1, 2)}
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_consensus_sends_flags_and_no_idle_places(spark):
+    columns = "key int, n int, status string, gate string, family string, surface string, ops string, candidate string, supported boolean, status_reason string, gate_reason string"
+    rows = [(1, i, "PASS", "PASS", "F", "S", "o", "c" * 500, True, None, "idle") for i in range(3)]
+    rows += [(2, 2, "FAIL", "PASS", "F", "S", "o", None, True, "late", None), (2, 1, "FAIL", "PASS", "F", "S", "o", None, True, "early", None)]
+    rows += [(3, 1, "PASS", "PASS", "F", "S", "o", None, True, None, "open"), (3, 2, None, "BLOCKED", "F", "S", "o", None, None, None, "shut")]
+    found = cons.consensus(spark.createDataFrame(rows, columns), "key", ["n"])
+    got = {r["key"]: (r["n_partial"], r["n_gate_uncertain"], r["decision"], r["conflict_reason"]) for r in found.collect()}
+    assert got == {1: (0, 0, "AUTO_PATCHABLE", None), 2: (0, 0, "MANUAL_REVIEW", "early"), 3: (1, 0, "MANUAL_REVIEW", "SHAPE_FAMILY_NOT_TARGET")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or(_flags" in plan and "count(candidate" not in plan
