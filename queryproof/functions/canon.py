@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 STRINGS = (T.StringType, T.CharType, T.VarcharType)
 NESTED = (T.ArrayType, T.MapType, T.StructType)
+PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.BooleanType, T.DateType)
 
 
 def quoted(name: str) -> str:
@@ -40,13 +41,18 @@ def value_text_sql(x: str, dtype: T.DataType, depth: int = 0) -> str:
     if isinstance(dtype, STRINGS):
         text = f"concat('S', CAST(length({x}) AS STRING), ':', {x})"
     elif isinstance(dtype, T.ArrayType):
-        item = value_text_sql(v, dtype.elementType, depth + 1)
-        text = f"concat('[', array_join(transform({x}, {v} -> {item}), '|'), ']')"
+        if isinstance(dtype.elementType, PLAIN):
+            # the same text without a lambda, which Spark interprets: no text of these types holds a '|' or '#'
+            joined = f"concat('|V', array_join(CAST({x} AS ARRAY<STRING>), '|V', '#'))"
+            text = f"CASE WHEN size({x}) = 0 THEN '[]' ELSE concat('[', substring(replace({joined}, '|V#', '|N'), 2), ']') END"
+        else:
+            item = value_text_sql(v, dtype.elementType, depth + 1)
+            text = f"concat('[', array_join(transform({x}, {v} -> {item}), '|'), ']')"
     elif isinstance(dtype, T.MapType):
         key = value_text_sql(f"{v}.key", dtype.keyType, depth + 1)
         value = value_text_sql(f"{v}.value", dtype.valueType, depth + 1)
         entries = f"transform(map_entries({x}), {v} -> concat({key}, '=', {value}))"
-        text = f"concat('{{', array_join(array_sort({entries}), '|'), '}}')"
+        text = f"concat('{{', array_join(sort_array({entries}), '|'), '}}')"
     elif isinstance(dtype, T.StructType):
         fields = [value_text_sql(f"{x}.{quoted(f.name)}", f.dataType, depth + 1) for f in dtype.fields]
         text = f"concat('(', concat_ws('|', {', '.join(fields)}), ')')"

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from queryproof.functions.canon import STRINGS, quoted, row_digest, row_hash
+from queryproof.functions.canon import NESTED, STRINGS, quoted, row_digest, row_hash
 from queryproof.operators.ranking import ranked_rows
 
 
@@ -81,6 +81,10 @@ def common_sql(x: str, own: T.DataType, other: T.DataType, common: T.DataType, d
         stands_for = f"CASE WHEN {whole} THEN try_cast(try_cast({d} AS BIGINT) AS {digits}) ELSE try_cast({d} AS {digits}) END"
         return f"CASE WHEN CAST({x} AS {digits}) = {stands_for} THEN CAST({d} + 0D AS STRING) ELSE concat('#', CAST({x} AS STRING)) END"
     v = f"v{depth}"
+    if own == common and not _has_text_form(own, other):
+        return x
+    if isinstance(own, T.ArrayType) and isinstance(common.elementType, _NUMBERS) or isinstance(own, T.MapType) and _widened(own, common):
+        return f"CAST({x} AS {common.simpleString()})"
     if isinstance(own, T.ArrayType) and isinstance(other, T.ArrayType):
         return f"transform({x}, {v} -> {common_sql(v, own.elementType, other.elementType, common.elementType, depth + 1)})"
     if isinstance(own, T.MapType) and isinstance(other, T.MapType):
@@ -96,6 +100,23 @@ def common_sql(x: str, own: T.DataType, other: T.DataType, common: T.DataType, d
     return f"CAST({x} AS {common.simpleString()})"
 
 
+def _has_text_form(own: T.DataType, other: T.DataType) -> bool:
+    """Whether a number meets a double somewhere in the types, so that both become text."""
+    if isinstance(own, T.ArrayType) and isinstance(other, T.ArrayType):
+        return _has_text_form(own.elementType, other.elementType)
+    if isinstance(own, T.MapType) and isinstance(other, T.MapType):
+        return _has_text_form(own.keyType, other.keyType) or _has_text_form(own.valueType, other.valueType)
+    if isinstance(own, T.StructType) and isinstance(other, T.StructType):
+        return any(_has_text_form(f.dataType, g.dataType) for f, g in zip(own, other))
+    return isinstance(common_type(own, other), T.StringType) and not isinstance(own, STRINGS + (T.NullType,))
+
+
+def _widened(own: T.MapType, common: T.MapType) -> bool:
+    """Whether a map differs from its common form in numbers alone, for which a plain cast does."""
+    pairs = ((own.keyType, common.keyType), (own.valueType, common.valueType))
+    return all(a == b and not isinstance(a, NESTED) or isinstance(a, _WHOLE) and isinstance(b, _WHOLE) for a, b in pairs)
+
+
 def aligned(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with common column types, position by position, so that equal values hash alike.
 
@@ -201,8 +222,9 @@ def pair_report(pair_id: str, before: DataFrame, after: DataFrame, algorithm: st
     return _report(compare_bags(before, after, algorithm=algorithm).select(F.lit(pair_id).alias("pair_id"), "*"))
 
 
-def _report(compared: DataFrame) -> DataFrame:
+def _report(compared: DataFrame, *more: str) -> DataFrame:
     return compared.select(
+        *more,
         "pair_id",
         "n_before",
         "n_after",
@@ -213,6 +235,33 @@ def _report(compared: DataFrame) -> DataFrame:
     )
 
 
+def pair_reports(pairs: Sequence[tuple[str, DataFrame, DataFrame]], algorithms: Sequence[str]) -> DataFrame:
+    """Reports of many pairs under several hashes, one row for each ``(algorithm, pair_id)``.
+
+    A side is read once, whatever the number of pairs that hold it against columns of the same types, and its
+    row texts serve all hashes. One row a side is left for each hash; these rows alone meet by pair.
+    """
+    sides: dict[tuple, tuple[DataFrame, list[str]]] = {}
+    for pair_id, before, after in pairs:
+        both = aligned(before, after)
+        for role, df, other, form in (("before", before, after, both[0]), ("after", after, before, both[1])):
+            key = (id(df), str([f.dataType for f in other.schema.fields]))
+            name = pair_id.replace("\\", "\\\\").replace("'", "\\'")
+            sides.setdefault(key, (form, []))[1].append(f"struct('{name}' AS pair_id, '{role}' AS role)")
+
+    def fingerprints(df: DataFrame, places: list[str]) -> DataFrame:
+        hashed = df.select(*(row_hash(df, algorithm=how).alias(f"h_{how}") for how in algorithms))
+        one = hashed.agg(*(a for how in algorithms for a in _bag_aggregates(f"h_{how}", how)))
+        each = [F.struct(F.lit(how).alias("algorithm"), F.col(f"n_{how}").alias("n"), _fingerprint(how).alias("fp")) for how in algorithms]
+        return one.select(F.inline(F.array(*each))).select("*", F.expr(f"inline(array({', '.join(places)}))"))
+
+    every = reduce(DataFrame.unionByName, [fingerprints(*side) for side in sides.values()])
+    of = {(what, role): F.max(F.when(F.col("role") == role, F.col(what))).alias(f"{what}_{role}") for what in ("n", "fp") for role in ("before", "after")}
+    met = every.groupBy("algorithm", "pair_id").agg(*of.values())
+    vacuous = ((F.col("n_before") == 0) & (F.col("n_after") == 0)).alias("vacuous")
+    return _report(met.select("*", vacuous), "algorithm")
+
+
 def compare_batch(pairs: Sequence[tuple[str, DataFrame, DataFrame]], algorithm: str = "native") -> DataFrame:
     """Reports for many pairs, one row each.
 

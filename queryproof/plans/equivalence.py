@@ -639,6 +639,5 @@ def eq_type_widths(t):
         ("changed", narrow(changed), wide),
         *((f"rounded {kind}", df, df.select(F.col("v").cast("double"))) for kind, df in (("long", far), ("decimal", fine))),
     ]
-    rows = [eq.pair_report(f"{how} {name}", b, a, algorithm=how) for how in ("md5", "native") for name, b, a in cases]
-    every = reduce(lambda a, b: a.unionByName(b), rows)
-    return every.select(F.col("pair_id").alias("compared"), "status", "n_before", "n_after")
+    every = eq.pair_reports(cases, ("md5", "native"))
+    return every.select(F.concat_ws(" ", "algorithm", "pair_id").alias("compared"), "status", "n_before", "n_after")

@@ -251,3 +251,23 @@ def test_samples_pick_the_same_keys(t):
 def test_schema_differences(t):
     assert eq.schema_differences(t.orders, t.orders) == []
     assert len(eq.schema_differences(t.orders, t.orders.withColumnRenamed("o_custkey", "x"))) == 1
+
+
+def test_pairs_share_sides_and_hashes(spark):
+    rows = [(1, [1, None], {"k": 5, "a|": 1}, ([2], "x")), (2, [], None, None), (3, None, {}, ([None, None], None))]
+    a, b = (spark.createDataFrame(rows, f"n {n}, l array<{n}>, m map<string,{n}>, s struct<i:array<{n}>,t:string>") for n in ("int", "bigint"))
+    c = b.withColumn("n", F.expr("n + cast(n = 2 as bigint)"))
+    d = b.withColumn("n", F.col("n").cast("double"))
+    pairs = [("it's", a, b), ("changed", a, c), ("turned", b, a), ("real", a, d), ("none", a.limit(0), b.limit(0))]
+    found = eq.pair_reports(pairs, ("md5", "native"))
+    got = {(r.algorithm, r.pair_id): tuple(r)[1:] for r in found.collect()}
+    assert got == {(how, p[0]): tuple(eq.pair_report(*p, algorithm=how).first()) for p in pairs for how in ("md5", "native")}
+    assert [got["md5", p[0]][5:] for p in pairs] == [("MATCH", False), ("MISMATCH", False), ("MATCH", False), ("MATCH", False), ("MATCH", True)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 5  # a against two types, b, c and d; the empty ones read nothing
+
+
+def test_text_of_nested_values_needs_no_lambda_for_plain_items(spark):
+    df = spark.sql("SELECT * FROM VALUES (array(1, NULL, -3)), (array()), (array(CAST(NULL AS INT))), (NULL) AS t(l)")
+    text = row_text(df)
+    assert [r[0] for r in df.select(text).collect()] == ["[V1|N|V-3]", "[]", "[N]", "N"]
+    assert "lambda" not in df.select(text)._jdf.queryExecution().optimizedPlan().toString()
