@@ -267,3 +267,22 @@ def test_consensus_sends_flags_and_no_idle_places(spark):
     assert got == {1: (0, 0, "AUTO_PATCHABLE", None), 2: (0, 0, "MANUAL_REVIEW", "early"), 3: (1, 0, "MANUAL_REVIEW", "SHAPE_FAMILY_NOT_TARGET")}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_or(_flags" in plan and "count(candidate" not in plan
+
+
+@pytest.mark.parametrize("every_root", [True, False])
+def test_closure_doubles_its_reach(spark, tmp_path, every_root):
+    edges = [(i, i + 1) for i in range(40)] + [(i, j) for i in range(100, 106) for j in range(106, 112)] + [(111, 100), (20, 200), (3, 9)]
+    links = {}
+    for a, b in edges:
+        links.setdefault(a, []).append(b)
+    want = {}
+    for root in links if every_root else (0, 101):
+        level, seen, todo = 0, {}, links[root]
+        while todo:
+            seen.update({n: level for n in todo})
+            todo, level = {m for n in todo for m in links.get(n, ()) if m not in seen}, level + 1
+        want[root] = (len(seen), max(seen.values()), root >= 100)
+    roots = spark.createDataFrame([(r,) for r in want], "root bigint")
+    out = reference_closure(roots, spark.createDataFrame(edges, "fragment bigint, ref bigint").coalesce(2), str(tmp_path))
+    assert {r["root"]: tuple(r)[1:] for r in out.collect()} == want
+    assert not every_root or len(list((tmp_path / "reached").glob("round=*"))) <= 8
