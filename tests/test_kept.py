@@ -56,6 +56,27 @@ def test_reach_and_components_agree_with_walking(spark, tmp_path, few_partitions
         assert (r.n_refs, r.on_cycle, r.degraded) == (len(reach[r.root]), r.root in circles, bool(circles & (reach[r.root] | {r.root})))
 
 
+def test_long_runs_take_few_rounds(spark, tmp_path, few_partitions):
+    """Chains and circles as long as 64 are passed in doublings; what branches off, comes in or runs beside them counts."""
+    edges = [
+        *((i, i + 1) for i in range(64)), (70, 20), (40, 71), (71, 72), (72, 50), (40, 73), (73, 50),  # a chain, a way in, ways beside it
+        *((100 + i, 100 + (i + 1) % 40) for i in range(40)), (150, 151), (151, 110), (130, 152), (152, 153), (153, 30),  # a circle, into it, out of it
+        (105, 154), (154, 155), (155, 120), *((200 + i, 200 + (i + 1) % 33) for i in range(33)), (240, 240),  # a way within it, circles of their own
+    ]
+    links = {}
+    for a, b in edges:
+        links.setdefault(a, set()).add(b)
+    nodes = {n for e in edges for n in e}
+    reach = {n: reached(n, links) for n in nodes}
+    circles = {n for n in nodes if n in reach[n]}
+    roots = spark.createDataFrame([(n,) for n in nodes], "root long")
+    rows = reach_counts(roots, spark.createDataFrame(edges, "fragment long, ref long"), f"{tmp_path}/runs").collect()
+    assert sorted(r.root for r in rows) == sorted(nodes)
+    for r in rows:
+        assert (r.n_refs, r.on_cycle, r.degraded) == (len(reach[r.root]), r.root in circles, bool(circles & reach[r.root])), r
+    assert len(list((tmp_path / "runs").glob("*/*"))) < 64
+
+
 def test_reach_of_many_is_within_the_error(spark, tmp_path, few_partitions):
     edges = spark.range(300).selectExpr("id AS fragment", "300 + id AS ref").union(spark.range(300).selectExpr("-1L", "id"))
     (row,) = reach_counts(spark.createDataFrame([(-1,)], "root long"), edges, f"{tmp_path}/wide").collect()
